@@ -4,36 +4,61 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def number_rows(df: DataFrame, keys: list[str], bucket: str, order: list, name: str) -> DataFrame:
+HOT_ROWS = 1_000_000
+HOT_SHARE = 10_000
+
+
+def hot_groups(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The groups with more than `hot_rows` rows and more than 1/10,000 of all rows.
+
+    Fewer than 10,000 groups can hold more than 1/10,000 of the rows, whatever the data, so
+    the result may always be broadcast. `_rows` is the size of the group.
+    """
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    total = sizes.agg(F.sum("_rows")).scalar()
+    return sizes.where((F.col("_rows") > hot_rows) & (F.col("_rows") * HOT_SHARE > total))
+
+
+def number_rows(
+    df: DataFrame, keys: list[str], bucket: str, order: list, name: str, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """1-based position of each row in its group, ordered by `bucket` and then `order`.
 
-    Rows are numbered inside (group, bucket), so a large group is sorted in many pieces; the
-    start of each piece comes from the row counts of the earlier buckets. `bucket` must not
-    be null and must rise with the wanted order.
+    A hot group is numbered bucket by bucket, in as many tasks; the start of each bucket comes
+    from the row counts of the earlier ones. `bucket` must not be null and must rise with the
+    wanted order.
     """
-    earlier = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    hot = F.broadcast(hot_groups(df, keys, hot_rows).select(*keys, F.lit(True).alias("_hot")))
+    earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
     starts = (
-        df.groupBy(*keys, bucket)
+        df.join(hot, keys, "left_semi")
+        .groupBy(*keys, F.col(bucket).alias("_piece"))
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_start", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+        .withColumn("_start", F.sum("_rows").over(earlier))
         .drop("_rows")
     )
-    inside = Window.partitionBy(*keys, bucket).orderBy(*order)
+    inside = Window.partitionBy(*keys, "_piece").orderBy(bucket, *order)
     return (
-        df.join(starts, [*keys, bucket])
-        .withColumn(name, (F.col("_start") + F.row_number().over(inside)).cast("int"))
-        .drop("_start")
+        df.join(hot, keys, "left")
+        .withColumn("_piece", F.when(F.col("_hot"), F.col(bucket)))
+        .withColumn("_place", F.row_number().over(inside))
+        .join(starts, [*keys, "_piece"], "left")
+        .withColumn(name, (F.coalesce("_start", F.lit(0)) + F.col("_place")).cast("int"))
+        .drop("_hot", "_piece", "_place", "_start")
     )
 
 
-def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, fractions: dict[str, float], width: float
+def exact_ranks(
+    df: DataFrame, keys: list[str], value: str, indexes: dict, width: float
 ) -> DataFrame:
-    """Exact, linearly interpolated quantiles of `value` per group, one column per fraction.
+    """The values that stand at given places when each group is sorted by `value`.
 
-    Equal values are first merged to (value, count), then counted in bins of `width`; only the
-    bins that hold a wanted rank are sorted. No task sees a whole group, so a group may hold
-    any share of the rows.
+    `indexes` maps a result column to a function from the group's row count (a column) to a
+    0-based place. Equal values are first merged to (value, count), then counted in bins of
+    `width`; only bins that hold a wanted place are sorted. No task sees a whole group, so a
+    group may hold any share of the rows. `_total` is the row count of the group.
     """
     counted = (
         df.where(F.col(value).isNotNull())
@@ -49,38 +74,45 @@ def exact_quantiles(
         .withColumn("_below", F.coalesce(F.sum("_in_bin").over(earlier), F.lit(0)))
         .withColumn("_total", F.sum("_in_bin").over(group))
     )
-
-    ranks = {
-        name: F.lit(float(fraction)) * (F.col("_total") - 1) for name, fraction in fractions.items()
-    }
+    places = {name: index(F.col("_total")) for name, index in indexes.items()}
     wanted = F.lit(False)
-    for rank in ranks.values():
-        for index in (F.floor(rank), F.ceil(rank)):
-            wanted = wanted | F.col("_below").between(index - F.col("_in_bin") + 1, index)
-    picked = bins.where(wanted).drop("_in_bin")
-
+    for place in places.values():
+        inside = (F.col("_below") <= place) & (place < F.col("_below") + F.col("_in_bin"))
+        wanted = wanted | inside
     upto = Window.partitionBy(*keys, "_bin").orderBy("_value").rowsBetween(
         Window.unboundedPreceding, 0
     )
     ranked = (
-        counted.join(picked, [*keys, "_bin"])
+        counted.join(bins.where(wanted).drop("_in_bin"), [*keys, "_bin"])
         .withColumn("_after", F.col("_below") + F.sum("_n").over(upto))
         .withColumn("_before", F.col("_after") - F.col("_n"))
     )
-    picks = []
-    for name, rank in ranks.items():
-        for end, index in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
-            here = (F.col("_before") <= index) & (index < F.col("_after"))
-            picks.append(F.max(F.when(here, F.col("_value"))).alias(f"_{name}_{end}"))
-        picks.append(F.max(rank - F.floor(rank)).alias(f"_{name}_part"))
-    found = ranked.groupBy(*keys).agg(*picks)
-    return found.select(
-        *keys,
-        *[
-            (
-                F.col(f"_{name}_lo")
-                + (F.col(f"_{name}_hi") - F.col(f"_{name}_lo")) * F.col(f"_{name}_part")
-            ).alias(name)
-            for name in fractions
-        ],
-    )
+    picks = [
+        F.max(
+            F.when((F.col("_before") <= place) & (place < F.col("_after")), F.col("_value"))
+        ).alias(name)
+        for name, place in places.items()
+    ]
+    return ranked.groupBy(*keys).agg(*picks, F.max("_total").alias("_total"))
+
+
+def exact_quantiles(
+    df: DataFrame, keys: list[str], value: str, fractions: dict[str, float], width: float
+) -> DataFrame:
+    """Exact, linearly interpolated quantiles of `value` per group, one column per fraction."""
+
+    def rank(fraction, total):
+        return F.lit(float(fraction)) * (total - 1)
+
+    indexes = {}
+    for name, fraction in fractions.items():
+        indexes[f"_{name}_lo"] = lambda total, f=fraction: F.floor(rank(f, total))
+        indexes[f"_{name}_hi"] = lambda total, f=fraction: F.ceil(rank(f, total))
+    found = exact_ranks(df, keys, value, indexes, width)
+
+    def between(name, fraction):
+        part = rank(fraction, F.col("_total"))
+        low, high = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
+        return (low + (high - low) * (part - F.floor(part))).alias(name)
+
+    return found.select(*keys, *[between(n, f) for n, f in fractions.items()])

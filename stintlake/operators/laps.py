@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 
 from stintlake import constants as K
 from stintlake.functions import columns as C
-from stintlake.functions.groups import number_rows
+from stintlake.functions.groups import exact_ranks, number_rows
 
-LAPS_PER_BUCKET = 256
+LAPS_PER_BUCKET = 256.0
 
 
 def drop_missing_position(telemetry: DataFrame) -> DataFrame:
@@ -23,18 +23,17 @@ def laps_available(telemetry: DataFrame) -> DataFrame:
     return numbered.select(*K.LAP, (F.col("_place") - 1).alias("place"))
 
 
-def _middle(laps: DataFrame) -> DataFrame:
-    counts = laps.groupBy(*K.SESSION_DRIVER).agg(F.count(F.lit(1)).alias("_laps"))
-    return (
-        laps.join(counts, K.SESSION_DRIVER)
-        .where(F.col("place") == F.floor(F.col("_laps") / 2))
-        .select(*K.LAP)
-    )
+def middle_of(laps: DataFrame, by: list[str]) -> DataFrame:
+    """The middle lap number of each group of distinct laps: place floor(n / 2) from 0."""
+    return exact_ranks(
+        laps, by, "LapNumber", {"_middle": lambda n: F.floor(n / 2)}, LAPS_PER_BUCKET
+    ).select(*by, F.col("_middle").alias("LapNumber"))
 
 
 def middle_lap(telemetry: DataFrame) -> DataFrame:
     """The representative lap of each driver and race: the middle one of those available."""
-    return _middle(laps_available(telemetry))
+    laps = drop_missing_position(telemetry).select(*K.LAP).distinct()
+    return middle_of(laps, K.SESSION_DRIVER)
 
 
 def select_lap(telemetry: DataFrame, lap: int | None = None) -> DataFrame:

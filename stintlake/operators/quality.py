@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from stintlake import constants as K
 from stintlake.functions import columns as C
-from stintlake.functions.groups import exact_quantiles, number_rows
+from stintlake.functions.groups import exact_quantiles
 from stintlake.operators import laps as L
 
 SPACING_BIN_M = 1.0
@@ -44,15 +44,11 @@ def lap_position_quality(telemetry: DataFrame) -> DataFrame:
 
 def race_position_quality(telemetry: DataFrame) -> DataFrame:
     """Quality of a race, judged on the middle lap of its first driver by code."""
-    drivers = telemetry.groupBy(*K.RACE).agg(F.min("Driver").alias("Driver"))
-    laps = telemetry.select(*K.LAP).distinct().join(drivers, K.SESSION_DRIVER, "left_semi")
-    laps = laps.withColumn("_bucket", F.floor(F.col("LapNumber") / L.LAPS_PER_BUCKET))
-    placed = number_rows(laps, K.RACE, "_bucket", ["LapNumber"], "_place")
-    counts = laps.groupBy(*K.RACE).agg(F.count(F.lit(1)).alias("_laps"))
-    middle = placed.join(counts, K.RACE).where(
-        F.col("_place") - 1 == F.floor(F.col("_laps") / 2)
-    )
-    chosen = telemetry.join(middle.select(*K.LAP), K.LAP, "left_semi")
+    laps = telemetry.select(*K.LAP).distinct()
+    drivers = laps.groupBy(*K.RACE).agg(F.min("Driver").alias("Driver"))
+    first = laps.join(drivers, K.SESSION_DRIVER, "left_semi")
+    middle = L.middle_of(first, K.SESSION_DRIVER)
+    chosen = telemetry.join(middle, K.LAP, "left_semi")
     return lap_position_quality(chosen).select(
         *K.LAP, "quality", (F.col("quality") >= K.POSITION_OK).alias("position_ok")
     )

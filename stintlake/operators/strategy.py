@@ -5,7 +5,7 @@ on that lap. It always has 3 x 2 x 60 x 80 = 28,800 rows, whatever the size of t
 it may be broadcast. Laps and tyre lives beyond the grid use its last row or column.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stintlake import constants as K
@@ -13,7 +13,6 @@ from stintlake.functions import columns as C
 
 LAST_TYRE = K.GRID_TYRES - 1
 LAST_LAP = K.GRID_LAPS - 1
-REQUEST = ["first_compound", "second_compound", "start_lap", "start_tyre", "total_laps", "pit_loss"]
 
 
 def grid_cells(spark) -> DataFrame:
@@ -29,7 +28,7 @@ def grid_cells(spark) -> DataFrame:
 
 
 def cost_tables(grid: DataFrame) -> DataFrame:
-    """One row per (compound, stint): the grid as an array, and the array `ahead`.
+    """One row per (compound, stint): the array `ahead` over the cells, and the last cell.
 
     On a stint tyre life and lap number rise together until both stand at the last cell.
     `ahead` holds, per cell, the sum of (pred - pred of the last cell) over the laps until
@@ -40,31 +39,39 @@ def cost_tables(grid: DataFrame) -> DataFrame:
     last = cells.where((F.col("tyre") == LAST_TYRE) & (F.col("lap") == LAST_LAP)).select(
         "compound", "stint", F.col("pred").alias("limit")
     )
-    steps = F.greatest(LAST_TYRE - F.col("tyre"), LAST_LAP - F.col("lap"))
-    walks = cells.select(
-        "compound",
-        "stint",
-        (F.col("tyre") * K.GRID_LAPS + F.col("lap")).alias("cell"),
-        F.col("pred").alias("here"),
-        "tyre",
-        "lap",
-        F.explode(F.sequence(F.lit(0), steps)).alias("k"),
-    ).select(
-        "compound",
-        "stint",
-        "cell",
-        "here",
-        F.least(F.col("tyre") + F.col("k"), F.lit(LAST_TYRE)).alias("tyre"),
-        F.least(F.col("lap") + F.col("k"), F.lit(LAST_LAP)).alias("lap"),
+    # Every cell lies on the walk from a cell of the first row or column.
+    walks = (
+        cells.where((F.col("tyre") == 0) | (F.col("lap") == 0))
+        .select(
+            "compound",
+            "stint",
+            (F.col("lap") - F.col("tyre")).alias("walk"),
+            F.col("tyre").alias("_tyre"),
+            F.col("lap").alias("_lap"),
+            F.explode(F.sequence(F.lit(0), F.lit(LAST_TYRE + LAST_LAP))).alias("k"),
+        )
+        .withColumns({"at_tyre": F.col("_tyre") + F.col("k"), "at_lap": F.col("_lap") + F.col("k")})
+        .withColumns(
+            {
+                "tyre": F.least("at_tyre", F.lit(LAST_TYRE)),
+                "lap": F.least("at_lap", F.lit(LAST_LAP)),
+            }
+        )
     )
+    onward = Window.partitionBy("compound", "stint", "walk").orderBy(F.desc("k"))
     return (
         walks.join(F.broadcast(cells), ["compound", "stint", "tyre", "lap"])
         .join(F.broadcast(last), ["compound", "stint"])
-        .groupBy("compound", "stint", "cell", "here", "limit")
-        .agg(F.sum(F.col("pred") - F.col("limit")).alias("ahead"))
+        .withColumn(
+            "ahead",
+            F.sum(F.col("pred") - F.col("limit")).over(
+                onward.rowsBetween(Window.unboundedPreceding, 0)
+            ),
+        )
+        .where((F.col("at_tyre") <= LAST_TYRE) & (F.col("at_lap") <= LAST_LAP))
         .groupBy("compound", "stint", "limit")
-        .agg(F.array_sort(F.collect_list(F.struct("cell", "here", "ahead"))).alias("cells"))
-        .select("compound", "stint", "limit", "cells.here", "cells.ahead")
+        .agg(F.array_sort(F.collect_list(F.struct("tyre", "lap", "ahead"))).alias("cells"))
+        .select("compound", "stint", "limit", "cells.ahead")
     )
 
 
@@ -88,7 +95,7 @@ def _with_table(requests: DataFrame, tables: DataFrame, compound: str, stint, na
     side = tables.select(
         F.col("compound").alias(compound),
         F.col("stint").alias("_stint"),
-        F.struct("limit", "here", "ahead").alias(name),
+        F.struct("limit", "ahead").alias(name),
     )
     return (
         requests.withColumn("_stint", stint)
@@ -125,37 +132,32 @@ def _candidates() -> Column:
 
 
 def best_stop(requests: DataFrame, grid: DataFrame) -> DataFrame:
-    """Adds `pit_window`, the cheapest stop lap (the earliest of equals), and its cost.
+    """Adds `pit_window`, the cheapest stop lap (the earliest of equals), and its `cost`.
 
     Both are null when the race leaves no room for a stop or the grid lacks a compound. Costs
-    are compared to the microsecond, so summing noise does not decide between equal laps.
-    Equal requests are solved once.
+    are compared to the microsecond, so summing noise does not decide between equal laps. All
+    candidates of a request are priced inside its row: nothing is shuffled.
     """
     tables = cost_tables(grid)
-    distinct = requests.select(*REQUEST).distinct()
-    priced = _with_table(distinct, tables, "first_compound", F.lit(1), "_one")
+    priced = _with_table(requests, tables, "first_compound", F.lit(1), "_one")
     priced = _with_table(priced, tables, "second_compound", F.lit(2), "_two")
-    stops = priced.withColumn("_stop", F.explode(_candidates()))
-    stop = F.col("_stop")
-    cost = (
-        _run_cost(
+
+    def option(stop):
+        first = _run_cost(
             F.col("_one"), F.col("start_tyre"), F.col("start_lap"), stop - F.col("start_lap") + 1
         )
-        + F.col("pit_loss")
-        + _run_cost(F.col("_two"), F.lit(1), stop + 1, F.col("total_laps") - stop)
-    )
-    solved = (
-        stops.withColumn("_cost", C.half_up(cost, 6))
-        .where(F.col("_cost").isNotNull())
-        .groupBy(*REQUEST)
-        .agg(F.min(F.struct("_cost", "_stop")).alias("_best"))
-        .select(
-            *REQUEST,
-            F.col("_best._stop").cast("int").alias("pit_window"),
-            C.half_up("_best._cost", 2).alias("cost"),
-        )
+        second = _run_cost(F.col("_two"), F.lit(1), stop + 1, F.col("total_laps") - stop)
+        cost = C.half_up(first + F.col("pit_loss") + second, 6)
+        return F.struct(cost.alias("cost"), stop.alias("stop"))
+
+    best = F.array_min(F.transform(_candidates(), option))
+    known = F.col("_one").isNotNull() & F.col("_two").isNotNull()
+    return (
+        priced.withColumn("_best", F.when(known, best))
+        .withColumn("pit_window", F.col("_best.stop").cast("int"))
+        .withColumn("cost", C.half_up("_best.cost", 2))
+        .drop("_one", "_two", "_best")
     )
-    return requests.join(solved, REQUEST, "left")
 
 
 def stop_requests(laps: DataFrame) -> DataFrame:
@@ -177,12 +179,10 @@ def stop_requests(laps: DataFrame) -> DataFrame:
         F.count_if(one).alias("stint1_laps"),
         F.min(F.when(two, F.col("LapNumber"))).alias("pit_real"),
         F.max("LapNumber").alias("_last"),
-    )
-    totals = drivers.groupBy(*K.RACE).agg(F.max("_last").alias("total_laps"))
+    ).withColumn("total_laps", F.max("_last").over(Window.partitionBy(*K.RACE)))
     other = F.element_at(C.literal_map(K.SECOND_COMPOUND), F.col("first_compound"))
     return (
         drivers.where(C.is_dry("first_compound"))
-        .join(totals, K.RACE)
         .withColumn(
             "second_compound", F.when(C.is_dry("_fitted"), F.col("_fitted")).otherwise(other)
         )
@@ -193,13 +193,21 @@ def stop_requests(laps: DataFrame) -> DataFrame:
 
 def wear_slope(requests: DataFrame, grid: DataFrame) -> DataFrame:
     """Adds `wear_s_lap`, seconds lost per lap of tyre life between 5 and 20 laps of use."""
-    priced = _with_table(requests, cost_tables(grid), "first_compound", F.lit(1), "_one")
-    lap = F.col("start_lap")
-    values = F.col("_one")["here"]
-    slope = (_at(values, F.lit(20), lap) - _at(values, F.lit(5), lap)) / F.lit(15.0)
-    return priced.withColumn(
-        "wear_s_lap", F.coalesce(C.half_up(C.half_up(slope, 9), 3), F.lit(0.0))
-    ).drop("_one")
+
+    def pred(tyre):
+        return F.max(F.when(F.col("tyre") == tyre, F.col("pred")))
+
+    slopes = (
+        grid.where((F.col("stint") == 1) & F.col("tyre").isin(5, 20))
+        .groupBy(F.col("compound").alias("first_compound"), F.col("lap").alias("_lap"))
+        .agg(((pred(20) - pred(5)) / F.lit(15.0)).alias("_slope"))
+    )
+    return (
+        requests.withColumn("_lap", F.least("start_lap", F.lit(LAST_LAP)))
+        .join(F.broadcast(slopes), ["first_compound", "_lap"], "left")
+        .withColumn("wear_s_lap", F.coalesce(C.half_up(C.half_up("_slope", 9), 3), F.lit(0.0)))
+        .drop("_lap", "_slope")
+    )
 
 
 def predict_stops(laps: DataFrame, grid: DataFrame) -> DataFrame:

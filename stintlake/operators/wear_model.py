@@ -2,6 +2,7 @@
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
@@ -82,7 +83,11 @@ def random_holdout(df: DataFrame, seed: int = 42, share: float = 0.2) -> DataFra
 def train_wear(
     df: DataFrame, params: WearParams = WearParams(), target: str = K.MODEL_TARGET
 ) -> PipelineModel:
-    """Fits the boosted trees on rows made by `features`."""
+    """Fits the boosted trees on rows made by `features`.
+
+    The trees pass over the rows many times, so these are cached for the time of the fit. On
+    a cluster the long lineage of the boosting is cut in the folder of spark.checkpoint.dir.
+    """
     inputs = NUMERIC + [name for name in df.columns if name.startswith("Compound_")]
     inputs = [name for name in inputs if name in df.columns]
     trees = GBTRegressor(
@@ -95,7 +100,12 @@ def train_wear(
         lossType="squared",
         seed=params.seed,
     )
-    return Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="features"), trees]).fit(df)
+    stages = [VectorAssembler(inputCols=inputs, outputCol="features"), trees]
+    rows = df.select(*inputs, target).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return Pipeline(stages=stages).fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def importances(model: PipelineModel) -> list[tuple[str, float]]:
@@ -128,35 +138,45 @@ def prediction_grid(spark, model: PipelineModel) -> DataFrame:
     )
 
 
+def _training_stats(split: DataFrame, target: str):
+    """Mean target and number of the training rows, as a struct column."""
+    training = ~F.col("validation")
+    return split.agg(
+        F.struct(
+            F.avg(F.when(training, F.col(target))).alias("mean"),
+            F.count_if(training).alias("laps"),
+        )
+    ).scalar()
+
+
 def baseline_mae(split: DataFrame, target: str = K.MODEL_TARGET) -> DataFrame:
     """Error on the validation rows of always predicting the training mean."""
-    mean = split.where(~F.col("validation")).agg(F.avg(target)).scalar()
-    rows = split.groupBy("validation").agg(F.count(F.lit(1)).alias("_rows"))
-    return split.where(F.col("validation")).agg(
-        F.avg(F.abs(F.col(target) - mean)).alias("baseline"),
-        F.count(F.lit(1)).alias("validation_laps"),
-    ).select(
-        "baseline",
-        "validation_laps",
-        F.coalesce(
-            rows.where(~F.col("validation")).agg(F.sum("_rows")).scalar(), F.lit(0)
-        ).alias("training_laps"),
-    )
+    return evaluate(None, split, target).select("baseline", "validation_laps", "training_laps")
 
 
 def evaluate(
-    model: PipelineModel, split: DataFrame, target: str = K.MODEL_TARGET
+    model: PipelineModel | None, split: DataFrame, target: str = K.MODEL_TARGET
 ) -> DataFrame:
-    """Error of the model on the validation rows against the mean, gain in percent, and
-    whether the model is of use at all. One row."""
-    scored = model.transform(split.where(F.col("validation")))
-    mae = scored.agg(F.avg(F.abs(F.col(target) - F.col("prediction")))).scalar()
+    """Error of the model on the validation rows against the training mean, gain in percent,
+    and whether the model is of use at all. One row, from one pass over the validation rows."""
+    stats = _training_stats(split, target)
+    scored = split.where(F.col("validation"))
+    if model is None:
+        scored = scored.withColumn("prediction", stats["mean"])
+    else:
+        scored = model.transform(scored)
+    errors = scored.agg(
+        F.avg(F.abs(F.col(target) - stats["mean"])).alias("baseline"),
+        F.avg(F.abs(F.col(target) - F.col("prediction"))).alias("mae"),
+        F.count(F.lit(1)).alias("validation_laps"),
+    )
     gain = (F.lit(1.0) - F.col("mae") / F.nullif(F.col("baseline"), F.lit(0.0))) * F.lit(100.0)
-    return (
-        baseline_mae(split, target)
-        .withColumn("mae", mae)
-        .withColumn("gain_pct", gain)
-        .withColumn("better", F.col("mae") < F.col("baseline"))
+    return errors.withColumns(
+        {
+            "training_laps": F.coalesce(stats["laps"], F.lit(0)),
+            "gain_pct": gain,
+            "better": F.col("mae") < F.col("baseline"),
+        }
     )
 
 

@@ -11,6 +11,7 @@ from stintlake import constants as K
 from stintlake.functions import columns as C
 from stintlake.functions.groups import exact_quantiles, number_rows
 from stintlake.operators import cleaning, strategy
+from stintlake.plans.stored import stored
 
 LAP_SAMPLES = 22
 
@@ -37,11 +38,18 @@ def _supplier_nations(spark, sf_dir) -> DataFrame:
 
 def lap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Laps with the lap time in whole milliseconds (`ms`)."""
-    lines = table(spark, sf_dir, "lineitem").select(
-        "l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice",
-        "l_discount", "l_tax", F.year("l_shipdate").alias("Year"),
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    lines = (
+        table(spark, sf_dir, "lineitem")
+        .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(_nations(spark, sf_dir), F.col("s_nationkey") == F.col("n_nationkey"))
+        .select(
+            "l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey",
+            "l_extendedprice", "l_discount", "l_tax", "n_nationkey", "n_name",
+            F.year("l_shipdate").alias("Year"),
+        )
     )
-    # A season of a driver is numbered day by day, so a busy driver is sorted in many pieces.
+    # A very busy driver's season is numbered day by day.
     numbered = number_rows(
         lines,
         ["Year", "l_suppkey"],
@@ -50,32 +58,23 @@ def lap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "LapNumber",
     )
     noise = (F.col("l_partkey") * 7919 + F.col("l_orderkey") * 31) % 800
-    wear = (
-        F.when(F.col("Compound") == "SOFT", 90)
-        .when(F.col("Compound") == "MEDIUM", 60)
-        .when(F.col("Compound") == "HARD", 35)
-        .otherwise(20)
-    )
-    choice = (F.col("l_suppkey") + F.col("Year") + F.col("Stint")) % 4
+    choice = ((F.col("l_suppkey") + F.col("Year") + F.col("Stint")) % 4).cast("int")
+    compounds = F.lit(["SOFT", "MEDIUM", "HARD", "INTERMEDIATE"])
+    wear, penalty = F.lit([90, 60, 35, 20]), F.lit([0, 0, 0, 9000])
     ms = (
         F.lit(80000)
         + 1000 * (F.col("n_nationkey") % 20)
         + 55 * (60 - F.col("LapNumber"))
         + noise
-        + F.col("TyreLife") * wear
-        + F.when(F.col("Compound") == "INTERMEDIATE", 9000).otherwise(0)
-        + F.when(F.round(F.col("l_discount") * 100) == 10, 15000).otherwise(0)
+        + F.col("TyreLife") * F.get(wear, F.col("_choice"))
+        + F.get(penalty, F.col("_choice"))
+        + (F.round(F.col("l_discount") * 100) == 10).cast("int") * 15000
     )
     untimed = (F.col("l_linenumber") == 7) & (F.round(F.col("l_tax") * 100) == 8)
     return (
-        numbered.join(_supplier_nations(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey"))
-        .withColumn("Stint", F.floor((F.col("LapNumber") - 1) / 25).cast("int") + 1)
+        numbered.withColumn("Stint", F.floor((F.col("LapNumber") - 1) / 25).cast("int") + 1)
         .withColumn("TyreLife", (F.col("LapNumber") - 1) % 25 + 1)
-        .withColumn(
-            "Compound",
-            F.when(choice == 0, "SOFT").when(choice == 1, "MEDIUM").when(choice == 2, "HARD")
-            .otherwise("INTERMEDIATE"),
-        )
+        .withColumn("_choice", choice)
         .select(
             "Year",
             _race(),
@@ -83,7 +82,7 @@ def lap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit("T"), (F.col("l_suppkey") % 10).cast("string")).alias("Team"),
             "LapNumber",
             "Stint",
-            "Compound",
+            F.get(compounds, F.col("_choice")).alias("Compound"),
             "TyreLife",
             F.when(~untimed, ms).alias("ms"),
         )
@@ -91,6 +90,10 @@ def lap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def laps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "laps", lambda: _laps(spark, sf_dir))
+
+
+def _laps(spark: SparkSession, sf_dir: str) -> DataFrame:
     def part(share):
         return (F.col("ms") * share).cast("double") / F.lit(100000.0)
 
@@ -109,6 +112,10 @@ def silver_laps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def telemetry_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Telemetry with the event it comes from (event_id, ts, user_id)."""
+    return stored(spark, sf_dir, "telemetry", lambda: _telemetry_rows(spark, sf_dir))
+
+
+def _telemetry_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
     events = events.withColumn("_hour", C.hour_bucket("ts"))
     numbered = number_rows(events, ["user_id"], "_hour", ["ts", "event_id"], "rn")

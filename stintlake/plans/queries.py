@@ -12,6 +12,7 @@ from stintlake.operators import (
     track, wear_model,
 )
 from stintlake.plans import fixtures as X
+from stintlake.plans.stored import stored
 from stintlake.sources import readers
 
 AS_OF = date(2001, 7, 1)
@@ -251,7 +252,8 @@ def _training(spark, sf):
 
 
 def _model(spark, sf):
-    split = wear_model.holdout_split(_training(spark, sf))
+    rows = stored(spark, sf, "training", lambda: _training(spark, sf))
+    split = wear_model.holdout_split(rows)
     return wear_model.train_wear(split.where(~F.col("validation")), CHECK_MODEL), split
 
 

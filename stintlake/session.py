@@ -20,6 +20,7 @@ def local_session(name: str, cores: str = "*", memory: str = "8g") -> SparkSessi
         .appName(name)
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", memory)
+        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.shuffle.partitions", os.environ.get("SHUFFLE_PARTITIONS", "8"))
     )
     for key, value in SETTINGS.items():

@@ -7,24 +7,21 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from stintlake import schemas
+from stintlake.functions.groups import hot_groups
 
 log = logging.getLogger(__name__)
 
 ROWS_PER_FILE = 20_000_000
-HOT_SHARE = 10_000
 
 
 def _one_task_per_folder(df: DataFrame, partition: list[str], rows_per_file: int) -> DataFrame:
     """One task, so one file, per output folder; folders above `rows_per_file` get several.
 
-    A folder is split only if it also holds more than 1/10,000 of all rows. There are fewer
-    than 10,000 such folders whatever the data, so the list of them may be broadcast.
+    A folder is split only if it also holds more than 1/10,000 of all rows, see `hot_groups`.
     """
-    sizes = df.groupBy(*partition).agg(F.count(F.lit(1)).alias("_rows"))
-    total = sizes.agg(F.sum("_rows")).scalar()
-    large = sizes.where(
-        (F.col("_rows") > rows_per_file) & (F.col("_rows") * HOT_SHARE > total)
-    ).select(*partition, F.ceil(F.col("_rows") / rows_per_file).alias("_files"))
+    large = hot_groups(df, partition, rows_per_file).select(
+        *partition, F.ceil(F.col("_rows") / rows_per_file).alias("_files")
+    )
     inner = [name for name in df.columns if name not in partition]
     part = F.pmod(F.xxhash64(*inner), F.coalesce("_files", F.lit(1)))
     return (
