@@ -43,10 +43,10 @@ def number_rows(
     return (
         df.join(hot, keys, "left")
         .withColumn("_piece", F.when(F.col("_hot"), F.col(bucket)))
-        .withColumn("_place", F.row_number().over(inside))
+        .withColumn("_in_piece", F.row_number().over(inside))
         .join(starts, [*keys, "_piece"], "left")
-        .withColumn(name, (F.coalesce("_start", F.lit(0)) + F.col("_place")).cast("int"))
-        .drop("_hot", "_piece", "_place", "_start")
+        .withColumn(name, (F.coalesce("_start", F.lit(0)) + F.col("_in_piece")).cast("int"))
+        .drop("_hot", "_piece", "_in_piece", "_start")
     )
 
 

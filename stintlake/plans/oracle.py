@@ -40,6 +40,10 @@ def _loss(slug: str) -> str:
     return _cases(slug, K.PIT_LOSS, f"CAST({K.PIT_LOSS_DEFAULT} AS DOUBLE)")
 
 
+def mean(value: str, digits: int) -> str:
+    return up(up(value, 9), digits)
+
+
 TABLES = {}
 
 TABLES["laps"] = """
@@ -436,10 +440,10 @@ _LAP_TYPES = [
     ("Sector3Time", "double"),
 ]
 _MERGED = ", ".join(map(str, Q.MERGE_YEARS))
-_METRICS = f"""SELECT count(*) AS rows, {up('sqrt(avg((LapTime - hat) * (LapTime - hat)))', 6)} AS rmse,
- {up('avg(abs(LapTime - hat))', 6)} AS mae,
- {up('1e0 - avg((LapTime - hat) * (LapTime - hat)) / var_pop(LapTime)', 6)} AS r2,
- {up('avg(abs(LapTime - hat) / abs(LapTime)) * 100e0', 6)} AS mape FROM predicted"""
+_METRICS = f"""SELECT count(*) AS rows, {mean('sqrt(avg((LapTime - hat) * (LapTime - hat)))', 6)} AS rmse,
+ {mean('avg(abs(LapTime - hat))', 6)} AS mae,
+ {mean('1e0 - avg((LapTime - hat) * (LapTime - hat)) / var_pop(LapTime)', 6)} AS r2,
+ {mean('avg(abs(LapTime - hat) / abs(LapTime)) * 100e0', 6)} AS mape FROM predicted"""
 
 BODIES = {
     "source_schema": "SELECT p AS position, c AS column, t AS type, (SELECT count(*) FROM laps) AS rows FROM (VALUES "
@@ -517,9 +521,9 @@ BODIES = {
  pit_window - pit_real AS DiferenciaVueltas FROM predictions p LEFT JOIN names ON slug = gp""",
     "warehouse_summary": """SELECT count(*) AS rows, count(DISTINCT Year) AS seasons, count(DISTINCT GrandPrix) AS circuits
  FROM warehouse""",
-    "bi_lap_curve": f"""SELECT LapNumber, {up('avg(LapTime)', 4)} AS mean_lap_time, count(*) AS laps FROM warehouse
+    "bi_lap_curve": f"""SELECT LapNumber, {mean('avg(LapTime)', 4)} AS mean_lap_time, count(*) AS laps FROM warehouse
  WHERE Compound IN {DRY} GROUP BY 1""",
-    "bi_wear_curve": f"""SELECT TyreLife, {up('avg(DeltaRitmo)', 4)} AS mean_delta, count(*) AS laps FROM warehouse
+    "bi_wear_curve": f"""SELECT TyreLife, {mean('avg(DeltaRitmo)', 4)} AS mean_delta, count(*) AS laps FROM warehouse
  WHERE Compound IN {DRY} GROUP BY 1""",
     "bi_stop_error": f"""SELECT gp, count(*) AS stops, {up('avg(abs(pit_window - pit_real))', 4)} AS mean_error,
  {up('avg(pit_window - pit_real)', 4)} AS mean_bias FROM predictions
@@ -533,7 +537,7 @@ BODIES = {
     "holdout_circuit": "SELECT * FROM held_out",
     "holdout_split": f"SELECT {LAP}, GrandPrix = (SELECT GrandPrix FROM held_out) AS validation FROM era",
     "baseline_mae": f"""WITH t AS (SELECT avg(LapTimeDelta) AS m, count(*) AS n FROM era WHERE GrandPrix <> (SELECT GrandPrix FROM held_out))
- SELECT {up('avg(abs(LapTimeDelta - (SELECT m FROM t)))', 4)} AS baseline, count(*) AS validation_laps,
+ SELECT {mean('avg(abs(LapTimeDelta - (SELECT m FROM t)))', 4)} AS baseline, count(*) AS validation_laps,
  (SELECT n FROM t) AS training_laps FROM era WHERE GrandPrix = (SELECT GrandPrix FROM held_out)""",
     "regression_metrics": _METRICS,
     "metrics_dry": _METRICS + " WHERE Compound <> 'INTERMEDIATE'",
@@ -555,7 +559,7 @@ BODIES = {
  count(*) FILTER (error_vueltas <= 5) AS aciertos_5_vueltas FROM predictions""",
     "strategy_lookup": f"""SELECT year, gp, driver, pit_window, pit_real, (SELECT count(*) FROM predictions) AS predicciones_totales,
  (SELECT {up('avg(error_vueltas)', 2)} FROM predictions) AS mae_vueltas, '1995-1998' AS era,
- (SELECT {up('avg(abs(LapTime - hat))', 3)} FROM predicted WHERE Year <= 1998) AS mae_segundos
+ (SELECT {mean('avg(abs(LapTime - hat))', 3)} FROM predicted WHERE Year <= 1998) AS mae_segundos
  FROM predictions WHERE year = 1996 AND gp = 'nation_15' AND driver = 'S0000'""",
     "strategy_card": f"""SELECT year, gp, driver, pit_window - pit_real AS difference,
  CASE WHEN pit_window > pit_real THEN 'late' WHEN pit_window < pit_real THEN 'early' WHEN pit_window = pit_real THEN 'exact' END AS verdict,

@@ -28,6 +28,12 @@ def rounded(df: DataFrame, **digits: int) -> DataFrame:
     return df.withColumns({name: C.half_up(name, n) for name, n in digits.items()})
 
 
+def averaged(df: DataFrame, **digits: int) -> DataFrame:
+    """Rounds means: first far below the shown digits, so that the order in which a sum was
+    formed cannot decide a tie."""
+    return df.withColumns({name: C.half_up(C.half_up(name, 9), n) for name, n in digits.items()})
+
+
 def points(spark: SparkSession, sf: str) -> DataFrame:
     return lap_ops.lap_points(lap_ops.drop_missing_position(X.telemetry(spark, sf)))
 
@@ -227,12 +233,12 @@ def warehouse_summary(spark, sf):
 
 def bi_lap_curve(spark, sf):
     curve = pace.bi_lap_curve(_warehouse_laps(spark, sf), Compound=K.DRY_COMPOUNDS)
-    return rounded(curve, mean_lap_time=4)
+    return averaged(curve, mean_lap_time=4)
 
 
 def bi_wear_curve(spark, sf):
     curve = pace.bi_wear_curve(_warehouse_laps(spark, sf), Compound=K.DRY_COMPOUNDS)
-    return rounded(curve, mean_delta=4)
+    return averaged(curve, mean_delta=4)
 
 
 def bi_stop_error(spark, sf):
@@ -280,8 +286,9 @@ def random_holdout(spark, sf):
 
 
 def baseline_mae(spark, sf):
-    return rounded(wear_model.baseline_mae(wear_model.holdout_split(_training(spark, sf))),
-                   baseline=4)
+    return averaged(
+        wear_model.baseline_mae(wear_model.holdout_split(_training(spark, sf))), baseline=4
+    )
 
 
 def wear_model_predictions(spark, sf):
@@ -319,12 +326,12 @@ def wear_grid(spark, sf):
 
 def regression_metrics(spark, sf):
     measured = wear_model.regression_metrics(X.predicted_laps(spark, sf), "LapTime", "LapTimeHat")
-    return rounded(measured, rmse=6, mae=6, r2=6, mape=6)
+    return averaged(measured, rmse=6, mae=6, r2=6, mape=6)
 
 
 def metrics_dry(spark, sf):
     measured = wear_model.metrics_dry(X.predicted_laps(spark, sf), "LapTime", "LapTimeHat")
-    return rounded(measured, rmse=6, mae=6, r2=6, mape=6)
+    return averaged(measured, rmse=6, mae=6, r2=6, mape=6)
 
 
 # Strategy -------------------------------------------------------------------------------------------
@@ -377,7 +384,7 @@ def _era_records(spark, sf):
     error = F.avg(F.abs(F.col("LapTime") - F.col("LapTimeHat")))
     return laps.groupBy(F.when(first, "1995-1998").otherwise("1999-2001").alias("era")).agg(
         F.array_sort(F.collect_set("Year")).alias("years"),
-        C.half_up(error, 3).alias("mae_segundos"),
+        C.half_up(C.half_up(error, 9), 3).alias("mae_segundos"),
     )
 
 
