@@ -1,10 +1,11 @@
 """Lap serving: which laps exist, which one to show, and its points."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stintlake import constants as K
 from stintlake.functions import columns as C
+from stintlake.functions import ordered
 from stintlake.functions.groups import exact_ranks, number_rows
 
 LAPS_PER_BUCKET = 256.0
@@ -115,17 +116,24 @@ def head_to_head(laps: DataFrame, telemetry: DataFrame, first: str, second: str)
 
 def lap_progress(points: DataFrame) -> DataFrame:
     """Progress of each point of a lap in percent, by index and as a share of the distance."""
-    lap = Window.partitionBy(*K.LAP)
-    ordered = lap.orderBy("distance", "x", "y")
-    index = F.row_number().over(ordered) - 1
-    last = F.count(F.lit(1)).over(lap) - 1
-    start = F.min("distance").over(lap)
-    span = F.max("distance").over(lap) - start
-    return points.withColumns(
+    placed = ordered.cut(points, K.LAP, F.floor("distance"))
+    numbered = ordered.running_sum(placed, K.LAP, ["distance", "x", "y"], _place=F.lit(1))
+    measured = ordered.group_values(
+        numbered,
+        K.LAP,
+        _points=F.count(F.lit(1)),
+        _start=F.min("distance"),
+        _end=F.max("distance"),
+    )
+    last = F.col("_points") - 1
+    span = F.col("_end") - F.col("_start")
+    return measured.withColumns(
         {
-            "progress_pct": F.when(last > 0, index / last * F.lit(100.0)).otherwise(F.lit(0.0)),
+            "progress_pct": F.when(
+                last > 0, (F.col("_place") - 1) / last * F.lit(100.0)
+            ).otherwise(F.lit(0.0)),
             "distance_ratio": F.when(span == 0, F.lit(0.0)).otherwise(
-                (F.col("distance") - start) / span
+                (F.col("distance") - F.col("_start")) / span
             ),
         }
-    )
+    ).drop("_piece", "_place", "_points", "_start", "_end")

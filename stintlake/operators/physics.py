@@ -1,7 +1,7 @@
 """Forces derived from position, speed and distance, for every lap at once.
 
 All functions take points as `laps.lap_points` serves them; distances are compared as whole
-decimetres. Windows are keyed by lap.
+decimetres. Windows are keyed by lap, hot laps are cut (see `functions.ordered`).
 """
 
 from pyspark.sql import DataFrame, Window
@@ -9,12 +9,68 @@ from pyspark.sql import functions as F
 
 from stintlake import constants as K
 from stintlake.functions import columns as C
+from stintlake.functions import ordered
+from stintlake.functions.groups import exact_quantiles
 
-POINT_ORDER = ["_dm", "x", "y", "speed"]
+G_BIN = 0.05
 
+POINT = ["x", "y", "speed"]
 
-def _decimetres(points: DataFrame) -> DataFrame:
-    return points.withColumn("_dm", F.round(F.col("distance") * 10).cast("long"))
+
+def _point():
+    return F.struct(F.col("_dm").alias("dm"), *POINT)
+
+
+def located(points: DataFrame, base_m: int = K.NEIGHBOUR_BASE_M) -> DataFrame:
+    """Adds `_dm`, `_place` (from 1), and the structs `before` and `after`, see `neighbours`.
+
+    A hot lap is cut at every decimetre, so all points of a piece share their neighbours and
+    these are found among the pieces.
+    """
+    decimetre = F.round(F.col("distance") * 10).cast("long")
+    cut = ordered.cut(points.withColumn("_dm", decimetre), K.LAP, F.col("_dm"))
+    numbered = ordered.running_sum(cut, K.LAP, ["_dm", *POINT], _place=F.lit(1))
+    base, whole = base_m * 10, F.col("_piece").isNull()
+
+    def frames(window):
+        far = window.orderBy("_dm").rangeBetween(Window.unboundedPreceding, -base)
+        ahead = window.orderBy(F.desc("_dm")).rangeBetween(Window.unboundedPreceding, -base)
+        return far, ahead
+
+    # The frames grow from one side only, so they are maintained incrementally.
+    far, ahead = frames(ordered.inside(K.LAP))
+    piece_far, piece_ahead = frames(Window.partitionBy(*K.LAP))
+    carried = (
+        ordered.hot(numbered)
+        .groupBy(*K.LAP, "_piece", "_dm")
+        .agg(F.min(_point()).alias("_low"), F.max(_point()).alias("_high"))
+        .select(
+            *K.LAP,
+            "_piece",
+            F.max("_high").over(piece_far).alias("_piece_before"),
+            F.min("_low").over(piece_ahead).alias("_piece_after"),
+        )
+    )
+    ends = ordered.group_values(
+        numbered,
+        K.LAP,
+        _points=F.count(F.lit(1)),
+        _first=F.min(_point()),
+        _last=F.max(_point()),
+    )
+    inner = (F.col("_place") > 1) & (F.col("_place") < F.col("_points"))
+    before = F.when(whole, F.col("_before")).otherwise(F.col("_piece_before"))
+    after = F.when(whole, F.col("_after")).otherwise(F.col("_piece_after"))
+    return (
+        ends.withColumn("_before", F.max(_point()).over(far))
+        .withColumn("_after", F.min(_point()).over(ahead))
+        .join(carried, [*K.LAP, "_piece"], "left")
+        .withColumn("before", F.when(inner, F.coalesce(before, "_first")))
+        .withColumn("after", F.when(inner, F.coalesce(after, "_last")))
+        .drop(
+            "_points", "_first", "_last", "_before", "_after", "_piece_before", "_piece_after"
+        )
+    )
 
 
 def neighbours(points: DataFrame, base_m: int = K.NEIGHBOUR_BASE_M) -> DataFrame:
@@ -22,30 +78,11 @@ def neighbours(points: DataFrame, base_m: int = K.NEIGHBOUR_BASE_M) -> DataFrame
 
     `before` and `after` are structs (dm, x, y, speed); near a lap end, where no point is far
     enough, they are the first or last point of the lap. Both are null on the end points.
-    The frames grow from one side only, so they are maintained incrementally.
     """
-    base = base_m * 10
-    lap = Window.partitionBy(*K.LAP)
-    upwards = lap.orderBy("_dm").rangeBetween(Window.unboundedPreceding, -base)
-    downwards = lap.orderBy(F.desc("_dm")).rangeBetween(Window.unboundedPreceding, -base)
-    point = F.struct(F.col("_dm").alias("dm"), "x", "y", "speed")
-    place = F.row_number().over(lap.orderBy(*POINT_ORDER))
-    return (
-        _decimetres(points)
-        .withColumn("_place", place)
-        .withColumn("_points", F.count(F.lit(1)).over(lap))
-        .withColumn("_first", F.min(point).over(lap))
-        .withColumn("_last", F.max(point).over(lap))
-        .withColumn("_inner", (F.col("_place") > 1) & (F.col("_place") < F.col("_points")))
-        .withColumn("_before", F.max(point).over(upwards))
-        .withColumn("_after", F.min(point).over(downwards))
-        .withColumn("before", F.when(F.col("_inner"), F.coalesce("_before", "_first")))
-        .withColumn("after", F.when(F.col("_inner"), F.coalesce("_after", "_last")))
-        .drop("_points", "_first", "_last", "_inner", "_before", "_after")
-    )
+    return located(points, base_m).drop("_dm", "_place", "_piece")
 
 
-def _curvature(located: DataFrame) -> DataFrame:
+def _curvature(points: DataFrame) -> DataFrame:
     """Adds the half span `_ds`, the ungated curvature `_bend` and the gate `_coherent`."""
     before, after = F.col("before"), F.col("after")
     dx_in, dy_in = F.col("x") - before["x"], F.col("y") - before["y"]
@@ -58,7 +95,7 @@ def _curvature(located: DataFrame) -> DataFrame:
     ratio = F.lit(K.COHERENCE_RATIO)
     turn = F.abs(C.angle_difference(F.atan2(dy_out, dx_out), F.atan2(dy_in, dx_in)))
     span = (after["dm"] - before["dm"]) / F.lit(20.0)
-    return located.withColumns(
+    return located(points).withColumns(
         {
             "_ds": span,
             "_bend": F.when(span > 1, turn / span),
@@ -75,53 +112,57 @@ def _lateral(bend):
     return v * v * bend / F.lit(K.GRAVITY)
 
 
-def raw_forces(points: DataFrame) -> DataFrame:
-    """Adds the unsmoothed forces `g_lat` (gated by coherence) and `g_lon` (not gated)."""
+def _forces(points: DataFrame) -> DataFrame:
     v = F.col("speed") / F.lit(3.6)
     length = (F.col("after.dm") - F.col("before.dm")) / F.lit(10.0)
     dv = (F.col("after.speed") - F.col("before.speed")) / F.lit(3.6)
-    bent = _curvature(neighbours(points))
-    return bent.withColumns(
-        {
-            "g_lat": F.when(
-                F.col("_coherent") & (F.col("_ds") > 1), _lateral(F.col("_bend"))
-            ).otherwise(F.lit(0.0)),
-            "g_lon": F.when(length > 1, v * (dv / length) / F.lit(K.GRAVITY)).otherwise(
-                F.lit(0.0)
-            ),
-        }
-    ).drop("_ds", "_bend", "_coherent", "before", "after")
-
-
-def lateral_g(points: DataFrame) -> DataFrame:
-    return raw_forces(points).drop("g_lon", "_dm", "_place")
+    usable = F.col("_coherent") & (F.col("_ds") > 1)
+    return (
+        _curvature(points)
+        .withColumns(
+            {
+                "g_lat": F.when(usable, _lateral(F.col("_bend"))).otherwise(F.lit(0.0)),
+                "g_lon": F.when(length > 1, v * (dv / length) / F.lit(K.GRAVITY)).otherwise(
+                    F.lit(0.0)
+                ),
+            }
+        )
+        .drop("_ds", "_bend", "_coherent", "before", "after", "_dm")
+    )
 
 
-def longitudinal_g(points: DataFrame) -> DataFrame:
-    return raw_forces(points).drop("g_lat", "_dm", "_place")
+def raw_forces(points: DataFrame) -> DataFrame:
+    """Adds the unsmoothed forces `g_lat` (gated by coherence) and `g_lon` (not gated)."""
+    return _forces(points).drop("_place", "_piece")
 
 
-def _around():
-    half = K.SMOOTHING_HALF_WIDTH
-    return Window.partitionBy(*K.LAP).orderBy(*POINT_ORDER).rowsBetween(-half, half)
+def lateral_g(points: DataFrame) -> DataFrame:
+    return raw_forces(points).drop("g_lon")
 
 
-def moving_median_upper(name: str):
-    """Median of the points around; the upper middle when a lap end leaves an even number."""
-    values = F.sort_array(F.collect_list(name).over(_around()))
-    return F.get(values, F.floor(F.size(values) / 2).cast("int"))
+def longitudinal_g(points: DataFrame) -> DataFrame:
+    return raw_forces(points).drop("g_lat")
 
 
-def moving_median(name: str):
-    """Ordinary median of the points around."""
-    return F.percentile(name, 0.5).over(_around())
+def upper_middle(values):
+    """Middle of an array by size; of an even number of values the upper middle."""
+    return F.get(F.sort_array(values), F.floor(F.size(values) / 2).cast("int"))
 
 
 def smoothed_forces(points: DataFrame) -> DataFrame:
-    raw = raw_forces(points)
-    return raw.withColumns(
-        {"g_lat": moving_median_upper("g_lat"), "g_lon": moving_median_upper("g_lon")}
-    ).drop("_dm", "_place")
+    """Moving median of the forces; where a lap end leaves an even number of points, the upper
+    middle counts."""
+    near = ordered.around(
+        _forces(points),
+        K.LAP,
+        "_place",
+        K.SMOOTHING_HALF_WIDTH,
+        _lat=F.collect_list("g_lat"),
+        _lon=F.collect_list("g_lon"),
+    )
+    return near.withColumns({"g_lat": upper_middle("_lat"), "g_lon": upper_middle("_lon")}).drop(
+        "_lat", "_lon", "_place", "_piece"
+    )
 
 
 def enrich(points: DataFrame) -> DataFrame:
@@ -134,65 +175,74 @@ def enrich(points: DataFrame) -> DataFrame:
     )
 
 
-def diagnostic_points(points: DataFrame) -> DataFrame:
-    """Points with a usable span: lateral force without gate (`g_raw`), with gate and moving
-    median (`g`), and the radius of the bend in metres (infinite when straight or gated)."""
-    bent = _curvature(neighbours(points)).where(F.col("_ds") > 1)
+def _checked(points: DataFrame) -> DataFrame:
+    usable = _curvature(points).where(F.col("_ds") > 1)
     gated = F.when(F.col("_coherent"), F.col("_bend"))
-    infinite = F.lit(float("inf"))
-    return bent.withColumns(
+    forces = usable.withColumns(
         {
             "g_raw": _lateral(F.col("_bend")),
             "_gated": F.coalesce(_lateral(gated), F.lit(0.0)),
-            "radius_m": F.when(gated > 1e-6, F.lit(1.0) / gated).otherwise(infinite),
+            "radius_m": F.when(gated > 1e-6, F.lit(1.0) / gated).otherwise(
+                F.lit(float("inf"))
+            ),
         }
-    ).select(
-        *K.LAP, "_place", "distance", "speed", "g_raw", moving_median_on("_gated"), "radius_m"
-    )
+    ).select(*K.LAP, "_piece", "_place", "distance", "speed", "g_raw", "_gated", "radius_m")
+    # Unusable points left holes in the numbering.
+    renumbered = ordered.running_sum(forces, K.LAP, ["_place"], _rank=F.lit(1))
+    return ordered.around(
+        renumbered, K.LAP, "_rank", K.SMOOTHING_HALF_WIDTH, g=F.percentile("_gated", 0.5)
+    ).drop("_gated")
 
 
-def moving_median_on(name: str):
-    half = K.SMOOTHING_HALF_WIDTH
-    around = Window.partitionBy(*K.LAP).orderBy("_place").rowsBetween(-half, half)
-    return F.percentile(name, 0.5).over(around).alias("g")
+def diagnostic_points(points: DataFrame) -> DataFrame:
+    """Points with a usable span: lateral force without gate (`g_raw`), with gate and ordinary
+    moving median (`g`), and the radius of the bend in m (infinite when straight or gated)."""
+    return _checked(points).drop("_piece", "_place", "_rank")
 
 
 def g_diagnostic(points: DataFrame) -> DataFrame:
     """Per lap: spread of the lateral force with and without gate, and how it looks at the
     fastest and the slowest point."""
-    place = F.col("_place")
-    fastest = F.max_by(F.struct("speed", "g", "radius_m"), F.struct("speed", -place))
-    slowest = F.min_by(F.struct("speed", "g", "radius_m"), F.struct("speed", place))
-    return (
-        diagnostic_points(points)
-        .groupBy(*K.LAP)
-        .agg(
-            F.count(F.lit(1)).alias("points"),
-            F.percentile("g_raw", 0.9).alias("p90_raw"),
-            F.max("g_raw").alias("max_raw"),
-            F.percentile("g", 0.5).alias("median_g"),
-            F.percentile("g", 0.9).alias("p90_g"),
-            F.max("g").alias("max_g"),
-            fastest.alias("_fast"),
-            slowest.alias("_slow"),
-        )
-        .select(
-            *K.LAP, "points", "p90_raw", "max_raw", "median_g", "p90_g", "max_g",
-            *[
-                F.col(f"{side}.{field}").alias(f"{name}_{field}")
-                for side, name in (("_fast", "fastest"), ("_slow", "slowest"))
-                for field in ("speed", "g", "radius_m")
-            ],
-        )
+    checked = _checked(points)
+    place, shown = F.col("_place"), F.struct("speed", "g", "radius_m")
+    measures = [
+        F.count(F.lit(1)).alias("points"),
+        F.max("g_raw").alias("max_raw"),
+        F.max("g").alias("max_g"),
+        F.max_by(shown, F.struct("speed", -place)).alias("fastest"),
+        F.min_by(shown, F.struct("speed", place)).alias("slowest"),
+    ]
+    spread = {"median_g": ("g", 0.5), "p90_g": ("g", 0.9), "p90_raw": ("g_raw", 0.9)}
+    plain = ordered.plain(checked).groupBy(*K.LAP).agg(
+        *measures, *[F.percentile(of, p).alias(name) for name, (of, p) in spread.items()]
+    )
+    # A percentile aggregate holds a whole group in memory, so hot laps are ranked in bins.
+    large = ordered.hot(checked)
+    gated = {"median_g": 0.5, "p90_g": 0.9}
+    split = (
+        large.groupBy(*K.LAP).agg(*measures)
+        .join(exact_quantiles(large, K.LAP, "g", gated, G_BIN), K.LAP)
+        .join(exact_quantiles(large, K.LAP, "g_raw", {"p90_raw": 0.9}, G_BIN), K.LAP)
+    )
+    return plain.unionByName(split).select(
+        *K.LAP, "points", "p90_raw", "max_raw", "median_g", "p90_g", "max_g",
+        *[
+            F.col(f"{name}.{field}").alias(f"{name}_{field}")
+            for name in ("fastest", "slowest")
+            for field in ("speed", "g", "radius_m")
+        ],
     )
 
 
 def g_top(points: DataFrame, n: int = 5) -> DataFrame:
     """The `n` points of each lap with the highest lateral force; ties: the earlier point."""
-    order = Window.partitionBy(*K.LAP).orderBy(F.desc("g"), "_place")
+    order = [F.desc("g"), "_place"]
+    best = _checked(points).withColumn(
+        "rank", F.row_number().over(ordered.inside(K.LAP).orderBy(*order))
+    )
     return (
-        diagnostic_points(points)
-        .withColumn("rank", F.row_number().over(order))
+        best.where(F.col("rank") <= n)
+        .withColumn("rank", F.row_number().over(Window.partitionBy(*K.LAP).orderBy(*order)))
         .where(F.col("rank") <= n)
         .select(*K.LAP, "rank", "distance", "speed", "g", "radius_m")
     )

@@ -1,11 +1,12 @@
 """Bronze preparation: from timing-feed tables to typed lap, telemetry and message tables."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stintlake import constants as K
 from stintlake.functions import columns as C
+from stintlake.functions import ordered
 
 
 def assemble_telemetry(samples: DataFrame, laps: DataFrame, bucket_seconds: float) -> DataFrame:
@@ -42,13 +43,13 @@ def assemble_telemetry(samples: DataFrame, laps: DataFrame, bucket_seconds: floa
 
 def lap_distance(samples: DataFrame) -> DataFrame:
     """Adds `Distance`: metres driven since the lap began, integrated from speed and time."""
-    lap = Window.partitionBy(*K.LAP).orderBy("SessionTime")
-    step = F.col("SessionTime") - F.lag("SessionTime").over(lap)
+    second = F.floor(F.coalesce("SessionTime", F.lit(0.0)))
+    placed = ordered.cut(samples, K.LAP, second)
+    timed = ordered.previous(placed, K.LAP, ["SessionTime"], ["SessionTime"], "_before")
+    step = F.col("SessionTime") - F.col("_before.SessionTime")
     metres = F.coalesce(F.col("Speed") / F.lit(3.6) * step, F.lit(0.0))
-    return (
-        samples.withColumn("_step", metres)
-        .withColumn("Distance", F.sum("_step").over(lap.rowsBetween(Window.unboundedPreceding, 0)))
-        .drop("_step")
+    return ordered.running_sum(timed, K.LAP, ["SessionTime"], Distance=metres).drop(
+        "_before", "_piece"
     )
 
 

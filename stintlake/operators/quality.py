@@ -1,10 +1,11 @@
 """Data quality: sampling density, stalled or jumping positions, coverage of the lake."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stintlake import constants as K
 from stintlake.functions import columns as C
+from stintlake.functions import ordered
 from stintlake.functions.groups import exact_quantiles
 from stintlake.operators import laps as L
 
@@ -14,13 +15,16 @@ SPACING_BIN_M = 1.0
 def sample_deltas(telemetry: DataFrame) -> DataFrame:
     """Per sample, against the one before it in its lap: metres driven (`arc`) and metres the
     position moved in a straight line (`chord`); null on the first sample."""
-    lap = Window.partitionBy(*K.LAP).orderBy("Distance", "X", "Y")
-    dx = F.col("X") - F.lag("X").over(lap)
-    dy = F.col("Y") - F.lag("Y").over(lap)
-    return telemetry.select(
+    slim = telemetry.select(*K.LAP, "Distance", "X", "Y")
+    placed = ordered.cut(slim, K.LAP, F.floor(F.coalesce("Distance", F.lit(0.0))))
+    columns = ["Distance", "X", "Y"]
+    moved = ordered.previous(placed, K.LAP, columns, columns, "_before")
+    dx = F.col("X") - F.col("_before.X")
+    dy = F.col("Y") - F.col("_before.Y")
+    return moved.select(
         *K.LAP,
         "Distance",
-        (F.col("Distance") - F.lag("Distance").over(lap)).alias("arc"),
+        (F.col("Distance") - F.col("_before.Distance")).alias("arc"),
         (F.sqrt(dx * dx + dy * dy) / F.lit(float(K.POSITION_UNITS_PER_METRE))).alias("chord"),
     )
 

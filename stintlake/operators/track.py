@@ -1,13 +1,13 @@
 """Track geometry: the lap drawn in a fixed box, signal-loss cuts, braking zones, picking."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stintlake import constants as K
+from stintlake.functions import ordered
 
 
-def _ordered():
-    return Window.partitionBy(*K.LAP).orderBy("distance", "x", "y")
+ORDER = ["distance", "x", "y"]
 
 
 def project_track(points: DataFrame) -> DataFrame:
@@ -15,23 +15,26 @@ def project_track(points: DataFrame) -> DataFrame:
 
     The lap is drawn upright or turned by 90 degrees, whichever comes out larger.
     """
+    return _projected(points).drop("_piece")
+
+
+def _projected(points: DataFrame) -> DataFrame:
     inner_w = F.lit(float(K.MAP_WIDTH - 2 * K.MAP_PADDING))
     inner_h = F.lit(float(K.MAP_HEIGHT - 2 * K.MAP_PADDING))
-    lap = Window.partitionBy(*K.LAP)
 
     def span(name):
-        width = F.max(name).over(lap) - F.min(name).over(lap)
+        width = F.col(f"_max_{name}") - F.col(f"_min_{name}")
         return F.when(width == 0, F.lit(1)).otherwise(width)
 
-    measured = points.withColumns(
-        {
-            "_span_x": span("x"),
-            "_span_y": span("y"),
-            "_min_x": F.min("x").over(lap),
-            "_max_x": F.max("x").over(lap),
-            "_min_y": F.min("y").over(lap),
-        }
-    ).withColumns(
+    extent = ordered.group_values(
+        ordered.cut(points, K.LAP, F.floor("distance")),
+        K.LAP,
+        _min_x=F.min("x"),
+        _max_x=F.max("x"),
+        _min_y=F.min("y"),
+        _max_y=F.max("y"),
+    )
+    measured = extent.withColumns({"_span_x": span("x"), "_span_y": span("y")}).withColumns(
         {
             "_upright": F.least(inner_w / F.col("_span_x"), inner_h / F.col("_span_y")),
             "_turned": F.least(inner_w / F.col("_span_y"), inner_h / F.col("_span_x")),
@@ -64,28 +67,29 @@ def project_track(points: DataFrame) -> DataFrame:
             }
         )
         .drop(
-            "_span_x", "_span_y", "_min_x", "_max_x", "_min_y", "_upright", "_turned",
+            "_span_x", "_span_y", "_min_x", "_max_x", "_min_y", "_max_y", "_upright", "_turned",
             "_scale", "_right", "_up", "_wide", "_high",
         )
     )
 
 
 def cut_points(points: DataFrame) -> DataFrame:
-    """Projected points with `segment`: it rises where the position signal was lost."""
-    lap = _ordered()
-    dx = F.col("map_x") - F.lag("map_x").over(lap)
-    dy = F.col("map_y") - F.lag("map_y").over(lap)
-    metres = F.col("distance") - F.lag("distance").over(lap)
+    """Projected points with `segment`, which rises where the position signal was lost, and
+    `zone`, which also rises at every point without brake."""
+    columns = ["map_x", "map_y", "distance"]
+    moved = ordered.previous(_projected(points), K.LAP, ORDER, columns, "_before")
+    dx = F.col("map_x") - F.col("_before.map_x")
+    dy = F.col("map_y") - F.col("_before.map_y")
+    metres = F.col("distance") - F.col("_before.distance")
     chord = F.sqrt(dx * dx + dy * dy)
     expected = F.greatest(metres * F.col("units_per_metre"), F.lit(0.0))
     lost = chord > F.greatest(expected * F.lit(K.CUT_TOLERANCE), F.lit(float(K.CUT_MINIMUM)))
-    return (
-        project_track(points)
-        .withColumn("_cut", F.coalesce(lost, F.lit(False)).cast("int"))
-        .withColumn(
-            "segment", F.sum("_cut").over(lap.rowsBetween(Window.unboundedPreceding, 0)).cast("int")
-        )
-    )
+    cuts = F.coalesce(lost, F.lit(False)).cast("int")
+    ends = F.when(F.col("brake") == 0, F.lit(1)).otherwise(cuts)
+    counted = ordered.running_sum(moved, K.LAP, ORDER, segment=cuts, zone=ends)
+    return counted.withColumns(
+        {"segment": F.col("segment").cast("int"), "zone": F.col("zone").cast("int")}
+    ).drop("_before", "_piece")
 
 
 def _runs(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -107,10 +111,8 @@ def track_segments(points: DataFrame) -> DataFrame:
 
 def braking_zones(points: DataFrame) -> DataFrame:
     """Stretches of more than one braking point; a cut or a released brake ends a stretch."""
-    lap = _ordered().rowsBetween(Window.unboundedPreceding, 0)
-    ends = F.when(F.col("brake") == 0, F.lit(1)).otherwise(F.col("_cut"))
-    zoned = cut_points(points).withColumn("zone", F.sum(ends).over(lap).cast("int"))
-    return _runs(zoned.where(F.col("brake") != 0), [*K.LAP, "segment", "zone"])
+    braking = cut_points(points).where(F.col("brake") != 0)
+    return _runs(braking, [*K.LAP, "segment", "zone"])
 
 
 def nearest_sample(projected: DataFrame, queries: DataFrame) -> DataFrame:

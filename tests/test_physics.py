@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from stintlake.functions import columns as C
-from stintlake.operators import physics, track
+from stintlake.functions import groups
+from stintlake.operators import laps as lap_ops
+from stintlake.operators import physics, preparation, quality, track
 
 POINTS = (
     "Year int, GrandPrix string, Driver string, LapNumber int, compound string, distance double, "
@@ -84,6 +86,13 @@ def smooth(values):
     return out
 
 
+@pytest.fixture(params=["ordinary", "hot"])
+def heat(request, monkeypatch):
+    """With "hot", laps of over 30 points are cut in pieces."""
+    if request.param == "hot":
+        monkeypatch.setattr(groups, "HOT_ROWS", 30)
+
+
 @pytest.fixture(scope="module")
 def laps(spark):
     made = {n: random_lap(n, size) for n, size in enumerate([1, 2, 3, 7, 40, 200, 300], 1)}
@@ -99,7 +108,7 @@ def by_lap(df, *names):
     return found
 
 
-def test_neighbours_equal_the_walk(laps):
+def test_neighbours_equal_the_walk(laps, heat):
     made, df = laps
     found = by_lap(
         physics.neighbours(df).select(
@@ -115,7 +124,7 @@ def test_neighbours_equal_the_walk(laps):
             assert pair == expected
 
 
-def test_forces_equal_the_walk(laps):
+def test_forces_equal_the_walk(laps, heat):
     made, df = laps
     raw = by_lap(physics.raw_forces(df), "g_lat", "g_lon")
     smoothed = by_lap(physics.smoothed_forces(df), "g_lat", "g_lon")
@@ -134,7 +143,7 @@ def test_forces_equal_the_walk(laps):
             assert g_lon == pytest.approx(min(max(b, -6), 2.5), abs=0.00501)
 
 
-def test_diagnostic_median_is_the_ordinary_one(laps):
+def test_diagnostic_median_is_the_ordinary_one(laps, heat):
     made, df = laps
     found = by_lap(physics.diagnostic_points(df), "g")
     for n in (5, 6):
@@ -147,7 +156,7 @@ def test_diagnostic_median_is_the_ordinary_one(laps):
         assert [g for g, in found[n]] == pytest.approx(wanted)
 
 
-def test_straight_is_light_and_arc_is_not(spark):
+def test_straight_is_light_and_arc_is_not(spark, heat):
     straight = [(k * 100, 320.0, 0, k * 100, 0) for k in range(60)]
     radius = 500  # decimetres
     arc = [
@@ -211,7 +220,7 @@ def test_projection_fits_the_box_and_turns_tall_laps(spark):
     assert 26 <= box["y0"] and box["y1"] <= 294
 
 
-def test_nearest_sample_equals_trying_all(spark, laps):
+def test_nearest_sample_equals_trying_all(spark, laps, heat):
     made, df = laps
     drawn = track.project_track(df)
     rows = drawn.collect()
@@ -232,3 +241,54 @@ def test_nearest_sample_equals_trying_all(spark, laps):
             for r in rows if r["LapNumber"] == n
         )
         assert found.get(i) == (best[1] if best[0] < 140 else None)
+
+
+def test_cut_laps_give_the_same_as_whole_ones(laps, monkeypatch):
+    _, df = laps
+
+    def results():
+        return [
+            sorted(map(str, frame.collect()))
+            for frame in (
+                track.track_segments(df), track.braking_zones(df), track.project_track(df),
+                physics.g_top(df), lap_ops.lap_progress(df),
+                physics.g_diagnostic(df).select("LapNumber", "points", "max_g", "fastest_g"),
+                quality.sample_deltas(df.select(
+                    "Year", "GrandPrix", "Driver", "LapNumber", F.col("distance").alias("Distance"),
+                    F.col("x").alias("X"), F.col("y").alias("Y"),
+                )),
+            )
+        ]
+
+    def percentiles():
+        rows = physics.g_diagnostic(df).orderBy("LapNumber").collect()
+        return [x for r in rows for x in (r["median_g"], r["p90_g"], r["p90_raw"])]
+
+    whole, whole_percentiles = results(), percentiles()
+    monkeypatch.setattr(groups, "HOT_ROWS", 30)
+    assert results() == whole
+    assert percentiles() == pytest.approx(whole_percentiles)
+
+
+def test_cut_laps_integrate_the_same_distance(spark, monkeypatch):
+    rng = random.Random(2)
+    clock, rows = 0.0, []
+    for _ in range(400):
+        clock += rng.choice([0.2, 0.25, 3.0])
+        rows.append((2024, "gp", "A", 1, clock, float(rng.randrange(50, 300))))
+    df = spark.createDataFrame(
+        rows, "Year int, GrandPrix string, Driver string, LapNumber int, SessionTime double, Speed double"
+    )
+
+    def driven():
+        found = preparation.lap_distance(df).orderBy("SessionTime").collect()
+        return [r["Distance"] for r in found]
+
+    whole = driven()
+    wanted, total = [], 0.0
+    for i, row in enumerate(rows):
+        total += row[5] / 3.6 * (row[4] - rows[i - 1][4]) if i else 0.0
+        wanted.append(total)
+    assert whole == pytest.approx(wanted)
+    monkeypatch.setattr(groups, "HOT_ROWS", 30)
+    assert driven() == pytest.approx(wanted)
