@@ -5,18 +5,28 @@ from pyspark.sql import functions as F
 
 
 HOT_ROWS = 1_000_000
-HOT_SHARE = 10_000
+MOST_HOT = 10_000
 
 
 def hot_groups(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The groups with more than `hot_rows` rows and more than 1/10,000 of all rows.
+    """The groups with more than `hot_rows` rows, at most the 10,000 largest of them.
 
-    Fewer than 10,000 groups can hold more than 1/10,000 of the rows, whatever the data, so
-    the result may always be broadcast. `_rows` is the size of the group.
+    A group that is not among the 10,000 largest holds under 1/10,000 of all rows, so it needs
+    no splitting; and the result may always be broadcast. `_rows` is the size of the group.
     """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    total = sizes.agg(F.sum("_rows")).scalar()
-    return sizes.where((F.col("_rows") > hot_rows) & (F.col("_rows") * HOT_SHARE > total))
+    large = sizes.where(F.col("_rows") > hot_rows)
+    return large.orderBy(F.desc("_rows"), *keys).limit(MOST_HOT)
+
+
+def find_hot(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """The hot groups, or None where there are none: then plain windows will do.
+
+    Runs a count over the key columns, so that the usual case keeps a plan without the joins
+    that hot groups need. The answer only picks the plan; both give the same rows.
+    """
+    hot = hot_groups(df, keys, hot_rows)
+    return None if hot.isEmpty() else hot
 
 
 def number_rows(
@@ -28,7 +38,11 @@ def number_rows(
     from the row counts of the earlier ones. `bucket` must not be null and must rise with the
     wanted order.
     """
-    hot = F.broadcast(hot_groups(df, keys, hot_rows).select(*keys, F.lit(True).alias("_hot")))
+    found = find_hot(df, keys, hot_rows)
+    if found is None:
+        whole = Window.partitionBy(*keys).orderBy(bucket, *order)
+        return df.withColumn(name, F.row_number().over(whole))
+    hot = F.broadcast(found.select(*keys, F.lit(True).alias("_hot")))
     earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(
         Window.unboundedPreceding, -1
     )

@@ -1,10 +1,10 @@
 """Ordered steps inside groups - previous row, running sum, group values - with hot groups cut.
 
-`cut` gives every row a `_piece`: null for ordinary groups, and the row's bucket for a hot
-group (see `groups.hot_groups`). Windows are then keyed by (group, _piece): ordinary groups are
-handled whole, a hot group piece by piece in as many tasks. What a piece needs from outside
-comes from a summary of the pieces of hot groups, one row per piece. Without a hot group that
-summary is empty and adaptive execution drops the joins with it.
+`cut` looks for hot groups (see `groups.hot_groups`). Without any, the frame stays as it is and
+the steps are plain windows keyed by group. Otherwise every row gets a `_piece`: null in an
+ordinary group, the row's bucket in a hot one. Windows are then keyed by (group, _piece), so a
+hot group is handled piece by piece in as many tasks; what a piece needs from outside comes
+from a summary of the hot groups' pieces, one row per piece.
 """
 
 from pyspark.sql import DataFrame, Window
@@ -14,17 +14,24 @@ from stintlake.functions import groups
 
 
 def cut(df: DataFrame, keys: list[str], bucket) -> DataFrame:
-    """Adds `_piece`. `bucket` must rise with the order wanted later, and never be null."""
-    hot = groups.hot_groups(df, keys, groups.HOT_ROWS).select(*keys, F.lit(True).alias("_hot"))
+    """Adds `_piece` if there are hot groups. `bucket` must rise with the order wanted later, and
+    never be null."""
+    found = groups.find_hot(df, keys, groups.HOT_ROWS)
+    if found is None:
+        return df
     return (
-        df.join(F.broadcast(hot), keys, "left")
+        df.join(F.broadcast(found.select(*keys, F.lit(True).alias("_hot"))), keys, "left")
         .withColumn("_piece", F.when(F.col("_hot"), bucket))
         .drop("_hot")
     )
 
 
+def is_cut(df: DataFrame) -> bool:
+    return "_piece" in df.columns
+
+
 def plain(df: DataFrame) -> DataFrame:
-    return df.where(F.col("_piece").isNull())
+    return df.where(F.col("_piece").isNull()) if is_cut(df) else df
 
 
 def hot(df: DataFrame) -> DataFrame:
@@ -36,14 +43,17 @@ def pieces(keys: list[str]):
     return Window.partitionBy(*keys).orderBy("_piece")
 
 
-def inside(keys: list[str]):
+def inside(df: DataFrame, keys: list[str]):
     """Window over the rows of a group or, for a hot group, of a piece."""
-    return Window.partitionBy(*keys, "_piece")
+    return Window.partitionBy(*keys, "_piece") if is_cut(df) else Window.partitionBy(*keys)
 
 
 def previous(df: DataFrame, keys: list[str], order: list[str], columns: list[str], name: str):
     """Adds the struct `name` of `columns` of the row before, in the order of `order`."""
     row = F.struct(*columns)
+    within = df.withColumn(name, F.lag(row).over(inside(df, keys).orderBy(*order)))
+    if not is_cut(df):
+        return within
     last = F.max(F.struct(*order, row.alias("_row"))).alias("_last")
     carried = (
         hot(df)
@@ -52,8 +62,7 @@ def previous(df: DataFrame, keys: list[str], order: list[str], columns: list[str
         .select(*keys, "_piece", F.lag("_last._row").over(pieces(keys)).alias("_carried"))
     )
     return (
-        df.withColumn(name, F.lag(row).over(inside(keys).orderBy(*order)))
-        .join(carried, [*keys, "_piece"], "left")
+        within.join(carried, [*keys, "_piece"], "left")
         .withColumn(name, F.coalesce(name, "_carried"))
         .drop("_carried")
     )
@@ -61,6 +70,9 @@ def previous(df: DataFrame, keys: list[str], order: list[str], columns: list[str
 
 def running_sum(df: DataFrame, keys: list[str], order: list[str], **values) -> DataFrame:
     """Adds running sums, one column per `name=value`, the current row included."""
+    upto = inside(df, keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    if not is_cut(df):
+        return df.withColumns({name: F.sum(value).over(upto) for name, value in values.items()})
     named = df.withColumns({f"_v_{name}": value for name, value in values.items()})
     earlier = pieces(keys).rowsBetween(Window.unboundedPreceding, -1)
     starts = (
@@ -72,7 +84,6 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], **values) -> D
             *[F.sum(f"_s_{name}").over(earlier).alias(f"_from_{name}") for name in values],
         )
     )
-    upto = inside(keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     summed = named.withColumns({name: F.sum(f"_v_{name}").over(upto) for name in values})
     return (
         summed.join(starts, [*keys, "_piece"], "left")
@@ -85,9 +96,13 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], **values) -> D
 
 def group_values(df: DataFrame, keys: list[str], **values) -> DataFrame:
     """Adds aggregates of the whole group to its rows. Those of hot groups are formed by a
-    partial aggregation; under 10,000 groups can be hot, so they may be broadcast."""
+    partial aggregation; at most 10,000 groups are hot, so they may be broadcast."""
+    filled = df.withColumns(
+        {name: value.over(inside(df, keys)) for name, value in values.items()}
+    )
+    if not is_cut(df):
+        return filled
     totals = hot(df).groupBy(*keys).agg(*[v.alias(f"_h_{name}") for name, v in values.items()])
-    filled = df.withColumns({name: value.over(inside(keys)) for name, value in values.items()})
     joined = filled.join(F.broadcast(totals), keys, "left")
     whole = F.col("_piece").isNull()
     return joined.withColumns(
@@ -95,22 +110,35 @@ def group_values(df: DataFrame, keys: list[str], **values) -> DataFrame:
     ).drop(*[f"_h_{name}" for name in values])
 
 
-def around(df: DataFrame, keys: list[str], place: str, half: int, **values) -> DataFrame:
-    """Adds window aggregates over the rows at most `half` places away in the group.
+def around_plain(df: DataFrame, keys: list[str], place: str, half: int, **values) -> DataFrame:
+    """The ordinary groups' part of `around`."""
+    frame = inside(df, keys).orderBy(place).rowsBetween(-half, half)
+    return plain(df).withColumns({name: value.over(frame) for name, value in values.items()})
 
-    `place` numbers the rows of a group from 1. A hot group is cut by place; each stretch also
-    gets the `half` rows on either side, which are dropped again afterwards.
-    """
 
-    def framed(rows, partition):
-        frame = Window.partitionBy(*partition).orderBy(place).rowsBetween(-half, half)
-        return rows.withColumns({name: value.over(frame) for name, value in values.items()})
+def around_hot(df: DataFrame, keys: list[str], place: str, half: int, **values) -> DataFrame:
+    """The hot groups' part of `around`: a group is cut by place, and each stretch also gets the
+    `half` rows on either side, which are dropped again afterwards."""
 
     def stretch(position):
         return F.floor(position / F.lit(groups.HOT_ROWS))
 
     at = F.col(place)
     copies = F.array_distinct(F.array(stretch(at), stretch(at - half), stretch(at + half)))
-    spread = hot(df).withColumn("_stretch", F.explode(copies))
-    smoothed = framed(spread, [*keys, "_stretch"]).where(F.col("_stretch") == stretch(at))
-    return framed(plain(df), [*keys, "_piece"]).unionByName(smoothed.drop("_stretch"))
+    frame = Window.partitionBy(*keys, "_stretch").orderBy(place).rowsBetween(-half, half)
+    return (
+        hot(df)
+        .withColumn("_stretch", F.explode(copies))
+        .withColumns({name: value.over(frame) for name, value in values.items()})
+        .where(F.col("_stretch") == stretch(at))
+        .drop("_stretch")
+    )
+
+
+def around(df: DataFrame, keys: list[str], place: str, half: int, **values) -> DataFrame:
+    """Adds window aggregates over the rows at most `half` places away in the group. `place`
+    numbers the rows of a group from 1."""
+    whole = around_plain(df, keys, place, half, **values)
+    if not is_cut(df):
+        return whole
+    return whole.unionByName(around_hot(df, keys, place, half, **values))

@@ -30,7 +30,7 @@ def located(points: DataFrame, base_m: int = K.NEIGHBOUR_BASE_M) -> DataFrame:
     decimetre = F.round(F.col("distance") * 10).cast("long")
     cut = ordered.cut(points.withColumn("_dm", decimetre), K.LAP, F.col("_dm"))
     numbered = ordered.running_sum(cut, K.LAP, ["_dm", *POINT], _place=F.lit(1))
-    base, whole = base_m * 10, F.col("_piece").isNull()
+    base = base_m * 10
 
     def frames(window):
         far = window.orderBy("_dm").rangeBetween(Window.unboundedPreceding, -base)
@@ -38,38 +38,43 @@ def located(points: DataFrame, base_m: int = K.NEIGHBOUR_BASE_M) -> DataFrame:
         return far, ahead
 
     # The frames grow from one side only, so they are maintained incrementally.
-    far, ahead = frames(ordered.inside(K.LAP))
-    piece_far, piece_ahead = frames(Window.partitionBy(*K.LAP))
-    carried = (
-        ordered.hot(numbered)
-        .groupBy(*K.LAP, "_piece", "_dm")
-        .agg(F.min(_point()).alias("_low"), F.max(_point()).alias("_high"))
-        .select(
-            *K.LAP,
-            "_piece",
-            F.max("_high").over(piece_far).alias("_piece_before"),
-            F.min("_low").over(piece_ahead).alias("_piece_after"),
+    far, ahead = frames(ordered.inside(cut, K.LAP))
+    found = (
+        ordered.group_values(
+            numbered,
+            K.LAP,
+            _points=F.count(F.lit(1)),
+            _first=F.min(_point()),
+            _last=F.max(_point()),
         )
+        .withColumn("_before", F.max(_point()).over(far))
+        .withColumn("_after", F.min(_point()).over(ahead))
     )
-    ends = ordered.group_values(
-        numbered,
-        K.LAP,
-        _points=F.count(F.lit(1)),
-        _first=F.min(_point()),
-        _last=F.max(_point()),
-    )
+    if ordered.is_cut(cut):
+        piece_far, piece_ahead = frames(Window.partitionBy(*K.LAP))
+        carried = (
+            ordered.hot(cut)
+            .groupBy(*K.LAP, "_piece", "_dm")
+            .agg(F.min(_point()).alias("_low"), F.max(_point()).alias("_high"))
+            .select(
+                *K.LAP,
+                "_piece",
+                F.max("_high").over(piece_far).alias("_piece_before"),
+                F.min("_low").over(piece_ahead).alias("_piece_after"),
+            )
+        )
+        # Within a piece there is nothing far enough away, so the window found nothing there.
+        found = (
+            found.join(carried, [*K.LAP, "_piece"], "left")
+            .withColumn("_before", F.coalesce("_before", "_piece_before"))
+            .withColumn("_after", F.coalesce("_after", "_piece_after"))
+            .drop("_piece_before", "_piece_after")
+        )
     inner = (F.col("_place") > 1) & (F.col("_place") < F.col("_points"))
-    before = F.when(whole, F.col("_before")).otherwise(F.col("_piece_before"))
-    after = F.when(whole, F.col("_after")).otherwise(F.col("_piece_after"))
     return (
-        ends.withColumn("_before", F.max(_point()).over(far))
-        .withColumn("_after", F.min(_point()).over(ahead))
-        .join(carried, [*K.LAP, "_piece"], "left")
-        .withColumn("before", F.when(inner, F.coalesce(before, "_first")))
-        .withColumn("after", F.when(inner, F.coalesce(after, "_last")))
-        .drop(
-            "_points", "_first", "_last", "_before", "_after", "_piece_before", "_piece_after"
-        )
+        found.withColumn("before", F.when(inner, F.coalesce("_before", "_first")))
+        .withColumn("after", F.when(inner, F.coalesce("_after", "_last")))
+        .drop("_points", "_first", "_last", "_before", "_after")
     )
 
 
@@ -175,7 +180,7 @@ def enrich(points: DataFrame) -> DataFrame:
     )
 
 
-def _checked(points: DataFrame) -> DataFrame:
+def _checked(points: DataFrame, around=ordered.around) -> DataFrame:
     usable = _curvature(points).where(F.col("_ds") > 1)
     gated = F.when(F.col("_coherent"), F.col("_bend"))
     forces = usable.withColumns(
@@ -186,10 +191,10 @@ def _checked(points: DataFrame) -> DataFrame:
                 F.lit(float("inf"))
             ),
         }
-    ).select(*K.LAP, "_piece", "_place", "distance", "speed", "g_raw", "_gated", "radius_m")
+    ).drop("x", "y", "before", "after", "_dm", "_ds", "_bend", "_coherent")
     # Unusable points left holes in the numbering.
     renumbered = ordered.running_sum(forces, K.LAP, ["_place"], _rank=F.lit(1))
-    return ordered.around(
+    return around(
         renumbered, K.LAP, "_rank", K.SMOOTHING_HALF_WIDTH, g=F.percentile("_gated", 0.5)
     ).drop("_gated")
 
@@ -197,13 +202,31 @@ def _checked(points: DataFrame) -> DataFrame:
 def diagnostic_points(points: DataFrame) -> DataFrame:
     """Points with a usable span: lateral force without gate (`g_raw`), with gate and ordinary
     moving median (`g`), and the radius of the bend in m (infinite when straight or gated)."""
-    return _checked(points).drop("_piece", "_place", "_rank")
+    return _checked(points).select(*K.LAP, "distance", "speed", "g_raw", "g", "radius_m")
+
+
+def _hot_percentiles(checked: DataFrame) -> DataFrame:
+    """Percentiles of hot laps, ranked in bins: an aggregate would hold a whole lap in memory."""
+    both = F.array(
+        F.struct(F.lit("g").alias("of"), F.col("g").alias("value")),
+        F.struct(F.lit("g_raw").alias("of"), F.col("g_raw").alias("value")),
+    )
+    long = checked.select(*K.LAP, F.inline(both))
+    ranked = exact_quantiles(long, [*K.LAP, "of"], "value", {"p50": 0.5, "p90": 0.9}, G_BIN)
+
+    def pick(of, name):
+        return F.max(F.when(F.col("of") == of, F.col(name)))
+
+    return ranked.groupBy(*K.LAP).agg(
+        pick("g", "p50").alias("median_g"),
+        pick("g", "p90").alias("p90_g"),
+        pick("g_raw", "p90").alias("p90_raw"),
+    )
 
 
 def g_diagnostic(points: DataFrame) -> DataFrame:
     """Per lap: spread of the lateral force with and without gate, and how it looks at the
     fastest and the slowest point."""
-    checked = _checked(points)
     place, shown = F.col("_place"), F.struct("speed", "g", "radius_m")
     measures = [
         F.count(F.lit(1)).alias("points"),
@@ -212,19 +235,18 @@ def g_diagnostic(points: DataFrame) -> DataFrame:
         F.max_by(shown, F.struct("speed", -place)).alias("fastest"),
         F.min_by(shown, F.struct("speed", place)).alias("slowest"),
     ]
-    spread = {"median_g": ("g", 0.5), "p90_g": ("g", 0.9), "p90_raw": ("g_raw", 0.9)}
-    plain = ordered.plain(checked).groupBy(*K.LAP).agg(
-        *measures, *[F.percentile(of, p).alias(name) for name, (of, p) in spread.items()]
+    checked = _checked(points, ordered.around_plain)
+    found = checked.groupBy(*K.LAP).agg(
+        *measures,
+        F.percentile("g", 0.5).alias("median_g"),
+        F.percentile("g", 0.9).alias("p90_g"),
+        F.percentile("g_raw", 0.9).alias("p90_raw"),
     )
-    # A percentile aggregate holds a whole group in memory, so hot laps are ranked in bins.
-    large = ordered.hot(checked)
-    gated = {"median_g": 0.5, "p90_g": 0.9}
-    split = (
-        large.groupBy(*K.LAP).agg(*measures)
-        .join(exact_quantiles(large, K.LAP, "g", gated, G_BIN), K.LAP)
-        .join(exact_quantiles(large, K.LAP, "g_raw", {"p90_raw": 0.9}, G_BIN), K.LAP)
-    )
-    return plain.unionByName(split).select(
+    if ordered.is_cut(checked):
+        large = _checked(points, ordered.around_hot)
+        split = large.groupBy(*K.LAP).agg(*measures).join(_hot_percentiles(large), K.LAP)
+        found = found.unionByName(split)
+    return found.select(
         *K.LAP, "points", "p90_raw", "max_raw", "median_g", "p90_g", "max_g",
         *[
             F.col(f"{name}.{field}").alias(f"{name}_{field}")
@@ -237,15 +259,16 @@ def g_diagnostic(points: DataFrame) -> DataFrame:
 def g_top(points: DataFrame, n: int = 5) -> DataFrame:
     """The `n` points of each lap with the highest lateral force; ties: the earlier point."""
     order = [F.desc("g"), "_place"]
-    best = _checked(points).withColumn(
-        "rank", F.row_number().over(ordered.inside(K.LAP).orderBy(*order))
-    )
-    return (
-        best.where(F.col("rank") <= n)
-        .withColumn("rank", F.row_number().over(Window.partitionBy(*K.LAP).orderBy(*order)))
-        .where(F.col("rank") <= n)
-        .select(*K.LAP, "rank", "distance", "speed", "g", "radius_m")
-    )
+    checked = _checked(points)
+
+    def best(rows, window):
+        ranked = rows.withColumn("rank", F.row_number().over(window.orderBy(*order)))
+        return ranked.where(F.col("rank") <= n)
+
+    top = best(checked, ordered.inside(checked, K.LAP))
+    if ordered.is_cut(checked):
+        top = best(top, Window.partitionBy(*K.LAP))
+    return top.select(*K.LAP, "rank", "distance", "speed", "g", "radius_m")
 
 
 def gauges(enriched: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from stintlake import schemas
-from stintlake.functions.groups import hot_groups
+from stintlake.functions.groups import find_hot
 
 log = logging.getLogger(__name__)
 
@@ -17,11 +17,12 @@ ROWS_PER_FILE = 20_000_000
 def _one_task_per_folder(df: DataFrame, partition: list[str], rows_per_file: int) -> DataFrame:
     """One task, so one file, per output folder; folders above `rows_per_file` get several.
 
-    A folder is split only if it also holds more than 1/10,000 of all rows, see `hot_groups`.
+    Only the 10,000 largest folders are ever split, see `hot_groups`; so their list is small.
     """
-    large = hot_groups(df, partition, rows_per_file).select(
-        *partition, F.ceil(F.col("_rows") / rows_per_file).alias("_files")
-    )
+    found = find_hot(df, partition, rows_per_file)
+    if found is None:
+        return df.repartition(*partition)
+    large = found.select(*partition, F.ceil(F.col("_rows") / rows_per_file).alias("_files"))
     inner = [name for name in df.columns if name not in partition]
     part = F.pmod(F.xxhash64(*inner), F.coalesce("_files", F.lit(1)))
     return (

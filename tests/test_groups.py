@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from stintlake.functions import groups
 from stintlake.functions.groups import exact_quantiles, exact_ranks, hot_groups, number_rows
 
 
@@ -30,8 +31,11 @@ def test_positions_equal_a_plain_sort(spark, skewed, hot_rows):
     assert {r["id"]: r["n"] for r in ours} == wanted
 
 
-def test_hot_groups_need_rows_and_share(spark, skewed):
+def test_hot_groups_are_the_largest(spark, skewed, monkeypatch):
     df, _ = skewed
+    monkeypatch.setattr(groups, "MOST_HOT", 2)
+    found = hot_groups(df, ["g"], 10).collect()
+    assert len(found) == 2 and found[0]["g"] == "hot"
     assert [r["g"] for r in hot_groups(df, ["g"], 2000).collect()] == ["hot"]
     assert hot_groups(df, ["g"], 5000).isEmpty()
 
