@@ -1,9 +1,10 @@
 """Gap to the car ahead, on the clock all cars of a session share."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stintlake import constants as K
+from stintlake.functions import ordered
 
 
 def gap_ahead(telemetry: DataFrame, bucket_seconds: float) -> DataFrame:
@@ -24,12 +25,18 @@ def gap_ahead(telemetry: DataFrame, bucket_seconds: float) -> DataFrame:
             (F.col("_last.LapNumber") - 1) * F.col("_length") + F.col("_last.Distance"),
         )
     )
-    ahead = Window.partitionBy(*K.RACE, "bucket").orderBy(F.desc("covered_m"), "Driver")
-    return places.select(
+    group = [*K.RACE, "bucket"]
+    ranked = ordered.cut(
+        places.withColumn("_behind", -F.col("covered_m")), group, F.floor("_behind")
+    )
+    ahead = ordered.previous(
+        ranked, group, ["_behind", "Driver"], ["Driver", "covered_m"], "_ahead"
+    )
+    return ahead.select(
         *K.RACE,
         "bucket",
         "Driver",
         "covered_m",
-        F.lag("Driver").over(ahead).alias("driver_ahead"),
-        (F.lag("covered_m").over(ahead) - F.col("covered_m")).alias("gap_m"),
+        F.col("_ahead.Driver").alias("driver_ahead"),
+        (F.col("_ahead.covered_m") - F.col("covered_m")).alias("gap_m"),
     )

@@ -1,6 +1,6 @@
 """Pace and tyre wear: comparable laps, fuel correction, and the tables for the dashboards."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stintlake import constants as K
@@ -36,8 +36,7 @@ def pace_delta(laps: DataFrame, by: list[str], name: str = K.MODEL_TARGET) -> Da
 
     The fuel term is FUEL * (longest lap number of the group - lap number). Within a group it
     shifts all laps by the same constant, so the best adjusted lap of a driver is known
-    before that constant is: one aggregate per (group, driver) serves both measures, and the
-    window runs over one row per driver.
+    before that constant is: the two aggregates do not wait for each other.
     """
     fuel = F.lit(K.FUEL_SECONDS_PER_LAP)
     drivers = laps.groupBy(*by, "Driver").agg(
@@ -48,10 +47,9 @@ def pace_delta(laps: DataFrame, by: list[str], name: str = K.MODEL_TARGET) -> Da
                 F.col("LapNumber").alias("lap"),
             )
         ).alias("_best"),
-        F.max("LapNumber").alias("_last"),
     )
-    totalled = drivers.withColumn("_total", F.max("_last").over(Window.partitionBy(*by)))
-    reference = totalled.select(
+    totals = laps.groupBy(*by).agg(F.max("LapNumber").alias("_total"))
+    reference = drivers.join(totals, by).select(
         *by,
         "Driver",
         "_total",

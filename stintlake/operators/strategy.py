@@ -178,16 +178,17 @@ def stop_requests(laps: DataFrame) -> DataFrame:
         F.coalesce(F.min(F.when(one, F.col("TyreLife"))), F.lit(0)).alias("start_tyre"),
         F.count_if(one).alias("stint1_laps"),
         F.min(F.when(two, F.col("LapNumber"))).alias("pit_real"),
-        F.max("LapNumber").alias("_last"),
-    ).withColumn("total_laps", F.max("_last").over(Window.partitionBy(*K.RACE)))
+    )
+    totals = laps.groupBy(*K.RACE).agg(F.max("LapNumber").alias("total_laps"))
     other = F.element_at(C.literal_map(K.SECOND_COMPOUND), F.col("first_compound"))
     return (
         drivers.where(C.is_dry("first_compound"))
+        .join(totals, K.RACE)
         .withColumn(
             "second_compound", F.when(C.is_dry("_fitted"), F.col("_fitted")).otherwise(other)
         )
         .withColumn("pit_loss", C.pit_loss("GrandPrix"))
-        .drop("_fitted", "_last")
+        .drop("_fitted")
     )
 
 
