@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stintlake.functions import columns as C
+from stintlake.functions import groups
 from stintlake.operators import (
     catalogue, cleaning, gaps, laps as lap_ops, pace, preparation, quality, wear_model,
 )
@@ -256,3 +257,17 @@ def test_gap_compares_on_one_clock(spark):
         for r in gaps.gap_ahead(df, 60).collect() if r["bucket"] == 1
     }
     assert found == {"A": (None, None), "B": ("A", 110.0)}
+
+
+def test_gap_in_a_crowded_bucket_is_the_same(spark, monkeypatch):
+    rows = [(2024, "g", f"D{k:03}", 1 + k % 2, float((k * 37) % 50), float(k % 60)) for k in range(200)]
+    df = spark.createDataFrame(
+        rows, "Year int, GrandPrix string, Driver string, LapNumber int, Distance double, SessionTime double"
+    )
+
+    def found():
+        return sorted(map(str, gaps.gap_ahead(df, 60).collect()))
+
+    whole = found()
+    monkeypatch.setattr(groups, "HOT_ROWS", 20)
+    assert found() == whole
