@@ -1,8 +1,9 @@
 """Queries of this folder and, where SQL can express them, the SQL they must equal."""
 
-from stintlake.llm import fingerprints, mixing, packing, quality, secrets, simhash
+from stintlake.llm import fingerprints, licenses, mixing, packing, quality, secrets, simhash
 
 QUERIES = {
+    "op4_license_scans": licenses.op4_license_scans,
     "op5_document_fingerprints": fingerprints.op5_document_fingerprints,
     "op3_quality_rules": quality.op3_quality_rules,
     "op6_secret_scans": secrets.op6_secret_scans,
