@@ -1,8 +1,9 @@
 """Queries of this folder and, where SQL can express them, the SQL they must equal."""
 
-from stintlake.llm import fingerprints, licenses, mixing, packing, quality, secrets, simhash
+from stintlake.llm import chat, fingerprints, licenses, mixing, packing, quality, secrets, simhash
 
 QUERIES = {
+    "op10_chat_formatting": chat.op10_chat_formatting,
     "op4_license_scans": licenses.op4_license_scans,
     "op5_document_fingerprints": fingerprints.op5_document_fingerprints,
     "op3_quality_rules": quality.op3_quality_rules,
@@ -12,4 +13,4 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
 }
 
-ORACLE = {"op9_mixing": mixing.OP9_SQL}
+ORACLE = {"op9_mixing": mixing.OP9_SQL, "op10_chat_formatting": chat.OP10_SQL}
