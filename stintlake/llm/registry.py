@@ -1,8 +1,20 @@
 """Queries of this folder and, where SQL can express them, the SQL they must equal."""
 
-from stintlake.llm import chat, fingerprints, html, licenses, mixing, packing, quality, secrets, simhash
+from stintlake.llm import (
+    chat,
+    fingerprints,
+    html,
+    licenses,
+    mixing,
+    packing,
+    quality,
+    repeats,
+    secrets,
+    simhash,
+)
 
 QUERIES = {
+    "op1_suffix_array_dedup": repeats.op1_suffix_array_dedup,
     "op2_html_extraction": html.op2_html_extraction,
     "op10_chat_formatting": chat.op10_chat_formatting,
     "op4_license_scans": licenses.op4_license_scans,
