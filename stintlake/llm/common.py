@@ -54,3 +54,9 @@ def row_key(columns: list[str]) -> Column:
     return F.struct(
         F.xxhash64(nulls, *every).alias("a"), F.xxhash64(F.lit(7), nulls, *every).alias("b")
     )
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """The frame with its columns named _0, _1, ..., which no column that is added clashes with;
+    `toDF` with the old names undoes it."""
+    return docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])

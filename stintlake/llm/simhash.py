@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stintlake.llm.common import row_key, stored, table
+from stintlake.llm.common import numbered, row_key, stored, table
 from stintlake.llm.graph import components
 
 SHINGLE = 3
@@ -261,13 +261,9 @@ def links(fps: DataFrame) -> DataFrame:
     return together.mapInArrow(_linked, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, key: str | None = None) -> DataFrame:
-    """A row per document: doc_id, fingerprint, component_id, and `key` where it is named.
-
-    Equal fingerprints are one node, whatever the number of their documents. Null or empty text:
-    fingerprint zero, linked like any other. Null doc_id: in a component with others, their
-    smallest id; alone, null. Repeated rows: each comes back. No rows: none."""
-    own = ["doc_id"] + [key] * (key is not None)
+def _classed(docs: DataFrame, *own: str) -> DataFrame:
+    """(own columns, fp, root, component_id) of each document. Equal fingerprints are one node,
+    whatever the number of their documents; root names the component also where ids are null."""
     rows = stored(fingerprinted(docs.select(*own, "text")), "fingerprints")
     nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     found = components(links(nodes.select("fp")))
@@ -275,25 +271,32 @@ def near_duplicates(docs: DataFrame, key: str | None = None) -> DataFrame:
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = stored(rooted.join(ids, "root").select("fp", "component_id"), "classes")
-    return rows.join(classes, "fp").select(
-        *own, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    classes = stored(rooted.join(ids, "root").select("fp", "root", "component_id"), "classes")
+    return rows.join(classes, "fp")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """A row per document: doc_id, fingerprint, component_id.
+
+    Null or empty text: fingerprint zero, linked like any other. Null doc_id: in a component with
+    others, their smallest id; alone, null. Repeated rows: each comes back. No rows: none."""
+    digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return _classed(docs, "doc_id").select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One document of each component: the one with the smallest id and, of rows with that id, the
     smallest key of all its columns. Rows equal in all columns are one."""
-    own = docs.columns
-    keyed = docs.select(*own, row_key(own).alias("_key"))
-    rows = near_duplicates(keyed.select("doc_id", "text", "_key"), "_key")
-    best = rows.groupBy("component_id").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("best")
+    plain = numbered(docs)
+    doc_id, text = (f"_{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    keyed = plain.withColumn("key", row_key(plain.columns))
+    named = keyed.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), "key")
+    best = _classed(named, "doc_id", "key").groupBy("root").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best")
     )
-    # A component of null ids only has none to be named by; all its documents meet here.
-    winners = best.select(F.col("best._key").alias("_key"))
-    kept = keyed.join(winners, "_key", "left_semi")
-    return kept.dropDuplicates(["_key"]).select(*own)
+    winners = best.select(F.col("best.key").alias("key"))
+    kept = keyed.join(winners, "key", "left_semi").dropDuplicates(["key"])
+    return kept.select(*plain.columns).toDF(*docs.columns)
 
 
 def op8_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
