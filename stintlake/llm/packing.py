@@ -196,12 +196,11 @@ def best_filling(left: np.ndarray, room: int) -> list[int]:
         pair = _exact_pair(left, chosen, free, top)
         if pair:
             return [*chosen, *pair]
-        branches = []
-        for n in fits:
-            branches.append(([*chosen, n], free - n, n))
-            if free - n < shortest:
-                break  # nothing fits after it, so shorter ones are dominated
-        stack.extend(reversed(branches))
+        # Nothing fits after the lengths that leave less than the shortest: the longest of them
+        # dominates the others.
+        ends = [n for n in fits if free - n < shortest]
+        going_on = fits[len(ends) :]
+        stack.extend(([*chosen, n], free - n, n) for n in reversed(ends[:1] + going_on))
     return best
 
 
