@@ -277,10 +277,14 @@ def _found(entries: DataFrame) -> DataFrame:
         large = stored(different.where(F.col("m") > GROUP).select("gram"), "large-groups")
         any_large = not large.isEmpty()
         small = rows.join(large, "gram", "left_anti") if any_large else rows
-        scanned = _scan(small.select("gram", "context", "right", "left", "n"))
         if not done:
-            done.append(scanned)
+            done.append(_scan(small.select("gram", "context", "right", "left", "n")))
         else:
+            # What is cut off makes many entries equal: they are merged before they meet.
+            merged = small.groupBy("gram", "context").agg(
+                F.first("right").alias("right"), F.first("left").alias("left"), F.sum("n").alias("n")
+            )
+            scanned = _scan(merged.select("gram", "context", "right", "left", "n"))
             back = small.select("origin_gram", "origin", "gram", "context").distinct()
             done.append(
                 back.join(stored(scanned, "repeats"), ["gram", "context"]).select(
