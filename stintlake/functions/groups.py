@@ -3,64 +3,28 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stintlake.functions import ordered
 
-HOT_ROWS = 1_000_000
-MOST_HOT = 10_000
 
+def number_rows(df: DataFrame, keys: list[str], piece: str, order: list, name: str) -> DataFrame:
+    """1-based position of each row in its group, ordered by `piece` and then `order`.
 
-def hot_groups(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The groups with more than `hot_rows` rows, at most the 10,000 largest of them.
-
-    A group that is not among the 10,000 largest holds under 1/10,000 of all rows, so it needs
-    no splitting; and the result may always be broadcast. `_rows` is the size of the group.
-    """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    large = sizes.where(F.col("_rows") > hot_rows)
-    return large.orderBy(F.desc("_rows"), *keys).limit(MOST_HOT)
-
-
-def find_hot(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """The hot groups, or None where there are none: then plain windows will do.
-
-    Runs a count over the key columns, so that the usual case keeps a plan without the joins
-    that hot groups need. The answer only picks the plan; both give the same rows.
+    A group is numbered piece by piece, in as many tasks; the start of each piece comes from the
+    row counts of the earlier ones. `piece` must not be null and must rise with the wanted order.
     """
-    hot = hot_groups(df, keys, hot_rows)
-    return None if hot.isEmpty() else hot
-
-
-def number_rows(
-    df: DataFrame, keys: list[str], bucket: str, order: list, name: str, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """1-based position of each row in its group, ordered by `bucket` and then `order`.
-
-    A hot group is numbered bucket by bucket, in as many tasks; the start of each bucket comes
-    from the row counts of the earlier ones. `bucket` must not be null and must rise with the
-    wanted order.
-    """
-    found = find_hot(df, keys, hot_rows)
-    if found is None:
-        whole = Window.partitionBy(*keys).orderBy(bucket, *order)
-        return df.withColumn(name, F.row_number().over(whole))
-    hot = F.broadcast(found.select(*keys, F.lit(True).alias("_hot")))
-    earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+    earlier = Window.partitionBy(*keys).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        df.join(hot, keys, "left_semi")
-        .groupBy(*keys, F.col(bucket).alias("_piece"))
+        df.groupBy(*keys, piece)
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_start", F.sum("_rows").over(earlier))
+        .withColumn("_start", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
         .drop("_rows")
     )
-    inside = Window.partitionBy(*keys, "_piece").orderBy(bucket, *order)
+    within = Window.partitionBy(*keys, piece).orderBy(*order)
+    numbered = df.withColumn("_in_piece", F.row_number().over(within))
     return (
-        df.join(hot, keys, "left")
-        .withColumn("_piece", F.when(F.col("_hot"), F.col(bucket)))
-        .withColumn("_in_piece", F.row_number().over(inside))
-        .join(starts, [*keys, "_piece"], "left")
-        .withColumn(name, (F.coalesce("_start", F.lit(0)) + F.col("_in_piece")).cast("int"))
-        .drop("_hot", "_piece", "_in_piece", "_start")
+        ordered.joined(numbered, starts, [*keys, piece])
+        .withColumn(name, (F.col("_start") + F.col("_in_piece")).cast("int"))
+        .drop("_in_piece", "_start")
     )
 
 

@@ -1,41 +1,43 @@
-"""Ordered steps inside groups - previous row, running sum, group values - with hot groups cut.
+"""Ordered steps inside groups - previous row, running sum, group values - for groups of any size.
 
-`cut` looks for hot groups (see `groups.hot_groups`). Without any, the frame stays as it is and
-the steps are plain windows keyed by group. Otherwise every row gets a `_piece`: null in an
-ordinary group, the row's bucket in a hot one. Windows are then keyed by (group, _piece), so a
-hot group is handled piece by piece in as many tasks; what a piece needs from outside comes
-from a summary of the hot groups' pieces, one row per piece.
+`cut` gives every row a `_piece`, a bucket of a fixed width that rises with the order wanted
+later. Windows are keyed by (group, piece); what a piece needs from outside comes from a summary
+with one row per piece, and aggregates of whole groups are joined back. The plan is the same
+for every input, and building it starts no job.
 """
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stintlake.functions import groups
+LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
+#: Rows between the cuts of `around`.
+STRETCH = 10_000
 
 
-def cut(df: DataFrame, keys: list[str], bucket) -> DataFrame:
-    """Adds `_piece` if there are hot groups. `bucket` must rise with the order wanted later, and
-    never be null."""
-    found = groups.find_hot(df, keys, groups.HOT_ROWS)
-    if found is None:
-        return df
+def bucket(column, width: float):
+    """Number of the stretch of `width` that holds the value. It rises as rows are sorted: nulls
+    come first, then negative values, NaN comes last."""
+    value = F.col(column) if isinstance(column, str) else column
+    number = F.floor(value / F.lit(float(width)))
     return (
-        df.join(F.broadcast(found.select(*keys, F.lit(True).alias("_hot"))), keys, "left")
-        .withColumn("_piece", F.when(F.col("_hot"), bucket))
-        .drop("_hot")
+        F.when(value.isNull(), F.lit(LOWEST))
+        .when(F.isnan(value.cast("double")), F.lit(HIGHEST))
+        .otherwise(number)
     )
 
 
-def is_cut(df: DataFrame) -> bool:
-    return "_piece" in df.columns
+def cut(df: DataFrame, piece) -> DataFrame:
+    """Adds `_piece`, which must rise with the order wanted later and never be null."""
+    return df.withColumn("_piece", piece)
 
 
-def plain(df: DataFrame) -> DataFrame:
-    return df.where(F.col("_piece").isNull()) if is_cut(df) else df
-
-
-def hot(df: DataFrame) -> DataFrame:
-    return df.where(F.col("_piece").isNotNull())
+def joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join in which null keys match each other, as they do in windows."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = F.lit(True)
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"_r_{key}"))
+    return left.join(renamed, same, "left").drop(*[f"_r_{k}" for k in keys])
 
 
 def pieces(keys: list[str]):
@@ -43,26 +45,23 @@ def pieces(keys: list[str]):
     return Window.partitionBy(*keys).orderBy("_piece")
 
 
-def inside(df: DataFrame, keys: list[str]):
-    """Window over the rows of a group or, for a hot group, of a piece."""
-    return Window.partitionBy(*keys, "_piece") if is_cut(df) else Window.partitionBy(*keys)
+def inside(keys: list[str]):
+    """Window over the rows of a piece."""
+    return Window.partitionBy(*keys, "_piece")
 
 
 def previous(df: DataFrame, keys: list[str], order: list[str], columns: list[str], name: str):
     """Adds the struct `name` of `columns` of the row before, in the order of `order`."""
     row = F.struct(*columns)
-    within = df.withColumn(name, F.lag(row).over(inside(df, keys).orderBy(*order)))
-    if not is_cut(df):
-        return within
+    within = df.withColumn(name, F.lag(row).over(inside(keys).orderBy(*order)))
     last = F.max(F.struct(*order, row.alias("_row"))).alias("_last")
     carried = (
-        hot(df)
-        .groupBy(*keys, "_piece")
+        df.groupBy(*keys, "_piece")
         .agg(last)
         .select(*keys, "_piece", F.lag("_last._row").over(pieces(keys)).alias("_carried"))
     )
     return (
-        within.join(carried, [*keys, "_piece"], "left")
+        joined(within, carried, [*keys, "_piece"])
         .withColumn(name, F.coalesce(name, "_carried"))
         .drop("_carried")
     )
@@ -70,14 +69,11 @@ def previous(df: DataFrame, keys: list[str], order: list[str], columns: list[str
 
 def running_sum(df: DataFrame, keys: list[str], order: list[str], **values) -> DataFrame:
     """Adds running sums, one column per `name=value`, the current row included."""
-    upto = inside(df, keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    if not is_cut(df):
-        return df.withColumns({name: F.sum(value).over(upto) for name, value in values.items()})
+    upto = inside(keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     named = df.withColumns({f"_v_{name}": value for name, value in values.items()})
     earlier = pieces(keys).rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        hot(named)
-        .groupBy(*keys, "_piece")
+        named.groupBy(*keys, "_piece")
         .agg(*[F.sum(f"_v_{name}").alias(f"_s_{name}") for name in values])
         .select(
             *keys, "_piece",
@@ -86,7 +82,7 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], **values) -> D
     )
     summed = named.withColumns({name: F.sum(f"_v_{name}").over(upto) for name in values})
     return (
-        summed.join(starts, [*keys, "_piece"], "left")
+        joined(summed, starts, [*keys, "_piece"])
         .withColumns(
             {name: F.col(name) + F.coalesce(f"_from_{name}", F.lit(0)) for name in values}
         )
@@ -95,50 +91,25 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], **values) -> D
 
 
 def group_values(df: DataFrame, keys: list[str], **values) -> DataFrame:
-    """Adds aggregates of the whole group to its rows. Those of hot groups are formed by a
-    partial aggregation; at most 10,000 groups are hot, so they may be broadcast."""
-    filled = df.withColumns(
-        {name: value.over(inside(df, keys)) for name, value in values.items()}
-    )
-    if not is_cut(df):
-        return filled
-    totals = hot(df).groupBy(*keys).agg(*[v.alias(f"_h_{name}") for name, v in values.items()])
-    joined = filled.join(F.broadcast(totals), keys, "left")
-    whole = F.col("_piece").isNull()
-    return joined.withColumns(
-        {name: F.when(whole, F.col(name)).otherwise(F.col(f"_h_{name}")) for name in values}
-    ).drop(*[f"_h_{name}" for name in values])
+    """Adds aggregates of the whole group to its rows: partial aggregates, joined back."""
+    totals = df.groupBy(*keys).agg(*[value.alias(name) for name, value in values.items()])
+    return joined(df, totals, keys)
 
 
-def around_plain(df: DataFrame, keys: list[str], place: str, half: int, **values) -> DataFrame:
-    """The ordinary groups' part of `around`."""
-    frame = inside(df, keys).orderBy(place).rowsBetween(-half, half)
-    return plain(df).withColumns({name: value.over(frame) for name, value in values.items()})
-
-
-def around_hot(df: DataFrame, keys: list[str], place: str, half: int, **values) -> DataFrame:
-    """The hot groups' part of `around`: a group is cut by place, and each stretch also gets the
+def around(df: DataFrame, keys: list[str], place: str, half: int, **values) -> DataFrame:
+    """Adds window aggregates over the rows at most `half` places away in the group. `place`
+    numbers the rows of a group from 1. A group is cut by place, and each stretch also gets the
     `half` rows on either side, which are dropped again afterwards."""
 
     def stretch(position):
-        return F.floor(position / F.lit(groups.HOT_ROWS))
+        return F.floor(position / F.lit(STRETCH))
 
     at = F.col(place)
     copies = F.array_distinct(F.array(stretch(at), stretch(at - half), stretch(at + half)))
     frame = Window.partitionBy(*keys, "_stretch").orderBy(place).rowsBetween(-half, half)
     return (
-        hot(df)
-        .withColumn("_stretch", F.explode(copies))
+        df.withColumn("_stretch", F.explode(copies))
         .withColumns({name: value.over(frame) for name, value in values.items()})
         .where(F.col("_stretch") == stretch(at))
         .drop("_stretch")
     )
-
-
-def around(df: DataFrame, keys: list[str], place: str, half: int, **values) -> DataFrame:
-    """Adds window aggregates over the rows at most `half` places away in the group. `place`
-    numbers the rows of a group from 1."""
-    whole = around_plain(df, keys, place, half, **values)
-    if not is_cut(df):
-        return whole
-    return whole.unionByName(around_hot(df, keys, place, half, **values))

@@ -26,12 +26,13 @@ def race_laps(laps: DataFrame) -> DataFrame:
     return laps.groupBy(*K.RACE).agg(F.max("LapNumber").alias("vueltas"))
 
 
-def driver_names(results: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Full name of each driver code in a season, from the first race that lists it."""
+def driver_names(results: DataFrame, calendar: DataFrame, telemetry: DataFrame) -> DataFrame:
+    """Full name of each driver code in a season, from the first race in the lake that lists it."""
     rounds = calendar.select("Year", C.slug("EventName").alias("GrandPrix"), "RoundNumber")
     usable = (F.col("Abbreviation") != "") & (F.col("FullName") != "")
     return (
         results.where(usable)
+        .join(telemetry.select(*K.RACE).distinct(), K.RACE, "left_semi")
         .join(rounds, K.RACE)
         .groupBy("Year", F.col("Abbreviation").alias("Driver"))
         .agg(F.min(F.struct("RoundNumber", "FullName")).alias("_first"))
@@ -104,7 +105,6 @@ def catalogue(races: DataFrame, drivers: DataFrame) -> DataFrame:
     return (
         races.join(grids, ["year", "slug"], "left")
         .withColumn("pilotos", F.coalesce("pilotos", empty))
-        .orderBy("year", "ronda")
     )
 
 
@@ -130,9 +130,13 @@ def default_race(races: DataFrame) -> DataFrame:
     )
 
 
-def drivers_by_team(races: DataFrame, drivers: DataFrame) -> DataFrame:
+def drivers_by_team(calendar: DataFrame, drivers: DataFrame) -> DataFrame:
     """Drivers of each race for a menu grouped by team, with surname and short date."""
-    dates = races.select("year", "slug", C.short_date(F.to_date("fecha")).alias("short_date"))
+    dates = calendar.select(
+        F.col("Year").alias("year"),
+        C.slug("EventName").alias("slug"),
+        C.short_date("EventDate").alias("short_date"),
+    )
     return drivers.join(dates, ["year", "slug"]).select(
         "year", "slug", "short_date", "team", "code", C.surname("name").alias("surname")
     )

@@ -9,6 +9,7 @@ from stintlake.functions import ordered
 from stintlake.functions.groups import exact_ranks, number_rows
 
 LAPS_PER_BUCKET = 256.0
+PIECE_M = 100.0
 
 
 def drop_missing_position(telemetry: DataFrame) -> DataFrame:
@@ -116,7 +117,7 @@ def head_to_head(laps: DataFrame, telemetry: DataFrame, first: str, second: str)
 
 def lap_progress(points: DataFrame) -> DataFrame:
     """Progress of each point of a lap in percent, by index and as a share of the distance."""
-    placed = ordered.cut(points, K.LAP, F.floor("distance"))
+    placed = ordered.cut(points, ordered.bucket("distance", PIECE_M))
     numbered = ordered.running_sum(placed, K.LAP, ["distance", "x", "y"], _place=F.lit(1))
     measured = ordered.group_values(
         numbered,

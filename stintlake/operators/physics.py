@@ -1,7 +1,7 @@
 """Forces derived from position, speed and distance, for every lap at once.
 
 All functions take points as `laps.lap_points` serves them; distances are compared as whole
-decimetres. Windows are keyed by lap, hot laps are cut (see `functions.ordered`).
+decimetres. Windows are keyed by pieces of laps (see `functions.ordered`).
 """
 
 from pyspark.sql import DataFrame, Window
@@ -24,57 +24,39 @@ def _point():
 def located(points: DataFrame, base_m: int = K.NEIGHBOUR_BASE_M) -> DataFrame:
     """Adds `_dm`, `_place` (from 1), and the structs `before` and `after`, see `neighbours`.
 
-    A hot lap is cut at every decimetre, so all points of a piece share their neighbours and
-    these are found among the pieces.
+    Points of one decimetre share their neighbours, so these are found among the decimetres of a
+    lap, of which there are as many as the lap is long, not as it has points, and joined back.
     """
-    decimetre = F.round(F.col("distance") * 10).cast("long")
-    cut = ordered.cut(points.withColumn("_dm", decimetre), K.LAP, F.col("_dm"))
-    numbered = ordered.running_sum(cut, K.LAP, ["_dm", *POINT], _place=F.lit(1))
     base = base_m * 10
-
-    def frames(window):
-        far = window.orderBy("_dm").rangeBetween(Window.unboundedPreceding, -base)
-        ahead = window.orderBy(F.desc("_dm")).rangeBetween(Window.unboundedPreceding, -base)
-        return far, ahead
-
+    placed = points.withColumn("_dm", F.round(F.col("distance") * 10).cast("long"))
+    merged = placed.groupBy(*K.LAP, "_dm").agg(
+        F.min(_point()).alias("_low"), F.max(_point()).alias("_high"), F.count(F.lit(1)).alias("_n")
+    )
+    lap = Window.partitionBy(*K.LAP)
+    rising = lap.orderBy("_dm")
     # The frames grow from one side only, so they are maintained incrementally.
-    far, ahead = frames(ordered.inside(cut, K.LAP))
-    found = (
-        ordered.group_values(
-            numbered,
-            K.LAP,
-            _points=F.count(F.lit(1)),
-            _first=F.min(_point()),
-            _last=F.max(_point()),
-        )
-        .withColumn("_before", F.max(_point()).over(far))
-        .withColumn("_after", F.min(_point()).over(ahead))
+    behind = rising.rangeBetween(Window.unboundedPreceding, -base)
+    ahead = lap.orderBy(F.desc("_dm")).rangeBetween(Window.unboundedPreceding, -base)
+    earlier = rising.rowsBetween(Window.unboundedPreceding, -1)
+    found = merged.select(
+        *K.LAP,
+        "_dm",
+        F.max("_high").over(behind).alias("_before"),
+        F.min("_low").over(ahead).alias("_after"),
+        F.min("_low").over(lap).alias("_first"),
+        F.max("_high").over(lap).alias("_last"),
+        F.sum("_n").over(lap).alias("_points"),
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_from"),
     )
-    if ordered.is_cut(cut):
-        piece_far, piece_ahead = frames(Window.partitionBy(*K.LAP))
-        carried = (
-            ordered.hot(cut)
-            .groupBy(*K.LAP, "_piece", "_dm")
-            .agg(F.min(_point()).alias("_low"), F.max(_point()).alias("_high"))
-            .select(
-                *K.LAP,
-                "_piece",
-                F.max("_high").over(piece_far).alias("_piece_before"),
-                F.min("_low").over(piece_ahead).alias("_piece_after"),
-            )
-        )
-        # Within a piece there is nothing far enough away, so the window found nothing there.
-        found = (
-            found.join(carried, [*K.LAP, "_piece"], "left")
-            .withColumn("_before", F.coalesce("_before", "_piece_before"))
-            .withColumn("_after", F.coalesce("_after", "_piece_after"))
-            .drop("_piece_before", "_piece_after")
-        )
+    within = Window.partitionBy(*K.LAP, "_dm").orderBy(*POINT)
+    numbered = placed.withColumn("_in", F.row_number().over(within))
     inner = (F.col("_place") > 1) & (F.col("_place") < F.col("_points"))
     return (
-        found.withColumn("before", F.when(inner, F.coalesce("_before", "_first")))
+        ordered.joined(numbered, found, [*K.LAP, "_dm"])
+        .withColumn("_place", F.col("_from") + F.col("_in"))
+        .withColumn("before", F.when(inner, F.coalesce("_before", "_first")))
         .withColumn("after", F.when(inner, F.coalesce("_after", "_last")))
-        .drop("_points", "_first", "_last", "_before", "_after")
+        .drop("_points", "_first", "_last", "_before", "_after", "_from", "_in")
     )
 
 
@@ -84,7 +66,7 @@ def neighbours(points: DataFrame, base_m: int = K.NEIGHBOUR_BASE_M) -> DataFrame
     `before` and `after` are structs (dm, x, y, speed); near a lap end, where no point is far
     enough, they are the first or last point of the lap. Both are null on the end points.
     """
-    return located(points, base_m).drop("_dm", "_place", "_piece")
+    return located(points, base_m).drop("_dm", "_place")
 
 
 def _curvature(points: DataFrame) -> DataFrame:
@@ -138,7 +120,7 @@ def _forces(points: DataFrame) -> DataFrame:
 
 def raw_forces(points: DataFrame) -> DataFrame:
     """Adds the unsmoothed forces `g_lat` (gated by coherence) and `g_lon` (not gated)."""
-    return _forces(points).drop("_place", "_piece")
+    return _forces(points).drop("_place")
 
 
 def lateral_g(points: DataFrame) -> DataFrame:
@@ -166,7 +148,7 @@ def smoothed_forces(points: DataFrame) -> DataFrame:
         _lon=F.collect_list("g_lon"),
     )
     return near.withColumns({"g_lat": upper_middle("_lat"), "g_lon": upper_middle("_lon")}).drop(
-        "_lat", "_lon", "_place", "_piece"
+        "_lat", "_lon", "_place"
     )
 
 
@@ -180,7 +162,7 @@ def enrich(points: DataFrame) -> DataFrame:
     )
 
 
-def _checked(points: DataFrame, around=ordered.around) -> DataFrame:
+def _checked(points: DataFrame) -> DataFrame:
     usable = _curvature(points).where(F.col("_ds") > 1)
     gated = F.when(F.col("_coherent"), F.col("_bend"))
     forces = usable.withColumns(
@@ -193,8 +175,9 @@ def _checked(points: DataFrame, around=ordered.around) -> DataFrame:
         }
     ).drop("x", "y", "before", "after", "_dm", "_ds", "_bend", "_coherent")
     # Unusable points left holes in the numbering.
-    renumbered = ordered.running_sum(forces, K.LAP, ["_place"], _rank=F.lit(1))
-    return around(
+    placed = ordered.cut(forces, ordered.bucket("_place", ordered.STRETCH))
+    renumbered = ordered.running_sum(placed, K.LAP, ["_place"], _rank=F.lit(1))
+    return ordered.around(
         renumbered, K.LAP, "_rank", K.SMOOTHING_HALF_WIDTH, g=F.percentile("_gated", 0.5)
     ).drop("_gated")
 
@@ -205,8 +188,8 @@ def diagnostic_points(points: DataFrame) -> DataFrame:
     return _checked(points).select(*K.LAP, "distance", "speed", "g_raw", "g", "radius_m")
 
 
-def _hot_percentiles(checked: DataFrame) -> DataFrame:
-    """Percentiles of hot laps, ranked in bins: an aggregate would hold a whole lap in memory."""
+def _percentiles(checked: DataFrame) -> DataFrame:
+    """Percentiles of laps, ranked in bins: an aggregate would hold a whole lap in memory."""
     both = F.array(
         F.struct(F.lit("g").alias("of"), F.col("g").alias("value")),
         F.struct(F.lit("g_raw").alias("of"), F.col("g_raw").alias("value")),
@@ -235,17 +218,8 @@ def g_diagnostic(points: DataFrame) -> DataFrame:
         F.max_by(shown, F.struct("speed", -place)).alias("fastest"),
         F.min_by(shown, F.struct("speed", place)).alias("slowest"),
     ]
-    checked = _checked(points, ordered.around_plain)
-    found = checked.groupBy(*K.LAP).agg(
-        *measures,
-        F.percentile("g", 0.5).alias("median_g"),
-        F.percentile("g", 0.9).alias("p90_g"),
-        F.percentile("g_raw", 0.9).alias("p90_raw"),
-    )
-    if ordered.is_cut(checked):
-        large = _checked(points, ordered.around_hot)
-        split = large.groupBy(*K.LAP).agg(*measures).join(_hot_percentiles(large), K.LAP)
-        found = found.unionByName(split)
+    checked = _checked(points)
+    found = ordered.joined(checked.groupBy(*K.LAP).agg(*measures), _percentiles(checked), K.LAP)
     return found.select(
         *K.LAP, "points", "p90_raw", "max_raw", "median_g", "p90_g", "max_g",
         *[
@@ -265,9 +239,7 @@ def g_top(points: DataFrame, n: int = 5) -> DataFrame:
         ranked = rows.withColumn("rank", F.row_number().over(window.orderBy(*order)))
         return ranked.where(F.col("rank") <= n)
 
-    top = best(checked, ordered.inside(checked, K.LAP))
-    if ordered.is_cut(checked):
-        top = best(top, Window.partitionBy(*K.LAP))
+    top = best(best(checked, ordered.inside(K.LAP)), Window.partitionBy(*K.LAP))
     return top.select(*K.LAP, "rank", "distance", "speed", "g", "radius_m")
 
 

@@ -8,6 +8,9 @@ from stintlake import constants as K
 from stintlake.functions import columns as C
 from stintlake.functions import ordered
 
+PIECE_S = 10.0
+UNORDERED = {*K.LAP, "SessionTime", "Speed"}
+
 
 def assemble_telemetry(samples: DataFrame, laps: DataFrame, bucket_seconds: float) -> DataFrame:
     """Gives each sample the lap it falls in: LapStart <= SessionTime < LapEnd.
@@ -42,13 +45,16 @@ def assemble_telemetry(samples: DataFrame, laps: DataFrame, bucket_seconds: floa
 
 
 def lap_distance(samples: DataFrame) -> DataFrame:
-    """Adds `Distance`: metres driven since the lap began, integrated from speed and time."""
-    second = F.floor(F.coalesce("SessionTime", F.lit(0.0)))
-    placed = ordered.cut(samples, K.LAP, second)
-    timed = ordered.previous(placed, K.LAP, ["SessionTime"], ["SessionTime"], "_before")
+    """Adds `Distance`: metres driven since the lap began, integrated from speed and time.
+
+    Samples of one instant are ordered by speed and then by their other columns: the step since
+    the instant before counts with the lowest of their speeds, whatever the order of the rows."""
+    order = ["SessionTime", "Speed", *[c for c in samples.columns if c not in UNORDERED]]
+    placed = ordered.cut(samples, ordered.bucket("SessionTime", PIECE_S))
+    timed = ordered.previous(placed, K.LAP, order, ["SessionTime"], "_before")
     step = F.col("SessionTime") - F.col("_before.SessionTime")
     metres = F.coalesce(F.col("Speed") / F.lit(3.6) * step, F.lit(0.0))
-    return ordered.running_sum(timed, K.LAP, ["SessionTime"], Distance=metres).drop(
+    return ordered.running_sum(timed, K.LAP, order, Distance=metres).drop(
         "_before", "_piece"
     )
 

@@ -10,23 +10,30 @@ from stintlake.functions.groups import exact_quantiles
 from stintlake.operators import laps as L
 
 SPACING_BIN_M = 1.0
+PIECE_M = 100.0
 
 
 def sample_deltas(telemetry: DataFrame) -> DataFrame:
     """Per sample, against the one before it in its lap: metres driven (`arc`) and metres the
     position moved in a straight line (`chord`); null on the first sample."""
     slim = telemetry.select(*K.LAP, "Distance", "X", "Y")
-    placed = ordered.cut(slim, K.LAP, F.floor(F.coalesce("Distance", F.lit(0.0))))
+    # A stalled car repeats one sample: equal samples are counted first, and all but the first of
+    # them have not moved.
+    equal = slim.groupBy(*K.LAP, "Distance", "X", "Y").agg(F.count(F.lit(1)).alias("_times"))
+    placed = ordered.cut(equal, ordered.bucket("Distance", PIECE_M))
     columns = ["Distance", "X", "Y"]
     moved = ordered.previous(placed, K.LAP, columns, columns, "_before")
     dx = F.col("X") - F.col("_before.X")
     dy = F.col("Y") - F.col("_before.Y")
-    return moved.select(
-        *K.LAP,
-        "Distance",
-        (F.col("Distance") - F.col("_before.Distance")).alias("arc"),
-        (F.sqrt(dx * dx + dy * dy) / F.lit(float(K.POSITION_UNITS_PER_METRE))).alias("chord"),
+    arc = F.col("Distance") - F.col("_before.Distance")
+    chord = F.sqrt(dx * dx + dy * dy) / F.lit(float(K.POSITION_UNITS_PER_METRE))
+    step = F.struct(arc.alias("arc"), chord.alias("chord"))
+    still = F.struct(
+        (F.col("Distance") - F.col("Distance")).alias("arc"),
+        ((F.col("X") - F.col("X") + F.col("Y") - F.col("Y")).cast("double")).alias("chord"),
     )
+    steps = F.concat(F.array(step), F.array_repeat(still, (F.col("_times") - 1).cast("int")))
+    return moved.select(*K.LAP, "Distance", F.inline(steps))
 
 
 def lap_position_quality(telemetry: DataFrame) -> DataFrame:

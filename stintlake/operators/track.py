@@ -8,6 +8,7 @@ from stintlake.functions import ordered
 
 
 ORDER = ["distance", "x", "y"]
+PIECE_M = 100.0
 
 
 def project_track(points: DataFrame) -> DataFrame:
@@ -15,7 +16,7 @@ def project_track(points: DataFrame) -> DataFrame:
 
     The lap is drawn upright or turned by 90 degrees, whichever comes out larger.
     """
-    return _projected(points).drop("_piece")
+    return _projected(points)
 
 
 def _projected(points: DataFrame) -> DataFrame:
@@ -27,7 +28,7 @@ def _projected(points: DataFrame) -> DataFrame:
         return F.when(width == 0, F.lit(1)).otherwise(width)
 
     extent = ordered.group_values(
-        ordered.cut(points, K.LAP, F.floor("distance")),
+        points,
         K.LAP,
         _min_x=F.min("x"),
         _max_x=F.max("x"),
@@ -77,7 +78,8 @@ def cut_points(points: DataFrame) -> DataFrame:
     """Projected points with `segment`, which rises where the position signal was lost, and
     `zone`, which also rises at every point without brake."""
     columns = ["map_x", "map_y", "distance"]
-    moved = ordered.previous(_projected(points), K.LAP, ORDER, columns, "_before")
+    placed = ordered.cut(_projected(points), ordered.bucket("distance", PIECE_M))
+    moved = ordered.previous(placed, K.LAP, ORDER, columns, "_before")
     dx = F.col("map_x") - F.col("_before.map_x")
     dy = F.col("map_y") - F.col("_before.map_y")
     metres = F.col("distance") - F.col("_before.distance")

@@ -3,32 +3,21 @@
 import logging
 
 from pyspark import StorageLevel
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stintlake import schemas
 from stintlake.operators import catalogue, cleaning, pace, strategy, wear_model
 from stintlake.sources import readers, writers
 
 log = logging.getLogger(__name__)
 
 
-def _bronze(spark, root, year, gps, kind) -> DataFrame | None:
-    try:
-        return readers.read_bronze(spark, root, year, gps, kind)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        log.warning("no bronze %s for %s %s", kind, year, gps or "(all races)")
-        return None
-
-
 def build_silver(
     spark: SparkSession, bronze: str, silver: str, year: int, gps: list[str] | None = None
 ) -> dict[str, int]:
     """Cleans a season, or some of its races, into the silver tables: one job per table, not
-    one per race. Returns the rows written per table."""
+    one per race. A race whose files don't fit is reported and left as it is; the others are
+    written. Returns the rows written per table."""
     rows = {}
     steps = {
         "laps": cleaning.clean_laps,
@@ -36,9 +25,13 @@ def build_silver(
         "telemetry": cleaning.clean_telemetry,
     }
     for kind, clean in steps.items():
-        raw = _bronze(spark, bronze, year, gps, kind)
-        if raw is not None:
-            written = writers.write_silver(clean(raw), silver, kind)
+        raw, races, rejected = readers.read_valid_bronze(spark, bronze, year, gps, kind)
+        for file, why in rejected.items():
+            log.warning("%s left out: %s", file, why)
+        if raw is None:
+            log.warning("no bronze %s for %s %s", kind, year, gps or "(all races)")
+        else:
+            written = writers.write_silver(clean(raw), silver, kind, races)
             rows[kind] = written.get["rows"]
     return rows
 
@@ -50,7 +43,7 @@ def build_catalogue(
     telemetry = readers.read_silver(spark, silver, "telemetry")
     laps = readers.read_silver(spark, silver, "laps")
     races = catalogue.catalogue_races(calendar, telemetry, laps, as_of)
-    names = catalogue.driver_names(results, calendar)
+    names = catalogue.driver_names(results, calendar, telemetry)
     drivers = catalogue.catalogue_drivers(calendar, telemetry, laps, names)
     writers.write_catalogue(catalogue.catalogue(races, drivers), path)
 
@@ -98,23 +91,21 @@ def build_predictions(
     model = writers.load_model(models, wear_model.era_name(years))
     rows = strategy.predict_stops(laps, wear_model.prediction_grid(spark, model))
     if previous is not None:
-        kept = spark.read.schema(schemas.GOLD_PREDICTION).json(previous)
+        kept = readers.read_gold(spark, previous, "predicciones")
         rows = strategy.merge_predictions(kept, rows, years)
-    writers.write_rows(rows, path)
-    writers.write_rows(
-        strategy.stop_summary(spark.read.schema(schemas.GOLD_PREDICTION).json(path)),
-        f"{path}_summary",
-    )
+    writers.write_rows(rows, f"{path}/predicciones")
+    summary = strategy.stop_summary(readers.read_gold(spark, path, "predicciones"))
+    writers.write_rows(summary, f"{path}/resumen")
 
 
 def load_warehouse(
     spark: SparkSession, silver: str, catalogue_path: str, predictions_path: str, database: str
 ) -> dict[str, bool]:
     """Replaces the warehouse tables `vueltas` and `predicciones`."""
-    races = spark.read.schema(schemas.GOLD_RACE).json(catalogue_path)
+    races = readers.read_gold(spark, catalogue_path, "circuitos")
     names = races.select("slug", "nombre").distinct()
     laps = readers.read_silver(spark, silver, "laps")
-    predictions = spark.read.schema(schemas.GOLD_PREDICTION).json(predictions_path)
+    predictions = readers.read_gold(spark, predictions_path, "predicciones")
     return {
         "vueltas": writers.load_table(
             pace.warehouse_laps(laps, names, compat=True), f"{database}.vueltas"

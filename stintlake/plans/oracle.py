@@ -288,7 +288,8 @@ TABLES["season_teams"] = _season_teams("race_teams")
 TABLES["full_names"] = """
 SELECT r.Year, Abbreviation AS Driver, arg_min(FullName, (RoundNumber, FullName)) AS name
 FROM roster r JOIN calendar c ON r.Year = c.Year AND r.GrandPrix = lower(replace(EventName, ' ', '_'))
-WHERE Abbreviation <> '' AND FullName <> '' GROUP BY 1, 2
+WHERE Abbreviation <> '' AND FullName <> ''
+ AND (r.Year, r.GrandPrix) IN (SELECT DISTINCT Year, GrandPrix FROM cat_tel) GROUP BY 1, 2
 """
 TABLES["cat_laps"] = "SELECT Year, GrandPrix, max(LapNumber) AS vueltas FROM timed GROUP BY 1, 2"
 
@@ -457,9 +458,24 @@ BODIES = {
     "telemetry_lap_join": """SELECT f.Year, f.GrandPrix, f.Driver, w.LapNumber, event_id, Team, Compound, Speed
  FROM feed f JOIN lap_windows w ON w.Year = f.Year AND w.GrandPrix = f.GrandPrix AND w.Driver = f.Driver
  AND f.SessionTime >= LapStart AND f.SessionTime < LapEnd""",
+    "lap_distance_ties": f"""SELECT {LAP}, SessionTime, Speed, {up('sum(step) OVER w', 1)} AS Distance FROM
+ (SELECT *, coalesce(Speed / 36e-1 * (SessionTime - lag(SessionTime) OVER w), 0e0) AS step FROM
+  (SELECT * REPLACE (floor(SessionTime / 2592e2) * 2592e2 AS SessionTime) FROM feed)
+  WINDOW w AS (PARTITION BY {LAP} ORDER BY SessionTime, Speed)) WINDOW w AS (PARTITION BY {LAP} ORDER BY SessionTime, Speed ROWS UNBOUNDED PRECEDING)""",
+    "sample_deltas_edges": f"""WITH e AS (SELECT {LAP},
+  CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 3 = 0 THEN 250e0 ELSE Distance - 4e2 END AS Distance,
+  CASE WHEN event_id % 3 = 0 THEN 7 ELSE X END AS X, CASE WHEN event_id % 3 = 0 THEN 9 ELSE Y END AS Y FROM feed),
+ s AS (SELECT *, Distance - lag(Distance) OVER w AS arc, sqrt(CAST((X - lag(X) OVER w) * (X - lag(X) OVER w) + (Y - lag(Y) OVER w) * (Y - lag(Y) OVER w) AS DOUBLE)) / 1e1 AS chord
+  FROM e WINDOW w AS (PARTITION BY {LAP} ORDER BY Distance NULLS FIRST, X, Y))
+ SELECT {LAP}, Distance, {up('arc', 3)} AS arc, {up('chord', 3)} AS chord FROM s""",
+    "silver_roundtrip": "SELECT * FROM timed",
+    "predictions_roundtrip": "SELECT * FROM predictions",
+    "catalogue_roundtrip": """SELECT r.*, coalesce(p.pilotos, '') AS pilotos FROM cat_races r LEFT JOIN
+ (SELECT year, slug, string_agg(code || ':' || team || ':' || name, ',' ORDER BY code, team, name) AS pilotos FROM cat_drivers GROUP BY 1, 2) p
+ USING (year, slug)""",
     "lap_distance": f"""SELECT {LAP}, event_id, {up('sum(step) OVER w', 1)} AS Distance FROM
  (SELECT *, coalesce(Speed / 36e-1 * (SessionTime - lag(SessionTime) OVER w), 0e0) AS step FROM feed
-  WINDOW w AS (PARTITION BY {LAP} ORDER BY SessionTime)) WINDOW w AS (PARTITION BY {LAP} ORDER BY SessionTime)""",
+  WINDOW w AS (PARTITION BY {LAP} ORDER BY SessionTime, Speed)) WINDOW w AS (PARTITION BY {LAP} ORDER BY SessionTime, Speed ROWS UNBOUNDED PRECEDING)""",
     "channels_normalised": """SELECT Year, GrandPrix, Driver, event_id, Team, CAST(LapNumber AS SMALLINT) AS LapNumber, Compound,
  CAST(coalesce(SessionTime, 0) AS FLOAT) AS SessionTime, CAST(Speed AS FLOAT) AS Speed,
  CAST(coalesce(RPM, 0) AS SMALLINT) AS RPM, CAST(coalesce(nGear, 0) AS TINYINT) AS nGear,
@@ -622,13 +638,17 @@ BODIES = {
     "nearest_sample": f"""SELECT {LAP}, query_id, arg_min(distance, (d2, distance)) AS distance, {up('sqrt(min(d2))', 3)} AS map_distance
  FROM (SELECT p.Year, p.GrandPrix, p.Driver, p.LapNumber, p.distance, CAST(round(q.distance * 10) AS BIGINT) AS query_id,
   (p.map_x - (q.map_x + 3)) * (p.map_x - (q.map_x + 3)) + (p.map_y - (q.map_y + 4)) * (p.map_y - (q.map_y + 4)) AS d2
-  FROM drawn p JOIN drawn q USING ({LAP}) WHERE CAST(round(q.distance * 10) AS BIGINT) % 10 = 0)
+  FROM drawn p JOIN drawn q USING ({LAP}))
  WHERE d2 < 140 GROUP BY {LAP}, query_id""",
-    "gap_ahead": f"""WITH l AS (SELECT Year, GrandPrix, max(Distance) AS len FROM feed GROUP BY 1, 2),
- b AS (SELECT {DRIVER}, CAST(floor(SessionTime / {Q.GAP_BUCKET_S}e0) AS BIGINT) AS bucket,
-  arg_max(LapNumber, (SessionTime, LapNumber, Distance)) AS lap, arg_max(Distance, (SessionTime, LapNumber, Distance)) AS dist
-  FROM feed GROUP BY ALL),
- c AS (SELECT b.*, (lap - 1) * len + dist AS covered FROM b JOIN l USING (Year, GrandPrix))
+    "gap_ahead": f"""WITH e AS (SELECT {LAP}, max(Distance) AS d FROM feed GROUP BY ALL),
+ l AS (SELECT Year, GrandPrix, quantile_cont(d, 0.5) AS len FROM e GROUP BY 1, 2),
+ s AS (SELECT feed.*, (LapNumber - 1) * len + Distance AS way FROM feed JOIN l USING (Year, GrandPrix)),
+ p AS (SELECT *, lag(SessionTime) OVER w AS t0, lag(way) OVER w AS way0 FROM s
+  WINDOW w AS (PARTITION BY {DRIVER} ORDER BY SessionTime, LapNumber, Distance)),
+ i AS (SELECT *, unnest(range(CAST(ceil(t0 / {Q.GAP_BUCKET_S}e0) AS BIGINT),
+  CAST(ceil(SessionTime / {Q.GAP_BUCKET_S}e0) AS BIGINT))) AS bucket FROM p WHERE t0 < SessionTime),
+ c AS (SELECT {DRIVER}, bucket,
+  way0 + (way - way0) * ((bucket * {Q.GAP_BUCKET_S}e0 - t0) / (SessionTime - t0)) AS covered FROM i)
  SELECT Year, GrandPrix, bucket, Driver, {up('covered', 1)} AS covered_m, lag(Driver) OVER w AS driver_ahead,
  {up('lag(covered) OVER w - covered', 1)} AS gap_m
  FROM c WINDOW w AS (PARTITION BY Year, GrandPrix, bucket ORDER BY covered DESC, Driver)""",

@@ -12,8 +12,8 @@ from stintlake.operators import (
     track, wear_model,
 )
 from stintlake.plans import fixtures as X
-from stintlake.plans.stored import stored
-from stintlake.sources import readers
+from stintlake.plans.stored import scratch, stored
+from stintlake.sources import readers, writers
 
 AS_OF = date(2001, 7, 1)
 ERA_YEARS = [1996, 1997, 1998]
@@ -78,6 +78,14 @@ def lap_distance(spark, sf):
     return rounded(driven.select(*K.LAP, "event_id", "Distance"), Distance=1)
 
 
+def lap_distance_ties(spark, sf):
+    """Clocks that tick every third day: many samples share an instant."""
+    tick = F.lit(259200.0)
+    coarse = (F.floor(F.col("SessionTime") / tick) * tick).alias("SessionTime")
+    samples = X.clock_telemetry(spark, sf).select(*K.LAP, coarse, "Speed")
+    return rounded(preparation.lap_distance(samples), Distance=1)
+
+
 def channels_normalised(spark, sf):
     feed = X.bronze_telemetry(spark, sf).where(F.col("LapNumber").isNotNull())
     fed = preparation.normalise_channels(preparation.ensure_columns(feed.drop("DRS")))
@@ -140,6 +148,20 @@ def sample_deltas(spark, sf):
     return rounded(quality.sample_deltas(X.telemetry(spark, sf)), arc=3, chord=3)
 
 
+def sample_deltas_edges(spark, sf):
+    """Null and negative distances, and a car that stands still for a third of its samples."""
+    still, n = F.col("event_id") % 3 == 0, F.col("event_id")
+    distance = F.when(n % 11 == 0, None).when(still, F.lit(250.0)).otherwise(
+        F.col("Distance") - 400.0
+    )
+    odd = X.clock_telemetry(spark, sf).select(
+        *K.LAP, distance.alias("Distance"),
+        F.when(still, F.lit(7)).otherwise(F.col("X")).alias("X"),
+        F.when(still, F.lit(9)).otherwise(F.col("Y")).alias("Y"),
+    )
+    return rounded(quality.sample_deltas(odd), arc=3, chord=3)
+
+
 def lap_position_quality(spark, sf):
     return quality.lap_position_quality(X.telemetry(spark, sf))
 
@@ -431,7 +453,9 @@ def race_laps(spark, sf):
 
 
 def driver_names(spark, sf):
-    return catalogue.driver_names(X.roster(spark, sf), X.calendar(spark, sf))
+    return catalogue.driver_names(
+        X.roster(spark, sf), X.calendar(spark, sf), X.catalogue_telemetry(spark, sf)
+    )
 
 
 def catalogue_races(spark, sf):
@@ -460,7 +484,31 @@ def default_race(spark, sf):
 
 
 def drivers_by_team(spark, sf):
-    return catalogue.drivers_by_team(catalogue_races(spark, sf), catalogue_drivers(spark, sf))
+    return catalogue.drivers_by_team(X.calendar(spark, sf), catalogue_drivers(spark, sf))
+
+
+def silver_roundtrip(spark, sf):
+    """Silver laps as they come back from the lake."""
+    root = scratch(spark, "silver")
+    writers.write_silver(X.silver_laps(spark, sf), root, "laps")
+    return readers.read_silver(spark, root, "laps")
+
+
+def catalogue_roundtrip(spark, sf):
+    """The catalogue as it comes back from its gold folder, drivers as one text."""
+    path = scratch(spark, "catalogue")
+    whole = catalogue.catalogue(catalogue_races(spark, sf), catalogue_drivers(spark, sf))
+    writers.write_catalogue(whole, path)
+    driver = F.transform("pilotos", lambda p: F.concat_ws(":", p["code"], p["team"], p["name"]))
+    read = readers.read_gold(spark, path, "circuitos")
+    return read.withColumn("pilotos", F.array_join(driver, ","))
+
+
+def predictions_roundtrip(spark, sf):
+    """Stop predictions as they come back from their gold folder."""
+    path = scratch(spark, "predictions")
+    writers.write_rows(stop_predictions(spark, sf), f"{path}/predicciones")
+    return readers.read_gold(spark, path, "predicciones")
 
 
 # Lap serving ------------------------------------------------------------------------------------------
@@ -587,9 +635,9 @@ def braking_zones(spark, sf):
 
 
 def nearest_sample(spark, sf):
-    """Asks for the point nearest to every tenth of the points, moved by (3, 4)."""
+    """Asks for the point nearest to every point, moved by (3, 4)."""
     drawn = track.project_track(points(spark, sf))
-    asked = drawn.where(F.round(F.col("distance") * 10).cast("long") % 10 == 0).select(
+    asked = drawn.select(
         *K.LAP,
         F.round(F.col("distance") * 10).cast("long").alias("query_id"),
         (F.col("map_x") + 3).alias("qx"),
@@ -610,10 +658,10 @@ QUERIES = {
     f.__name__: f
     for f in [
         source_schema, pending_races, predictions_merge,
-        race_slug, telemetry_lap_join, lap_distance, channels_normalised, laps_durations,
+        race_slug, telemetry_lap_join, lap_distance, lap_distance_ties, channels_normalised, laps_durations,
         events_clean, events_flags, missing_drivers, ingest_report, calendar_raced,
         silver_laps, silver_telemetry,
-        sample_deltas, lap_position_quality, race_position_quality, incoherent_samples,
+        sample_deltas, sample_deltas_edges, lap_position_quality, race_position_quality, incoherent_samples,
         sample_spacing, sampling_density, position_presence, distance_reset, lake_profile,
         telemetry_only_drivers, missing_position,
         rule_107_circuit, rule_107_race, dry_laps, fuel_adjusted, pace_delta, race_names,
@@ -626,6 +674,7 @@ QUERIES = {
         stop_summary, strategy_lookup, strategy_card,
         team_by_race, team_by_season, race_laps, driver_names, catalogue_races,
         catalogue_drivers, teams, catalogue_summary, default_race, drivers_by_team,
+        silver_roundtrip, catalogue_roundtrip, predictions_roundtrip,
         laps_available, middle_lap, selected_lap, unknown_lap, lap_points, lap_bounds,
         fastest_lap, head_to_head, lap_progress,
         neighbours, lateral_g_raw, longitudinal_g_raw, g_smoothed, lap_enriched, g_diagnostic,

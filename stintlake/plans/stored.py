@@ -3,6 +3,7 @@
 import re
 import tempfile
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,16 +12,25 @@ _written: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests), one of our own."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder named by spark.checkpoint.dir. Where it is unset, a local session (a test) gets
+    one of its own; on a cluster executors share no local folder, so that is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     session = spark.sparkContext.applicationId
     if session not in _own_folders:
         _own_folders[session] = tempfile.mkdtemp(prefix="stintlake-")
     return _own_folders[session]
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder of that name in the shared folder."""
+    return f"{shared_folder(spark)}/stintlake/{spark.sparkContext.applicationId}/{uuid4().hex}/{name}"
+
+
 def stored(
     spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]
 ) -> DataFrame:

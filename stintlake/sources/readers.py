@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from stintlake import constants as K
 from stintlake import schemas
+from stintlake.sources import folders
 
 
 def bronze_glob(root: str, year, gps: list[str] | None, kind: str, session: str = "R") -> str:
@@ -21,6 +22,56 @@ def read_bronze(
     return spark.read.schema(schemas.BRONZE[kind]).parquet(bronze_glob(root, year, gps, kind))
 
 
+def _unfit(found: T.StructType, wanted: T.StructType) -> str | None:
+    """Why a file's columns can't be read as the wanted ones: one is missing, or is text where a
+    number is wanted or the other way round. Numbers of any kind may stand for each other."""
+
+    def family(kind):
+        return "number" if isinstance(kind, T.NumericType) else kind.simpleString()
+
+    kinds = {field.name: field.dataType for field in found.fields}
+    for field in wanted.fields:
+        if field.name not in kinds:
+            return f"{field.name} is missing"
+        kind = kinds[field.name]
+        if family(kind) != family(field.dataType) and not isinstance(kind, T.NullType):
+            return f"{field.name} is {kind.simpleString()}, not {field.dataType.simpleString()}"
+    return None
+
+
+def read_valid_bronze(
+    spark: SparkSession, root: str, year, gps: list[str] | None = None, kind: str = "laps"
+) -> tuple[DataFrame | None, set[tuple[int, str]], dict[str, str]]:
+    """The bronze files of a season whose columns fit, the (year, race) pairs they belong to, and
+    for every other file why it was left out.
+
+    Types are inferred race by race when bronze is written, so a column may be whole numbers in
+    one race and fractions in the next. Only footers are read here, one per file of the season."""
+    wanted = schemas.BRONZE[kind]
+    by_schema: dict[str, list[str]] = {}
+    rejected: dict[str, str] = {}
+    for file in folders.listed(spark, bronze_glob(root, year, gps, kind)):
+        try:
+            found = spark.read.parquet(file).schema
+        except Exception as error:  # an unreadable file must not stop the other races
+            rejected[file] = str(error).splitlines()[0]
+            continue
+        why = _unfit(found, wanted)
+        if why:
+            rejected[file] = why
+        else:
+            by_schema.setdefault(found.json(), []).append(file)
+    whole = None
+    for files in by_schema.values():
+        part = spark.read.parquet(*files).select(
+            *[F.col(field.name).cast(field.dataType) for field in wanted.fields]
+        )
+        whole = part if whole is None else whole.unionByName(part)
+    races = {tuple(f.split("/")[-3:-1]) for files in by_schema.values() for f in files}
+    spoiled = {tuple(f.split("/")[-3:-1]) for f in rejected}
+    return whole, {(int(y), race) for y, race in races - spoiled}, rejected
+
+
 def read_reports(spark: SparkSession, root: str, year) -> DataFrame:
     path = f"{root}/{year}/*/R_report.json"
     return spark.read.schema(schemas.INGEST_REPORT).json(path, multiLine=True)
@@ -57,15 +108,28 @@ def driver_state(spark: SparkSession, root: str, year: int, gp: str, driver: str
         raise
 
 
+GOLD = {
+    "predicciones": schemas.GOLD_PREDICTION,
+    "circuitos": schemas.GOLD_RACE,
+    "years": T.StructType([T.StructField("year", T.IntegerType())]),
+    "equipos": T.StructType([T.StructField("equipo", T.StringType())]),
+}
+
+
 def read_gold(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """The rows inside a gold document: `predicciones` or `circuitos`.
+    """Gold rows as the writers of this library store them: JSON lines in a folder named `kind`
+    under `path`. A path without that folder is an error."""
+    return spark.read.schema(GOLD[kind]).json(f"{path}/{kind}")
+
 
-    Documents may be one nested object (as served) or one object per line.
-    """
-    row = {"predicciones": schemas.GOLD_PREDICTION, "circuitos": schemas.GOLD_RACE}[kind]
-    document = T.StructType([T.StructField(kind, T.ArrayType(row))])
+def read_document(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """The rows inside published documents, one nested object per file: `predicciones` or
+    `circuitos`. A document without that key is an error."""
+    document = T.StructType([T.StructField(kind, T.ArrayType(GOLD[kind]))])
     nested = spark.read.schema(document).json(path, multiLine=True)
-    return nested.select(F.inline(kind))
+    missing = F.raise_error(F.lit(f"a document has no key {kind}"))
+    rows = F.coalesce(F.col(kind), F.when(F.col(kind).isNull(), missing))
+    return nested.select(F.inline(rows.cast(T.ArrayType(GOLD[kind]))))
 
 
 def describe_source(df: DataFrame) -> DataFrame:

@@ -7,46 +7,40 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from stintlake import schemas
-from stintlake.functions.groups import find_hot
+from stintlake.sources import folders
 
 log = logging.getLogger(__name__)
 
-ROWS_PER_FILE = 20_000_000
 
-
-def _one_task_per_folder(df: DataFrame, partition: list[str], rows_per_file: int) -> DataFrame:
-    """One task, so one file, per output folder; folders above `rows_per_file` get several.
-
-    Only the 10,000 largest folders are ever split, see `hot_groups`; so their list is small.
-    """
-    found = find_hot(df, partition, rows_per_file)
-    if found is None:
-        return df.repartition(*partition)
-    large = found.select(*partition, F.ceil(F.col("_rows") / rows_per_file).alias("_files"))
-    inner = [name for name in df.columns if name not in partition]
-    part = F.pmod(F.xxhash64(*inner), F.coalesce("_files", F.lit(1)))
-    return (
-        df.join(F.broadcast(large), partition, "left")
-        .withColumn("_part", part)
-        .repartition(*partition, "_part")
-        .drop("_files", "_part")
-    )
+def _race_files(spark: SparkSession, root: str, kind: str, races) -> dict[str, list[str]]:
+    """The data files of each partition folder of some races. A race has a folder, or one per
+    driver, so the list is short."""
+    deeper = "/*" * (len(schemas.SILVER_PARTITIONS[kind]) - 2)
+    found: dict[str, list[str]] = {}
+    for year in sorted({year for year, _ in races}):
+        for folder in folders.listed(spark, f"{root}/{kind}/Year={year}/GrandPrix=*{deeper}"):
+            if folders.race_of(folder) in races:
+                found[folder] = folders.listed(spark, f"{folder}/*.parquet")
+    return found
 
 
 def write_silver(
-    df: DataFrame, root: str, kind: str, rows_per_file: int = ROWS_PER_FILE
+    df: DataFrame, root: str, kind: str, races: set[tuple[int, str]] | None = None
 ) -> Observation:
-    """Writes a silver table, replacing only the partitions present in `df`.
+    """Writes a silver table, replacing the partitions present in `df`; and with `races`, (year,
+    race) pairs that `df` holds as a whole, dropping those partitions of theirs that got no rows.
 
-    Each folder gets one file (several above `rows_per_file` rows). Telemetry is sorted by
-    lap and distance inside the file, so row-group statistics help a reader of one lap. The
-    returned observation holds the number of rows written, counted during the write.
+    Rows are dealt to tasks by folder, so a folder gets one file; Spark splits folders above its
+    advisory partition size, and those get several. Telemetry is sorted by lap and distance
+    inside the file, so row-group statistics help a reader of one lap. The returned observation
+    holds the number of rows written, counted during the write.
     """
     partition = schemas.SILVER_PARTITIONS[kind]
     inside = ["LapNumber", "Distance"] if kind == "telemetry" else []
     written = Observation(f"silver_{kind}")
+    before = _race_files(df.sparkSession, root, kind, races) if races else {}
     (
-        _one_task_per_folder(df, partition, rows_per_file)
+        df.hint("rebalance", *partition)
         .sortWithinPartitions(*partition, *inside)
         .observe(written, F.count(F.lit(1)).alias("rows"))
         .write.mode("overwrite")
@@ -54,28 +48,49 @@ def write_silver(
         .partitionBy(*partition)
         .parquet(f"{root}/{kind}")
     )
+    for folder, files in before.items():
+        if folders.listed(df.sparkSession, f"{folder}/*.parquet") == files:  # not rewritten
+            log.info("%s got no rows, dropped", folder)
+            folders.delete(df.sparkSession, folder)
     return written
 
 
 def write_catalogue(catalogue: DataFrame, path: str) -> None:
-    """Writes the catalogue as JSON, one race per line in calendar order, nested drivers.
+    """Writes the catalogue as JSON lines, a race with its nested drivers each, with the season
+    and team lists beside them; `readers.read_gold` reads them by the same names.
 
     The rows of a calendar are races, a few dozen per season, so one file holds them.
     """
-    catalogue.repartition(1).sortWithinPartitions("year", "ronda").write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    lines = catalogue.repartition(1).sortWithinPartitions("year", "ronda")
+    _write_lines(lines, f"{path}/circuitos")
+    stored = catalogue.sparkSession.read.schema(schemas.GOLD_RACE).json(f"{path}/circuitos")
+    _write_lines(stored.select("year").distinct(), f"{path}/years")
+    teams = stored.select(F.explode("pilotos.team").alias("equipo")).distinct()
+    _write_lines(teams, f"{path}/equipos")
+
+
+def _write_lines(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def write_rows(df: DataFrame, path: str) -> None:
     """Writes gold rows as JSON lines, in as many files as there are tasks."""
-    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    _write_lines(df, path)
 
 
 def load_table(df: DataFrame, name: str) -> bool:
-    """Replaces a warehouse table; an empty frame is skipped with a warning."""
-    if df.isEmpty():
+    """Replaces a warehouse table; an empty frame is skipped with a warning.
+
+    The rows are counted while they are written to a staging table, which then takes the name."""
+    spark, staging, rows = df.sparkSession, f"{name}_staging", Observation(name)
+    counted = df.observe(rows, F.count(F.lit(1)).alias("rows"))
+    counted.write.mode("overwrite").saveAsTable(staging)
+    if not rows.get["rows"]:
+        spark.sql(f"DROP TABLE {staging}")
         log.warning("%s is empty, skipped", name)
         return False
-    df.write.mode("overwrite").saveAsTable(name)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(f"ALTER TABLE {staging} RENAME TO {name}")
     return True
 
 
@@ -92,7 +107,3 @@ def load_model(root: str, era: str) -> PipelineModel:
 def read_metrics(spark: SparkSession, root: str) -> DataFrame:
     """The metrics records of all eras under a folder."""
     return spark.read.schema(schemas.ERA_METRICS).json(f"{root}/metrics_*")
-
-
-def write_report(report: DataFrame, path: str) -> None:
-    report.write.mode("overwrite").partitionBy("year").json(path)

@@ -32,9 +32,12 @@ def _refresh(spark: SparkSession, bronze: str, silver: str, kind: str, arrived:
     for race in touched.toLocalIterator():
         seasons.setdefault(race["Year"], []).append(race["GrandPrix"])
     for year, gps in sorted(seasons.items()):
-        whole = readers.read_bronze(spark, bronze, year, gps, kind)
-        writers.write_silver(CLEAN[kind](whole), silver, kind)
-        log.info("%s: %d races of %s refreshed", kind, len(gps), year)
+        whole, races, rejected = readers.read_valid_bronze(spark, bronze, year, gps, kind)
+        for file, why in rejected.items():
+            log.warning("%s left out: %s", file, why)
+        if whole is not None:
+            writers.write_silver(CLEAN[kind](whole), silver, kind, races)
+            log.info("%s: %d races of %s refreshed", kind, len(races), year)
 
 
 def refresh_silver(

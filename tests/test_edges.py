@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from stintlake.functions import columns as C
-from stintlake.functions import groups
 from stintlake.operators import (
     catalogue, cleaning, gaps, laps as lap_ops, pace, preparation, quality, wear_model,
 )
@@ -246,28 +245,36 @@ def test_metrics(spark):
     assert r["mape"] == pytest.approx(40)
 
 
-def test_gap_compares_on_one_clock(spark):
-    df = spark.createDataFrame(
-        [(2024, "g", "A", 2, 10.0, 100.0), (2024, "g", "B", 1, 900.0, 101.0),
-         (2024, "g", "B", 1, 850.0, 99.0), (2024, "g", "C", 1, 1000.0, 40.0)],
-        "Year int, GrandPrix string, Driver string, LapNumber int, Distance double, SessionTime double",
-    )
+GAP = "Year int, GrandPrix string, Driver string, LapNumber int, Distance double, SessionTime double"
+
+
+def test_gap_compares_places_at_one_instant(spark):
+    """Places at second 60 lie between the samples around it; a bad sample doesn't set the lap
+    length; a car that hasn't started takes no part."""
+    rows = [
+        (2024, "g", "A", 1, 900.0, 30.0), (2024, "g", "A", 2, 100.0, 50.0), (2024, "g", "A", 2, 300.0, 70.0),
+        (2024, "g", "B", 1, 800.0, 55.0), (2024, "g", "B", 1, 1000.0, 65.0),
+        (2024, "g", "C", 1, 99999.0, 61.0), (2024, "g", "C", 1, 99999.0, 62.0),
+        (2024, "g", "D", 1, 1000.0, 100.0), (2024, "g", "D", 1, 1000.0, 100.0),
+    ]
     found = {
-        r["Driver"]: (r["driver_ahead"], r["gap_m"])
-        for r in gaps.gap_ahead(df, 60).collect() if r["bucket"] == 1
+        r["Driver"]: (r["covered_m"], r["driver_ahead"], r["gap_m"])
+        for r in gaps.gap_ahead(spark.createDataFrame(rows, GAP), 60).collect()
     }
-    assert found == {"A": (None, None), "B": ("A", 110.0)}
+    assert found == {"A": (1200.0, None, None), "B": (900.0, "A", 300.0)}
 
 
-def test_gap_in_a_crowded_bucket_is_the_same(spark, monkeypatch):
-    rows = [(2024, "g", f"D{k:03}", 1 + k % 2, float((k * 37) % 50), float(k % 60)) for k in range(200)]
-    df = spark.createDataFrame(
-        rows, "Year int, GrandPrix string, Driver string, LapNumber int, Distance double, SessionTime double"
-    )
+def test_gap_in_a_crowded_instant_is_the_same(spark, monkeypatch):
+    rows = [
+        (2024, "g", f"D{k:03}", 1 + k % 2, float((k * 37) % 50 + t), float(k % 50 + t))
+        for k in range(200) for t in (0, 20, 45)
+    ]
+    df = spark.createDataFrame(rows, GAP)
 
     def found():
         return sorted(map(str, gaps.gap_ahead(df, 60).collect()))
 
     whole = found()
-    monkeypatch.setattr(groups, "HOT_ROWS", 20)
+    assert len(whole) > 100
+    monkeypatch.setattr(gaps, "PIECE_M", 3.0)
     assert found() == whole

@@ -3,10 +3,11 @@ import statistics
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from stintlake.functions import groups
-from stintlake.functions.groups import exact_quantiles, exact_ranks, hot_groups, number_rows
+from stintlake.functions import ordered
+from stintlake.functions.groups import exact_quantiles, exact_ranks, number_rows
 
 
 @pytest.fixture(scope="module")
@@ -20,10 +21,9 @@ def skewed(spark):
     return spark.createDataFrame(rows, "g string, bucket int, v int, id int"), rows
 
 
-@pytest.mark.parametrize("hot_rows", [10, 500, 10**9])
-def test_positions_equal_a_plain_sort(spark, skewed, hot_rows):
+def test_positions_equal_a_plain_sort(spark, skewed):
     df, rows = skewed
-    ours = number_rows(df, ["g"], "bucket", ["v", "id"], "n", hot_rows).collect()
+    ours = number_rows(df, ["g"], "bucket", ["v", "id"], "n").collect()
     groups = {}
     for row in sorted(rows, key=lambda r: (r[0], r[1], r[2], r[3])):
         groups.setdefault(row[0], []).append(row[3])
@@ -31,13 +31,38 @@ def test_positions_equal_a_plain_sort(spark, skewed, hot_rows):
     assert {r["id"]: r["n"] for r in ours} == wanted
 
 
-def test_hot_groups_are_the_largest(spark, skewed, monkeypatch):
-    df, _ = skewed
-    monkeypatch.setattr(groups, "MOST_HOT", 2)
-    found = hot_groups(df, ["g"], 10).collect()
-    assert len(found) == 2 and found[0]["g"] == "hot"
-    assert [r["g"] for r in hot_groups(df, ["g"], 2000).collect()] == ["hot"]
-    assert hot_groups(df, ["g"], 5000).isEmpty()
+@pytest.mark.parametrize("width", [0.5, 3.0, 1e9])
+def test_ordered_steps_equal_plain_windows(spark, width):
+    """Nulls, negative values, ties and a key that is null, whatever the width of the pieces."""
+    rng = random.Random(2)
+    rows = [
+        (rng.choice(["a", "b", None]), rng.choice([None, -7.5, 0.0, 4.25, rng.uniform(-9, 9)]), i)
+        for i in range(300)
+    ]
+    df = spark.createDataFrame(rows, "g string, x double, id long")
+    cut = ordered.cut(df, ordered.bucket("x", width))
+    steps = ordered.previous(cut, ["g"], ["x", "id"], ["x", "id"], "before")
+    summed = ordered.running_sum(steps, ["g"], ["x", "id"], total=F.col("id"))
+    whole = ordered.group_values(summed, ["g"], most=F.max("id"))
+    window = Window.partitionBy("g").orderBy("x", "id")
+    plain = (
+        df.withColumn("before", F.lag(F.struct("x", "id")).over(window))
+        .withColumn("total", F.sum("id").over(window))
+        .withColumn("most", F.max("id").over(Window.partitionBy("g")))
+    )
+    found, wanted = (sorted(map(repr, f.select(*plain.columns).collect())) for f in (whole, plain))
+    assert found == wanted
+
+
+def test_building_a_plan_starts_no_job(spark):
+    df = spark.createDataFrame([("a", 1.0, 1)], "g string, x double, id long")
+    status = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plans", "")
+    cut = ordered.cut(df, ordered.bucket("x", 1.0))
+    ordered.running_sum(ordered.previous(cut, ["g"], ["x"], ["x"], "p"), ["g"], ["x"], s=F.lit(1))
+    number_rows(cut, ["g"], "_piece", ["x"], "n")
+    assert not status.getJobIdsForGroup("plans")
+    spark.sparkContext.setJobGroup("", "")
 
 
 @pytest.mark.parametrize("width", [0.5, 1000.0, 1e9])

@@ -75,16 +75,48 @@ def test_one_file_per_driver_folder(spark, lake):
 def test_large_folders_get_several_files(spark, lake, tmp_path):
     telemetry = readers.read_silver(spark, lake[1], "telemetry")
     other = str(tmp_path / "split")
-    # Parts this small would be merged into one task again.
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    advisory = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    was = spark.conf.get(advisory)
+    spark.conf.set(advisory, "200b")
     try:
-        writers.write_silver(telemetry, other, "telemetry", rows_per_file=30)
+        many = spark.range(0, 60, 1, 6).crossJoin(F.broadcast(telemetry)).drop("id")
+        writers.write_silver(many, other, "telemetry")
     finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set(advisory, was)
     again = readers.read_silver(spark, other, "telemetry")
     files = quality.partition_files(again, ["Year", "GrandPrix", "Driver"]).collect()
     assert max(r["files"] for r in files) > 1
-    assert again.exceptAll(telemetry).isEmpty() and telemetry.exceptAll(again).isEmpty()
+    assert again.count() == 60 * telemetry.count()
+    assert again.distinct().exceptAll(telemetry.distinct()).isEmpty()
+
+
+def test_rebuilt_races_lose_what_they_no_longer_have(spark, lake):
+    bronze, silver, _ = lake
+    drop(bronze_telemetry(spark, "monza", ["AAA"]), bronze, "monza", "telemetry")
+    drop(bronze_laps(spark, "monza", [("AAA", 1, None)]), bronze, "monza", "laps")
+    builds.build_silver(spark, bronze, silver, 2024, ["monza"])
+    telemetry = readers.read_silver(spark, silver, "telemetry").select("GrandPrix", "Driver")
+    assert {tuple(r) for r in telemetry.distinct().collect()} == {
+        ("monza", "AAA"), *(("são_paulo_grand_prix", d) for d in ("AAA", "BBB", "CCC")),
+    }
+    laps = readers.read_silver(spark, silver, "laps")
+    assert {r["GrandPrix"] for r in laps.collect()} == {"são_paulo_grand_prix"}
+
+
+def test_odd_races_are_cast_or_left_out(spark, tmp_path):
+    bronze, silver = str(tmp_path / "raw"), str(tmp_path / "silver")
+    good = [("AAA", 1, 90.0)]
+    drop(bronze_laps(spark, "monza", good), bronze, "monza", "laps")
+    whole_numbers = bronze_laps(spark, "spa", good).withColumn("Stint", F.col("Stint").cast("long"))
+    drop(whole_numbers, bronze, "spa", "laps")
+    drop(bronze_laps(spark, "imola", good).drop("LapTime"), bronze, "imola", "laps")
+    text = bronze_laps(spark, "baku", good).withColumn("LapTime", F.lit("1:30"))
+    drop(text, bronze, "baku", "laps")
+    assert builds.build_silver(spark, bronze, silver, 2024) == {"laps": 2}
+    laps = readers.read_silver(spark, silver, "laps")
+    assert {r["GrandPrix"] for r in laps.collect()} == {"monza", "spa"}
+    _, races, rejected = readers.read_valid_bronze(spark, bronze, 2024)
+    assert races == {(2024, "monza"), (2024, "spa")} and len(rejected) == 2
 
 
 def test_rewriting_one_race_leaves_the_other(spark, lake):
@@ -133,8 +165,8 @@ def test_gold_documents(spark, lake, tmp_path):
     path = str(tmp_path / "catalogue")
     builds.build_catalogue(spark, lake[1], calendar, results, "2024-10-01", path)
     text = "".join(
-        open(os.path.join(path, f), encoding="utf-8").read()
-        for f in os.listdir(path) if f.startswith("part-")
+        open(os.path.join(path, "circuitos", f), encoding="utf-8").read()
+        for f in os.listdir(os.path.join(path, "circuitos")) if f.startswith("part-")
     )
     races = [json.loads(line) for line in text.splitlines()]
     assert [r["ronda"] for r in races] == [1, 2, 3]
@@ -145,8 +177,17 @@ def test_gold_documents(spark, lake, tmp_path):
     nested = str(tmp_path / "catalogo.json")
     with open(nested, "w", encoding="utf-8") as f:
         json.dump({"years": [2024], "circuitos": races}, f, indent=2, ensure_ascii=False)
-    read = readers.read_gold(spark, nested, "circuitos")
+    read = readers.read_document(spark, nested, "circuitos")
     assert read.count() == 3
+    again = readers.read_gold(spark, path, "circuitos")
+    assert again.exceptAll(read).isEmpty() and again.count() == 3
+    teams = {r["equipo"] for r in readers.read_gold(spark, path, "equipos").collect()}
+    assert teams == {"T1", "Sin equipo"}
+    assert [r["year"] for r in readers.read_gold(spark, path, "years").collect()] == [2024]
+    with pytest.raises(Exception, match="predicciones"):
+        readers.read_document(spark, nested, "predicciones").collect()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        readers.read_gold(spark, path, "predicciones").collect()
     assert catalogue.catalogue_summary(read).first()["with_data"] == 2
 
 
@@ -155,7 +196,7 @@ def test_predictions_document(spark, tmp_path):
     path = str(tmp_path / "predicciones.json")
     with open(path, "w", encoding="utf-8") as f:
         json.dump({"predicciones_totales": 1, "predicciones": [row]}, f, indent=2)
-    read = readers.read_gold(spark, path, "predicciones").first()
+    read = readers.read_document(spark, path, "predicciones").first()
     assert (read["driver"], read["pit_window"], read["pit_real"]) == ("AAA", None, 20)
 
 
@@ -197,12 +238,12 @@ def test_model_is_stored_with_its_metrics(spark, tmp_path):
     assert grid.count() == 28800
     path = str(tmp_path / "pred")
     builds.build_predictions(spark, silver, models, years, path, None)
-    rows = spark.read.schema(schemas.GOLD_PREDICTION).json(path)
+    rows = readers.read_gold(spark, path, "predicciones")
     assert rows.where("pit_window IS NOT NULL").count() > 0
     assert {r["year"] for r in rows.select("year").distinct().collect()} <= set(years)
     merged = str(tmp_path / "pred2")
     builds.build_predictions(spark, silver, models, years, merged, path)
-    assert spark.read.schema(schemas.GOLD_PREDICTION).json(merged).count() == rows.count()
+    assert readers.read_gold(spark, merged, "predicciones").count() == rows.count()
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -230,3 +271,31 @@ def test_stream_equals_batch(spark, tmp_path):
     builds.build_silver(spark, bronze, batch, 2025)
     assert rows(streamed) == rows(batch)
     assert len(rows(streamed)) == 4
+
+
+@pytest.mark.parametrize("kind", ["telemetry", "events"])
+def test_stream_of_other_tables_equals_batch(spark, tmp_path, kind):
+    bronze, streamed, batch = (str(tmp_path / x) for x in ("raw", "streamed", "batch"))
+
+    def arrive(race, drivers):
+        if kind == "telemetry":
+            drop(bronze_telemetry(spark, race, drivers), bronze, race, kind)
+        else:
+            rows = [("t", "Flag", d, "", "RED", "", "", "", 3, 2024, race) for d in drivers]
+            drop(spark.createDataFrame(rows, schemas.BRONZE_EVENTS), bronze, race, kind)
+
+    def refresh():
+        incremental.refresh_silver(
+            spark, bronze, streamed, str(tmp_path / "seen"), kind
+        ).awaitTermination()
+
+    arrive("monza", ["AAA", "BBB"])
+    arrive("spa", ["CCC"])
+    refresh()
+    arrive("monza", ["BBB"])  # the race again, one driver fewer
+    arrive("imola", ["DDD"])
+    refresh()
+    builds.build_silver(spark, bronze, batch, 2024)
+    one, two = (readers.read_silver(spark, root, kind) for root in (streamed, batch))
+    assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+    assert one.select("GrandPrix").distinct().count() == 3

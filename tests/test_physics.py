@@ -1,5 +1,6 @@
 """The derived forces against a plain walk over the points of each lap."""
 
+import cmath
 import math
 import random
 import statistics
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stintlake.functions import columns as C
-from stintlake.functions import groups
+from stintlake.functions import ordered
 from stintlake.operators import laps as lap_ops
 from stintlake.operators import physics, preparation, quality, track
 
@@ -36,61 +37,42 @@ def random_lap(seed, n):
     return samples
 
 
-def walk(samples):
-    """(before, after) index of each inner point, by walking one index at a time."""
-    n, found = len(samples), {}
-    for i in range(1, n - 1):
-        ends = []
-        for step in (-1, 1):
-            j = i
-            while 0 <= j + step < n:
-                j += step
-                if abs(samples[j][0] - samples[i][0]) >= 200:
-                    break
-            ends.append(j)
-        found[i] = tuple(ends)
-    return found
-
-
-def forces(samples):
-    n = len(samples)
-    lat, lon = [0.0] * n, [0.0] * n
-    for i, (ia, ib) in walk(samples).items():
-        (d0, v0, _, x0, y0), (d, v, _, x, y), (d1, v1, _, x1, y1) = (
-            samples[ia], samples[i], samples[ib],
+def neighbour_indexes(samples):
+    """By definition: the last point at least 200 dm behind and the first one as far ahead, or
+    the first and last point of the lap."""
+    ways = [s[0] for s in samples]
+    last = len(ways) - 1
+    return {
+        i: (
+            max((j for j in range(last + 1) if ways[j] <= ways[i] - 200), default=0),
+            min((j for j in range(last + 1) if ways[j] >= ways[i] + 200), default=last),
         )
-        ms = v / 3.6
-        turn = math.atan2(y1 - y, x1 - x) - math.atan2(y - y0, x - x0)
-        while turn > math.pi:
-            turn -= 2 * math.pi
-        while turn < -math.pi:
-            turn += 2 * math.pi
-        arc_in, arc_out, ds = (d - d0) / 10, (d1 - d) / 10, (d1 - d0) / 20
-        ok = (
-            arc_in > 1 and arc_out > 1
-            and math.hypot(x - x0, y - y0) / 10 <= arc_in * 1.15
-            and math.hypot(x1 - x, y1 - y) / 10 <= arc_out * 1.15
+        for i in range(1, last)
+    }
+
+
+def expected_forces(samples):
+    """Lateral and longitudinal force of each point, from the definitions."""
+    lateral, longitudinal = [0.0] * len(samples), [0.0] * len(samples)
+    for i, (a, b) in neighbour_indexes(samples).items():
+        way, speed, place = (
+            [samples[k][0] / 10 for k in (a, i, b)],
+            [samples[k][1] / 3.6 for k in (a, i, b)],
+            [complex(samples[k][3], samples[k][4]) / 10 for k in (a, i, b)],
         )
-        if ok and ds > 1:
-            lat[i] = ms * ms * abs(turn) / ds / 9.81
-        if d1 - d0 > 10:
-            lon[i] = ms * ((v1 - v0) / 3.6 / ((d1 - d0) / 10)) / 9.81
-    return lat, lon
-
-
-def smooth(values):
-    out = []
-    for i in range(len(values)):
-        part = sorted(values[max(0, i - 3): i + 4])
-        out.append(part[len(part) // 2])
-    return out
+        legs = place[1] - place[0], place[2] - place[1]
+        arcs = way[1] - way[0], way[2] - way[1]
+        bend = abs(math.remainder(cmath.phase(legs[1]) - cmath.phase(legs[0]), math.tau))
+        coherent = all(arc > 1 and abs(leg) <= 1.15 * arc for arc, leg in zip(arcs, legs, strict=True))
+        if coherent and sum(arcs) > 2:
+            lateral[i] = speed[1] ** 2 * bend / (sum(arcs) / 2) / 9.81
+        if sum(arcs) > 1:
+            longitudinal[i] = speed[1] * (speed[2] - speed[0]) / sum(arcs) / 9.81
+    return lateral, longitudinal
 
 
-@pytest.fixture(params=["ordinary", "hot"])
-def heat(request, monkeypatch):
-    """With "hot", laps of over 30 points are cut in pieces."""
-    if request.param == "hot":
-        monkeypatch.setattr(groups, "HOT_ROWS", 30)
+def moving_median(values):
+    return [statistics.median_high(values[max(0, i - 3): i + 4]) for i in range(len(values))]
 
 
 @pytest.fixture(scope="module")
@@ -108,7 +90,7 @@ def by_lap(df, *names):
     return found
 
 
-def test_neighbours_equal_the_walk(laps, heat):
+def test_neighbours_equal_the_walk(laps):
     made, df = laps
     found = by_lap(
         physics.neighbours(df).select(
@@ -116,7 +98,7 @@ def test_neighbours_equal_the_walk(laps, heat):
         ), "b", "a",
     )
     for n, samples in made.items():
-        wanted = walk(samples)
+        wanted = neighbour_indexes(samples)
         for i, pair in enumerate(found[n]):
             expected = (None, None)
             if i in wanted:
@@ -124,16 +106,16 @@ def test_neighbours_equal_the_walk(laps, heat):
             assert pair == expected
 
 
-def test_forces_equal_the_walk(laps, heat):
+def test_forces_equal_the_walk(laps):
     made, df = laps
     raw = by_lap(physics.raw_forces(df), "g_lat", "g_lon")
     smoothed = by_lap(physics.smoothed_forces(df), "g_lat", "g_lon")
     final = by_lap(physics.enrich(df), "g_lat", "g_lon")
     for n, samples in made.items():
-        lat, lon = forces(samples)
+        lat, lon = expected_forces(samples)
         assert [r[0] for r in raw[n]] == pytest.approx(lat)
         assert [r[1] for r in raw[n]] == pytest.approx(lon)
-        lat, lon = smooth(lat), smooth(lon)
+        lat, lon = moving_median(lat), moving_median(lon)
         assert [r[0] for r in smoothed[n]] == pytest.approx(lat)
         assert [r[1] for r in smoothed[n]] == pytest.approx(lon)
         if len(samples) < 3:
@@ -143,20 +125,20 @@ def test_forces_equal_the_walk(laps, heat):
             assert g_lon == pytest.approx(min(max(b, -6), 2.5), abs=0.00501)
 
 
-def test_diagnostic_median_is_the_ordinary_one(laps, heat):
+def test_diagnostic_median_is_the_ordinary_one(laps):
     made, df = laps
     found = by_lap(physics.diagnostic_points(df), "g")
     for n in (5, 6):
         samples = made[n]
-        lat, _ = forces(samples)
+        lat, _ = expected_forces(samples)
         kept = [
-            lat[i] for i, (a, b) in walk(samples).items() if samples[b][0] - samples[a][0] > 20
+            lat[i] for i, (a, b) in neighbour_indexes(samples).items() if samples[b][0] - samples[a][0] > 20
         ]
         wanted = [statistics.median(kept[max(0, i - 3): i + 4]) for i in range(len(kept))]
         assert [g for g, in found[n]] == pytest.approx(wanted)
 
 
-def test_straight_is_light_and_arc_is_not(spark, heat):
+def test_straight_is_light_and_arc_is_not(spark):
     straight = [(k * 100, 320.0, 0, k * 100, 0) for k in range(60)]
     radius = 500  # decimetres
     arc = [
@@ -220,7 +202,7 @@ def test_projection_fits_the_box_and_turns_tall_laps(spark):
     assert 26 <= box["y0"] and box["y1"] <= 294
 
 
-def test_nearest_sample_equals_trying_all(spark, laps, heat):
+def test_nearest_sample_equals_trying_all(spark, laps):
     made, df = laps
     drawn = track.project_track(df)
     rows = drawn.collect()
@@ -264,8 +246,12 @@ def test_cut_laps_give_the_same_as_whole_ones(laps, monkeypatch):
         rows = physics.g_diagnostic(df).orderBy("LapNumber").collect()
         return [x for r in rows for x in (r["median_g"], r["p90_g"], r["p90_raw"])]
 
+    for module in (track, quality, lap_ops):
+        monkeypatch.setattr(module, "PIECE_M", 1e9)
     whole, whole_percentiles = results(), percentiles()
-    monkeypatch.setattr(groups, "HOT_ROWS", 30)
+    monkeypatch.setattr(ordered, "STRETCH", 10)
+    for module in (track, quality, lap_ops):
+        monkeypatch.setattr(module, "PIECE_M", 7.0)
     assert results() == whole
     assert percentiles() == pytest.approx(whole_percentiles)
 
@@ -290,5 +276,5 @@ def test_cut_laps_integrate_the_same_distance(spark, monkeypatch):
         total += row[5] / 3.6 * (row[4] - rows[i - 1][4]) if i else 0.0
         wanted.append(total)
     assert whole == pytest.approx(wanted)
-    monkeypatch.setattr(groups, "HOT_ROWS", 30)
+    monkeypatch.setattr(preparation, "PIECE_S", 1.0)
     assert driven() == pytest.approx(wanted)

@@ -12,24 +12,23 @@ REQUEST = (
 )
 
 
-def brute_cost(grid, compound, stint, tyre, first, last):
-    return sum(
-        grid[compound, stint, min(tyre + k, 59), min(lap, 79)]
-        for k, lap in enumerate(range(first, last + 1))
-    )
+def loss_of(grid, compound, stint, ages):
+    """Sum over a stint, given the (tyre age, lap) pairs driven; the grid's edge holds beyond it."""
+    return sum(grid[compound, stint, min(age, 59), min(lap, 79)] for age, lap in ages)
+
+
+def cheapest_stop(grid, one, two, start, tyre, total, loss):
+    """(lap, cost) of the cheapest stop three or more laps from either end, the earliest of equal
+    ones; None without such a lap."""
 
+    def priced(stop):
+        before = zip(range(tyre, tyre + total), range(start, stop + 1), strict=False)
+        after = zip(range(1, total + 1), range(stop + 1, total + 1), strict=False)
+        return round(loss_of(grid, one, 1, before) + loss + loss_of(grid, two, 2, after), 6)
 
-def brute_stop(grid, one, two, start, tyre, total, loss):
-    best = None
-    if total - 3 > start + 3:
-        for stop in range(start + 3, total - 2):
-            cost = round(
-                brute_cost(grid, one, 1, tyre, start, stop) + loss
-                + brute_cost(grid, two, 2, 1, stop + 1, total), 6,
-            )
-            if best is None or cost < best[1]:
-                best = (stop, cost)
-    return best
+    stops = range(start + 3, total - 2) if start + 6 < total else ()
+    cost, lap = min(((priced(stop), stop) for stop in stops), default=(None, None))
+    return None if lap is None else (lap, cost)
 
 
 @pytest.fixture(scope="module")
@@ -61,7 +60,7 @@ def test_best_stop_equals_trying_every_lap(spark, random_grid, longest):
     df, rows = requests(spark, 40, longest, longest)
     found = {r["id"]: r for r in strategy.best_stop(df, grid).collect()}
     for i, one, two, start, tyre, total, loss in rows:
-        wanted = brute_stop(cells, one, two, start, tyre, total, loss)
+        wanted = cheapest_stop(cells, one, two, start, tyre, total, loss)
         if wanted is None:
             assert found[i]["pit_window"] is None and found[i]["cost"] is None
         else:
@@ -98,7 +97,9 @@ def test_stint_cost(spark, random_grid):
         rows, "id int, compound string, stint int, start_tyre int, from_lap int, to_lap int"
     )
     for r in strategy.stint_cost(df, grid).collect():
-        wanted = brute_cost(cells, "MEDIUM", r["stint"], r["start_tyre"], r["from_lap"], r["to_lap"])
+        driven = range(r["from_lap"], r["to_lap"] + 1)
+        ages = ((r["start_tyre"] + k, lap) for k, lap in enumerate(driven))
+        wanted = loss_of(cells, "MEDIUM", r["stint"], ages)
         assert r["cost"] == pytest.approx(wanted, abs=1e-6)
 
 
