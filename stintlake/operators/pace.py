@@ -1,14 +1,12 @@
 """Pace and tyre wear: comparable laps, fuel correction, and the tables for the dashboards."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stintlake import constants as K
 from stintlake.functions import columns as C
-from stintlake.functions.groups import exact_quantiles
-
-LAP_TIME_BIN_S = 0.25
 
+# The columns of the warehouse table.
 WAREHOUSE_LAP_COLUMNS = [
     "Year", "Temporada", "GrandPrix", "Circuito", "Driver", "Team",
     "LapNumber", "Stint", "Compound", "TyreLife", "EsLluvia",
@@ -18,8 +16,12 @@ WAREHOUSE_LAP_COLUMNS = [
 
 
 def rule_107(laps: DataFrame, by: list[str]) -> DataFrame:
-    """Keeps the laps within 107% of the median lap time of their group."""
-    medians = exact_quantiles(laps, by, "LapTime", {"_median": 0.5}, LAP_TIME_BIN_S)
+    """Keeps the laps within 107% of the median lap time of their group.
+
+    Lap times come in whole milliseconds, so a group has some 100,000 different ones at most:
+    they are counted first, and the median is taken from the counts."""
+    times = laps.groupBy(*by, "LapTime").agg(F.count(F.lit(1)).alias("_laps"))
+    medians = times.groupBy(*by).agg(F.percentile("LapTime", 0.5, F.col("_laps")).alias("_median"))
     return (
         laps.join(medians, by)
         .where(F.col("LapTime") <= F.col("_median") * F.lit(K.PACE_LIMIT))
@@ -36,7 +38,7 @@ def pace_delta(laps: DataFrame, by: list[str], name: str = K.MODEL_TARGET) -> Da
 
     The fuel term is FUEL * (longest lap number of the group - lap number). Within a group it
     shifts all laps by the same constant, so the best adjusted lap of a driver is known
-    before that constant is: the two aggregates do not wait for each other.
+    before that constant is, and one aggregate gives both.
     """
     fuel = F.lit(K.FUEL_SECONDS_PER_LAP)
     drivers = laps.groupBy(*by, "Driver").agg(
@@ -47,9 +49,11 @@ def pace_delta(laps: DataFrame, by: list[str], name: str = K.MODEL_TARGET) -> Da
                 F.col("LapNumber").alias("lap"),
             )
         ).alias("_best"),
+        F.max("LapNumber").alias("_longest"),
     )
-    totals = laps.groupBy(*by).agg(F.max("LapNumber").alias("_total"))
-    reference = drivers.join(totals, by).select(
+    # The longest lap of a group from its drivers' ones: a window over a row per driver.
+    total = F.max("_longest").over(Window.partitionBy(*by))
+    reference = drivers.withColumn("_total", total).select(
         *by,
         "Driver",
         "_total",

@@ -74,9 +74,10 @@ def holdout_split(df: DataFrame, name: str | None = None) -> DataFrame:
 
 
 def random_holdout(df: DataFrame, seed: int = 42, share: float = 0.2) -> DataFrame:
-    """Adds `validation` for a share of the laps, decided by a hash of the lap's key: the
-    same lap always falls on the same side, however the data are partitioned."""
-    place = F.pmod(F.xxhash64(F.lit(seed), *K.LAP), F.lit(10_000))
+    """Adds `validation` for a share of the laps, decided by an MD5 of the lap's key: the same
+    lap always falls on the same side, however the data are partitioned and in any engine."""
+    digest = F.md5(F.concat_ws("|", F.lit(seed), *K.LAP))
+    place = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 10_000
     return df.withColumn("validation", place < int(share * 10_000))
 
 

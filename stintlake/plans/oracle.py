@@ -552,6 +552,10 @@ BODIES = {
  CASE WHEN Compound = 'HARD' THEN 1 ELSE 0 END AS Compound_HARD, {up('LapTimeDelta', 3)} AS LapTimeDelta FROM era""",
     "holdout_circuit": "SELECT * FROM held_out",
     "holdout_split": f"SELECT {LAP}, GrandPrix = (SELECT GrandPrix FROM held_out) AS validation FROM era",
+    "random_holdout": f"""SELECT {LAP}, CAST('0x' || substr(md5(concat_ws('|', 42, {LAP})), 1, 8) AS BIGINT) % 10000 < 2000 AS validation
+ FROM era""",
+    "grid_shape": """SELECT compound, stint, count(*) AS cells, min(tyre) AS first_tyre, max(tyre) AS last_tyre,
+ min(lap) AS first_lap, max(lap) AS last_lap FROM grid GROUP BY 1, 2""",
     "baseline_mae": f"""WITH t AS (SELECT avg(LapTimeDelta) AS m, count(*) AS n FROM era WHERE GrandPrix <> (SELECT GrandPrix FROM held_out))
  SELECT {mean('avg(abs(LapTimeDelta - (SELECT m FROM t)))', 4)} AS baseline, count(*) AS validation_laps,
  (SELECT n FROM t) AS training_laps FROM era WHERE GrandPrix = (SELECT GrandPrix FROM held_out)""",

@@ -31,6 +31,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/stintlake/{spark.sparkContext.applicationId}/{uuid4().hex}/{name}"
 
 
+def stored_path(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Where this session keeps what it derives from the tables of a folder."""
+    source = re.sub(r"\W+", "_", sf_dir).strip("_")
+    return f"{shared_folder(spark)}/stintlake/{spark.sparkContext.applicationId}/{source}/{name}"
+
+
+def keep_checkpoints(spark: SparkSession) -> None:
+    """Names a checkpoint folder in the shared folder, where the session has none."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(f"{shared_folder(spark)}/checkpoints")
+
+
 def stored(
     spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]
 ) -> DataFrame:
@@ -39,8 +51,7 @@ def stored(
     Queries that use a table several times read columns from files instead of deriving it
     again, and a lost executor costs a re-read, not the whole lineage.
     """
-    source = re.sub(r"\W+", "_", sf_dir).strip("_")
-    path = f"{shared_folder(spark)}/stintlake/{spark.sparkContext.applicationId}/{source}/{name}"
+    path = stored_path(spark, sf_dir, name)
     if path not in _written:
         build().write.mode("overwrite").parquet(path)
         _written.add(path)
