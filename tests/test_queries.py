@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry_points
 
 SF_DIR = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.01")
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = "region nation customer supplier part orders lineitem events documents conversations".split()
 QUERIES = entry_points.queries()
 ORACLE = entry_points.oracle_sql()
 
