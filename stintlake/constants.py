@@ -106,4 +106,5 @@ EVENT_TEXT_COLUMNS = [
     "Category", "Message", "Status", "Flag", "Scope", "Sector", "RacingNumber",
 ]
 MODEL_FEATURES = ["TyreLife", "LapNumber", "Stint", "Compound"]
+TARGET_LABEL = "delta contra la mejor vuelta del piloto en la carrera"
 MODEL_TARGET = "LapTimeDelta"

@@ -158,13 +158,14 @@ def bi_wear_curve(laps: DataFrame, **filters) -> DataFrame:
 
 
 def bi_stop_error(predictions: DataFrame) -> DataFrame:
-    """Mean absolute and mean signed stop error by circuit, and over all (null circuit)."""
+    """Mean absolute and mean signed stop error by circuit, and over all (`total` 1)."""
     both = predictions.where(F.col("pit_window").isNotNull() & F.col("pit_real").isNotNull())
     difference = F.col("pit_window") - F.col("pit_real")
     return both.rollup("gp").agg(
         F.count(F.lit(1)).alias("stops"),
         F.avg(F.abs(difference)).alias("mean_error"),
         F.avg(difference).alias("mean_bias"),
+        F.grouping("gp").cast("int").alias("total"),
     )
 
 

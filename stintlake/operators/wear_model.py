@@ -228,7 +228,7 @@ def metrics_record(
     return evaluation.select(
         F.lit(era_name(years)).alias("era"),
         F.array(*[F.lit(year) for year in years]).alias("years"),
-        F.lit("delta contra la mejor vuelta del piloto en la carrera").alias("target"),
+        F.lit(K.TARGET_LABEL).alias("target"),
         C.half_up("mae", 3).alias("mae_segundos"),
         C.half_up("baseline", 3).alias("baseline_segundos"),
         F.col("training_laps").alias("vueltas_entrenamiento"),

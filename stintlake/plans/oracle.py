@@ -137,6 +137,14 @@ SELECT Year, GrandPrix, Driver, event_id, 'T' || CAST(user_id%10 AS STRING) AS T
 FROM feed
 """
 
+TABLES["silver_feed"] = """
+SELECT Year, GrandPrix, Driver, Team, LapNumber, Compound, coalesce(SessionTime, 0e0) AS SessionTime,
+ Distance, Speed, coalesce(RPM, 0) AS RPM, coalesce(nGear, 0) AS nGear, coalesce(Throttle, 0e0) AS Throttle,
+ CASE WHEN Brake THEN 1 ELSE 0 END AS Brake, coalesce(DRS, 0) AS DRS, CAST(coalesce(X, 0) AS DOUBLE) AS X,
+ CAST(coalesce(Y, 0) AS DOUBLE) AS Y, DriverAhead, coalesce(DistanceToDriverAhead, 0e0) AS DistanceToDriverAhead
+ FROM bronze WHERE Speed > 0 AND LapNumber > 0
+"""
+
 TABLES["tel_laps"] = """
 SELECT Year, GrandPrix, Driver, LapNumber,
  CASE WHEN user_id%11<>0 THEN CAST(max(dist_dm) AS DOUBLE)/60e0 END AS LapTime
@@ -469,6 +477,8 @@ BODIES = {
   FROM e WINDOW w AS (PARTITION BY {LAP} ORDER BY Distance NULLS FIRST, X, Y))
  SELECT {LAP}, Distance, {up('arc', 3)} AS arc, {up('chord', 3)} AS chord FROM s""",
     "silver_roundtrip": "SELECT * FROM timed",
+    "silver_telemetry_roundtrip": "SELECT * FROM silver_feed",
+    "partition_file_counts": f"SELECT {DRIVER}, 1 AS files FROM silver_feed GROUP BY ALL",
     "predictions_roundtrip": "SELECT * FROM predictions",
     "catalogue_roundtrip": """SELECT r.*, coalesce(p.pilotos, '') AS pilotos FROM cat_races r LEFT JOIN
  (SELECT year, slug, string_agg(code || ':' || team || ':' || name, ',' ORDER BY code, team, name) AS pilotos FROM cat_drivers GROUP BY 1, 2) p
@@ -500,11 +510,7 @@ BODIES = {
     "calendar_raced": f"SELECT * FROM calendar WHERE EventDate < DATE '{Q.AS_OF}'",
     "silver_laps": """SELECT * REPLACE (CASE WHEN LapNumber % 9 <> 0 THEN CAST(TyreLife AS INT) ELSE 0 END AS TyreLife)
  FROM laps WHERE LapTime IS NOT NULL""",
-    "silver_telemetry": """SELECT Year, GrandPrix, Driver, Team, LapNumber, Compound, coalesce(SessionTime, 0e0) AS SessionTime,
- Distance, Speed, coalesce(RPM, 0) AS RPM, coalesce(nGear, 0) AS nGear, coalesce(Throttle, 0e0) AS Throttle,
- CASE WHEN Brake THEN 1 ELSE 0 END AS Brake, coalesce(DRS, 0) AS DRS, CAST(coalesce(X, 0) AS DOUBLE) AS X,
- CAST(coalesce(Y, 0) AS DOUBLE) AS Y, DriverAhead, coalesce(DistanceToDriverAhead, 0e0) AS DistanceToDriverAhead
- FROM bronze WHERE Speed > 0 AND LapNumber > 0""",
+    "silver_telemetry": "SELECT * FROM silver_feed",
     "sample_deltas": f"SELECT {LAP}, Distance, {up('arc', 3)} AS arc, {up('chord', 3)} AS chord FROM deltas",
     "lap_position_quality": "SELECT * FROM lap_quality",
     "race_position_quality": "SELECT *, quality >= 0.75 AS position_ok FROM race_quality",
@@ -542,7 +548,7 @@ BODIES = {
     "bi_wear_curve": f"""SELECT TyreLife, {mean('avg(DeltaRitmo)', 4)} AS mean_delta, count(*) AS laps FROM warehouse
  WHERE Compound IN {DRY} GROUP BY 1""",
     "bi_stop_error": f"""SELECT gp, count(*) AS stops, {up('avg(abs(pit_window - pit_real))', 4)} AS mean_error,
- {up('avg(pit_window - pit_real)', 4)} AS mean_bias FROM predictions
+ {up('avg(pit_window - pit_real)', 4)} AS mean_bias, CAST(grouping(gp) AS INT) AS total FROM predictions
  WHERE pit_window IS NOT NULL AND pit_real IS NOT NULL GROUP BY ROLLUP (gp)""",
     "wear_points": f"SELECT TyreLife, LapTime, Compound FROM laps WHERE LapTime > 85 AND LapTime < 105 AND Compound IN {DRY}",
     "era_laps": f"""SELECT '{"-".join(map(str, Q.ERA_YEARS))}' AS era, {LAP} FROM timed

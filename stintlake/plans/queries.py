@@ -517,6 +517,23 @@ def silver_roundtrip(spark, sf):
     return readers.read_silver(spark, root, "laps")
 
 
+def _silver_telemetry(spark, sf):
+    root = scratch(spark, "silver")
+    writers.write_silver(cleaning.clean_telemetry(X.bronze_telemetry(spark, sf)), root, "telemetry")
+    return readers.read_silver(spark, root, "telemetry")
+
+
+def silver_telemetry_roundtrip(spark, sf):
+    """Silver telemetry, partitioned by driver, as it comes back from the lake."""
+    return _silver_telemetry(spark, sf)
+
+
+def partition_file_counts(spark, sf):
+    """Files behind each driver folder of the lake."""
+    files = quality.partition_files(_silver_telemetry(spark, sf), K.SESSION_DRIVER)
+    return files.select(*K.SESSION_DRIVER, F.col("files").cast("int").alias("files"))
+
+
 def catalogue_roundtrip(spark, sf):
     """The catalogue as it comes back from its gold folder, drivers as one text."""
     path = scratch(spark, "catalogue")
@@ -697,7 +714,7 @@ QUERIES = {
         stop_summary, strategy_lookup, strategy_card,
         team_by_race, team_by_season, race_laps, driver_names, catalogue_races,
         catalogue_drivers, teams, catalogue_summary, default_race, drivers_by_team,
-        silver_roundtrip, catalogue_roundtrip, predictions_roundtrip,
+        silver_roundtrip, silver_telemetry_roundtrip, partition_file_counts, catalogue_roundtrip, predictions_roundtrip,
         laps_available, middle_lap, selected_lap, unknown_lap, lap_points, lap_bounds,
         fastest_lap, head_to_head, lap_progress,
         neighbours, lateral_g_raw, longitudinal_g_raw, g_smoothed, lap_enriched, g_diagnostic,
