@@ -3,9 +3,18 @@
 from pyspark.sql import types as T
 
 
+TYPES = {
+    "string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(),
+    "smallint": T.ShortType(), "tinyint": T.ByteType(), "float": T.FloatType(),
+    "double": T.DoubleType(), "boolean": T.BooleanType(),
+}
+
+
 def _struct(text: str, **nested: T.DataType) -> T.StructType:
-    """A schema from DDL; `nested` appends columns of other schemas."""
-    schema = T.StructType.fromDDL(text)
+    """A schema from "name type, name type"; `nested` appends the columns that are not flat. Spark's
+    own DDL parser needs a session, and modules must import without one."""
+    fields = [field.split() for field in text.split(",")]
+    schema = T.StructType([T.StructField(name, TYPES[kind]) for name, kind in fields])
     for name, kind in nested.items():
         schema = schema.add(name, kind)
     return schema
