@@ -33,7 +33,8 @@ def _rows(table):
     return names, sorted((tuple(plain(r[n]) for n in names) for r in table.to_pylist()), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(ORACLE))
+# The 300 trees behind `grid_shape` take minutes; test_lake covers the grid of a smaller model.
+@pytest.mark.parametrize("name", sorted(ORACLE.keys() - {"grid_shape"}))
 def test_same_rows(spark, other_engine, name):
     names, ours = _rows(QUERIES[name](spark, SF_DIR).toArrow())
     other_names, theirs = _rows(other_engine.sql(ORACLE[name]).to_arrow_table())
