@@ -35,6 +35,8 @@ HALVES = ((43, 11), (54, 10))
 BLOCK = 1000
 #: Shingles whose bits are unpacked at a time.
 SLICE = 50_000
+#: Texts of a batch that are Python strings at a time.
+ROWS = 200
 
 # Fixed value: a generator polynomial of the binary Golay code,
 # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -81,7 +83,11 @@ def fingerprints(texts: list[str]) -> np.ndarray:
 
 def _with_fingerprint(batches):
     for batch in batches:
-        found = fingerprints(batch.column("text").to_pylist()).view(np.int64)
+        texts = batch.column("text")
+        found = np.zeros(batch.num_rows, np.uint64)
+        for i in range(0, batch.num_rows, ROWS):  # a few texts at a time as Python strings
+            found[i : i + ROWS] = fingerprints(texts.slice(i, ROWS).to_pylist())
+        found = found.view(np.int64)
         at = batch.schema.get_field_index("text")
         names = [n for n in batch.schema.names if n != "text"]
         columns = [c for i, c in enumerate(batch.columns) if i != at]
