@@ -1,12 +1,15 @@
 """License scans by ordered signature rules, in DataFrame functions only.
 
-Rules are tried only on texts that hold their keyword, and keywords only on texts that hold one
-of a few stems. Detections are intervals; one that lies inside another of a higher rank is
+A rule is tried only on texts that hold one of its keywords, and keywords only on texts that hold
+one of a few stems. Every alternative of a rule holds a keyword and every match a stem, so neither
+drops a match. Detections are intervals; one that lies inside another of a higher rank is
 suppressed.
 """
 
 from dataclasses import dataclass
-from itertools import count
+from functools import reduce
+from itertools import count, groupby
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,54 +28,48 @@ BASE_PHRASES = {
     "mit license": "mit",
 }
 
-#: Every text that a rule can match holds one of these, lower-cased.
-STEMS = (
-    "licen", "copyright", "public domain", "spdx", "gpl", "creative commons", "creativecommons",
-    "cc0", "copyleft", "all rights reserved", "wtfpl", "gnu", "warrant", "opensource.org",
-    "redistribut", "open government", "permission is hereby",
-)
-
-# Names of licenses: label, keyword, and how the name is written in lower case with single
-# spaces. Each gives a rule for every way in WAYS to state a license.
+# Names of licenses: label, keywords (every way to write the name holds one of them), and how the
+# name is written in lower case with single spaces. Each gives a rule for every way in WAYS to
+# state a license.
 NAMES = """
-mit | mit | (?:the )?(?:mit|expat)(?: \\(expat\\))?
-mit-0 | mit-0 | mit no attribution|mit-0
+mit | mit,expat | (?:the )?(?:mit|expat)(?: \\(expat\\))?
+mit-0 | mit no attribution,mit-0 | mit no attribution|mit-0
 apache-2.0 | apache | apache(?: software)? licen[cs]e,?(?: version| v\\.?)? ?2(?:\\.0)?|apache-2\\.0|apache 2(?:\\.0)?
 apache-1.1 | apache | apache(?: software)? licen[cs]e,?(?: version| v\\.?)? ?1\\.1|apache-1\\.1
 apache-1.0 | apache | apache(?: software)? licen[cs]e,?(?: version| v\\.?)? ?1\\.0|apache-1\\.0
 apache-any | apache | apache(?: software)? licen[cs]e
-gpl-1.0 | g | (?:gnu )?(?:gpl|general public licen[cs]e),?(?: version| v\\.?)? ?1(?:\\.0)?|gplv1
-gpl-2.0 | g | (?:gnu )?(?:gpl|general public licen[cs]e),?(?: version| v\\.?)? ?2(?:\\.0)?|gplv2
-gpl-3.0 | g | (?:gnu )?(?:gpl|general public licen[cs]e),?(?: version| v\\.?)? ?3(?:\\.0)?|gplv3
-gpl-any | g | gnu gpl|gnu general public licen[cs]e
-lgpl-2.0 | l | (?:gnu )?(?:lgpl|(?:library|lesser) general public licen[cs]e),?(?: version| v\\.?)? ?2\\.0
-lgpl-2.1 | l | (?:gnu )?(?:lgpl|lesser general public licen[cs]e),?(?: version| v\\.?)? ?2\\.1|lgplv2\\.1
-lgpl-3.0 | l | (?:gnu )?(?:lgpl|lesser general public licen[cs]e),?(?: version| v\\.?)? ?3(?:\\.0)?|lgplv3
-lgpl-any | l | gnu lgpl|gnu (?:library|lesser) general public licen[cs]e
-agpl-3.0 | a | (?:gnu )?(?:agpl|affero general public licen[cs]e),?(?: version| v\\.?)? ?3(?:\\.0)?|agplv3
-agpl-any | a | gnu agpl|(?:gnu )?affero general public licen[cs]e
-gfdl-1.1 | documentation | gnu free documentation licen[cs]e,?(?: version)? 1\\.1
-gfdl-1.2 | documentation | gnu free documentation licen[cs]e,?(?: version)? 1\\.2
-gfdl-1.3 | documentation | gnu free documentation licen[cs]e,?(?: version)? 1\\.3
-gfdl-any | documentation | gnu free documentation licen[cs]e
+gpl-1.0 | gpl,general public licen | (?:gnu )?(?:gpl|general public licen[cs]e),?(?: version| v\\.?)? ?1(?:\\.0)?|gplv1
+gpl-2.0 | gpl,general public licen | (?:gnu )?(?:gpl|general public licen[cs]e),?(?: version| v\\.?)? ?2(?:\\.0)?|gplv2
+gpl-3.0 | gpl,general public licen | (?:gnu )?(?:gpl|general public licen[cs]e),?(?: version| v\\.?)? ?3(?:\\.0)?|gplv3
+gpl-any | gpl,general public licen | gnu gpl|gnu general public licen[cs]e
+lgpl-2.0 | lgpl,general public licen | (?:gnu )?(?:lgpl|(?:library|lesser) general public licen[cs]e),?(?: version| v\\.?)? ?2\\.0
+lgpl-2.1 | lgpl,general public licen | (?:gnu )?(?:lgpl|lesser general public licen[cs]e),?(?: version| v\\.?)? ?2\\.1|lgplv2\\.1
+lgpl-3.0 | lgpl,general public licen | (?:gnu )?(?:lgpl|lesser general public licen[cs]e),?(?: version| v\\.?)? ?3(?:\\.0)?|lgplv3
+lgpl-any | lgpl,general public licen | gnu lgpl|gnu (?:library|lesser) general public licen[cs]e
+agpl-3.0 | agpl,affero | (?:gnu )?(?:agpl|affero general public licen[cs]e),?(?: version| v\\.?)? ?3(?:\\.0)?|agplv3
+agpl-any | agpl,affero | gnu agpl|(?:gnu )?affero general public licen[cs]e
+gfdl-1.1 | free documentation | gnu free documentation licen[cs]e,?(?: version)? 1\\.1
+gfdl-1.2 | free documentation | gnu free documentation licen[cs]e,?(?: version)? 1\\.2
+gfdl-1.3 | free documentation | gnu free documentation licen[cs]e,?(?: version)? 1\\.3
+gfdl-any | free documentation | gnu free documentation licen[cs]e
 bsd-2-clause | bsd | (?:simplified |freebsd |2-clause |two-clause )bsd|bsd[- ]2(?:-clause)?
 bsd-3-clause | bsd | (?:new |modified |revised |3-clause |three-clause )bsd|bsd[- ]3(?:-clause)?
 bsd-4-clause | bsd | (?:original |4-clause |four-clause )bsd|bsd[- ]4(?:-clause)?
 bsd-any | bsd | bsd(?:-style)?
-0bsd | 0bsd | 0bsd|zero-clause bsd
+0bsd | 0bsd,zero-clause | 0bsd|zero-clause bsd
 isc | isc | isc
-mpl-1.0 | m | (?:mpl|mozilla public licen[cs]e),?(?: version| v\\.?)? ?1\\.0
-mpl-1.1 | m | (?:mpl|mozilla public licen[cs]e),?(?: version| v\\.?)? ?1\\.1
-mpl-2.0 | m | (?:mpl|mozilla public licen[cs]e),?(?: version| v\\.?)? ?2(?:\\.0)?
+mpl-1.0 | mpl,mozilla | (?:mpl|mozilla public licen[cs]e),?(?: version| v\\.?)? ?1\\.0
+mpl-1.1 | mpl,mozilla | (?:mpl|mozilla public licen[cs]e),?(?: version| v\\.?)? ?1\\.1
+mpl-2.0 | mpl,mozilla | (?:mpl|mozilla public licen[cs]e),?(?: version| v\\.?)? ?2(?:\\.0)?
 mpl-any | mozilla | mozilla public licen[cs]e
-epl-1.0 | e | (?:epl|eclipse public licen[cs]e)(?: -|,)?(?: version| v\\.?)? ?1\\.0
-epl-2.0 | e | (?:epl|eclipse public licen[cs]e)(?: -|,)?(?: version| v\\.?)? ?2\\.0
+epl-1.0 | epl,eclipse | (?:epl|eclipse public licen[cs]e)(?: -|,)?(?: version| v\\.?)? ?1\\.0
+epl-2.0 | epl,eclipse | (?:epl|eclipse public licen[cs]e)(?: -|,)?(?: version| v\\.?)? ?2\\.0
 epl-any | eclipse | eclipse public licen[cs]e
-cddl-1.0 | c | (?:cddl|common development and distribution licen[cs]e),?(?: version| v\\.?)? ?1\\.0
-cddl-1.1 | c | (?:cddl|common development and distribution licen[cs]e),?(?: version| v\\.?)? ?1\\.1
+cddl-1.0 | cddl,common development | (?:cddl|common development and distribution licen[cs]e),?(?: version| v\\.?)? ?1\\.0
+cddl-1.1 | cddl,common development | (?:cddl|common development and distribution licen[cs]e),?(?: version| v\\.?)? ?1\\.1
 cpl-1.0 | common public | common public licen[cs]e(?:,? version)?(?: 1\\.0)?
-eupl-1.1 | e | (?:eupl|european union public licen[cs]e),?(?: version| v\\.?)? ?1\\.1
-eupl-1.2 | e | (?:eupl|european union public licen[cs]e),?(?: version| v\\.?)? ?1\\.2
+eupl-1.1 | eupl,european union | (?:eupl|european union public licen[cs]e),?(?: version| v\\.?)? ?1\\.1
+eupl-1.2 | eupl,european union | (?:eupl|european union public licen[cs]e),?(?: version| v\\.?)? ?1\\.2
 artistic-1.0 | artistic | artistic licen[cs]e,?(?: version)? 1\\.0
 artistic-2.0 | artistic | artistic licen[cs]e,?(?: version)? 2\\.0
 artistic-any | artistic | artistic licen[cs]e
@@ -88,59 +85,65 @@ w3c | w3c | w3c(?: software)?
 x11 | x11 | x11
 unlicense | unlicense | (?:the )?unlicense
 wtfpl | wtfpl | wtfpl
-ofl-1.1 | font | sil open font licen[cs]e(?:,? version)?(?: 1\\.1)?
-odbl-1.0 | database | open (?:data commons open )?database licen[cs]e(?: \\(odbl\\))?(?: v?1\\.0)?|odbl(?:-1\\.0)?
-odc-by-1.0 | attribution | open data commons attribution licen[cs]e|odc-by
-pddl-1.0 | p | open data commons public domain dedication|pddl(?:-1\\.0)?
+ofl-1.1 | open font | sil open font licen[cs]e(?:,? version)?(?: 1\\.1)?
+odbl-1.0 | database,odbl | open (?:data commons open )?database licen[cs]e(?: \\(odbl\\))?(?: v?1\\.0)?|odbl(?:-1\\.0)?
+odc-by-1.0 | attribution,odc-by | open data commons attribution licen[cs]e|odc-by
+pddl-1.0 | pddl,public domain dedication | open data commons public domain dedication|pddl(?:-1\\.0)?
 ogl-uk-3.0 | open government | open government licen[cs]e(?: v3\\.0)?
-ms-pl | microsoft | microsoft public licen[cs]e|ms-pl
-ms-rl | microsoft | microsoft reciprocal licen[cs]e|ms-rl
+ms-pl | microsoft,ms-pl | microsoft public licen[cs]e|ms-pl
+ms-rl | microsoft,ms-rl | microsoft reciprocal licen[cs]e|ms-rl
 cecill-2.1 | cecill | cecill(?: v?2\\.1)?
 postgresql | postgresql | postgresql
 upl-1.0 | universal | universal permissive licen[cs]e(?: v?1\\.0)?
 osl-3.0 | open software | open software licen[cs]e(?: v?\\.? ?3\\.0)?
 afl-3.0 | academic | academic free licen[cs]e(?: v?\\.? ?3\\.0)?
 ncsa | ncsa | (?:university of illinois/)?ncsa(?: open source)?
-cc0-1.0 | cc | cc0(?:[ -]1\\.0)?|creative commons zero
-cc-by-4.0 | cc | cc[ -]by[ -]4\\.0|cc[ -]by
-cc-by-3.0 | cc | cc[ -]by[ -]3\\.0
-cc-by-2.0 | cc | cc[ -]by[ -]2\\.[05]
-cc-by-sa-4.0 | cc | cc[ -]by-sa[ -]4\\.0|cc[ -]by-sa
-cc-by-sa-3.0 | cc | cc[ -]by-sa[ -]3\\.0
-cc-by-nc-4.0 | cc | cc[ -]by-nc[ -]4\\.0|cc[ -]by-nc
-cc-by-nd-4.0 | cc | cc[ -]by-nd[ -]4\\.0|cc[ -]by-nd
-cc-by-nc-sa-4.0 | cc | cc[ -]by-nc-sa[ -]4\\.0|cc[ -]by-nc-sa
-cc-by-nc-nd-4.0 | cc | cc[ -]by-nc-nd[ -]4\\.0|cc[ -]by-nc-nd
+cc0-1.0 | cc0,creative commons zero | cc0(?:[ -]1\\.0)?|creative commons zero
+cc-by-4.0 | cc by,cc-by | cc[ -]by[ -]4\\.0|cc[ -]by
+cc-by-3.0 | cc by,cc-by | cc[ -]by[ -]3\\.0
+cc-by-2.0 | cc by,cc-by | cc[ -]by[ -]2\\.[05]
+cc-by-sa-4.0 | cc by,cc-by | cc[ -]by-sa[ -]4\\.0|cc[ -]by-sa
+cc-by-sa-3.0 | cc by,cc-by | cc[ -]by-sa[ -]3\\.0
+cc-by-nc-4.0 | cc by,cc-by | cc[ -]by-nc[ -]4\\.0|cc[ -]by-nc
+cc-by-nd-4.0 | cc by,cc-by | cc[ -]by-nd[ -]4\\.0|cc[ -]by-nd
+cc-by-nc-sa-4.0 | cc by,cc-by | cc[ -]by-nc-sa[ -]4\\.0|cc[ -]by-nc-sa
+cc-by-nc-nd-4.0 | cc by,cc-by | cc[ -]by-nc-nd[ -]4\\.0|cc[ -]by-nc-nd
 cc-by-any | creative commons | creative commons attribution(?: \\d\\.\\d)?(?: international| unported)?
 cc-by-sa-any | creative commons | creative commons attribution[- ]share[- ]?alike(?: \\d\\.\\d)?(?: international| unported)?
 cc-by-nc-any | creative commons | creative commons attribution[- ]non-?commercial(?: \\d\\.\\d)?(?: international| unported)?
 cc-by-nd-any | creative commons | creative commons attribution[- ]no[- ]?deriv(?:ative)?s(?: \\d\\.\\d)?(?: international| unported)?
 """
 
-#: Ways to state a license: rank, confidence, pattern around the name.
+#: Ways to state a license: rank, confidence, keywords of the way, pattern around the name.
 WAYS = (
-    (4, 1.0, r"spdx-license-identifier: ?(?:{name})(?: licen[cs]e)?"),
+    (4, 1.0, ("spdx-license-identifier:",), r"spdx-license-identifier: ?(?:{name})(?: licen[cs]e)?"),
     (
         3,
         0.95,
+        ("ed under ", "available under "),
         r"(?:licen[cs]ed|released|distributed|available|published|provided|redistributed) under"
         r"(?: the)?(?: terms of)?(?: the)?(?: conditions of the)? (?:{name})(?: licen[cs]e)?",
     ),
-    (2, 0.8, r"(?:licen[cs]e ?:|see the|subject to the|terms of the) ?(?:{name})(?: licen[cs]e)?"),
-    (1, 0.5, r"(?:{name}) licen[cs]e"),
+    (
+        2,
+        0.8,
+        ("licen", "see the", "subject to the", "terms of the"),
+        r"(?:licen[cs]e ?:|see the|subject to the|terms of the) ?(?:{name})(?: licen[cs]e)?",
+    ),
+    (1, 0.5, (" licen",), r"(?:{name}) licen[cs]e"),
 )
 
-# Rules that name no license by the list above: label, keyword, rank, confidence, pattern.
+# Rules that name no license by the list above: label, keywords, rank, confidence, pattern.
 TEXTS = """
 mit | permission is hereby | 5 | 1.0 | permission is hereby granted, free of charge, to any person obtaining a copy
 isc | permission to use | 5 | 1.0 | permission to use, copy, modify, and(?:/or)? distribute this software for any purpose
 bsd-any | redistribution and use | 5 | 1.0 | redistribution and use in source and binary forms, with or without modification
 zlib | as-is | 5 | 1.0 | this software is provided 'as-is', without any express or implied warranty
 unlicense | public domain | 5 | 1.0 | this is free and unencumbered software released into the public domain
-gpl-any | free software | 5 | 1.0 | you can redistribute it and/or modify it under the terms of the gnu general public licen[cs]e
-lgpl-any | free software | 5 | 1.0 | you can redistribute it and/or modify it under the terms of the gnu (?:lesser|library) general public licen[cs]e
-agpl-any | free software | 5 | 1.0 | you can redistribute it and/or modify it under the terms of the gnu affero general public licen[cs]e
-apache-2.0 | apache | 5 | 1.0 | you may not use this file except in compliance with the licen[cs]e
+gpl-any | you can redistribute it | 5 | 1.0 | you can redistribute it and/or modify it under the terms of the gnu general public licen[cs]e
+lgpl-any | you can redistribute it | 5 | 1.0 | you can redistribute it and/or modify it under the terms of the gnu (?:lesser|library) general public licen[cs]e
+agpl-any | you can redistribute it | 5 | 1.0 | you can redistribute it and/or modify it under the terms of the gnu affero general public licen[cs]e
+apache-2.0 | in compliance with the licen | 5 | 1.0 | you may not use this file except in compliance with the licen[cs]e
 mpl-2.0 | mozilla | 5 | 1.0 | this source code form is subject to the terms of the mozilla public licen[cs]e
 bsl-1.0 | boost | 5 | 1.0 | distributed under the boost software licen[cs]e, version 1\\.0
 apache-2.0 | apache.org | 4 | 1.0 | https?://(?:www\\.)?apache\\.org/licenses/license-2\\.0
@@ -172,11 +175,17 @@ copyright | copyright | 0 | 0.3 | copyright (?:\\(c\\) |© )?(?:19|20)\\d\\d
 class Rule:
     number: int
     label: str
-    keyword: str
+    keywords: tuple[str, ...]  # every match holds one of these
+    context: tuple[str, ...]  # and one of these
     rank: int
     confidence: float
     pattern: str
 
+    @property
+    def keyword(self) -> str:
+        """What every match holds: the only keyword, or nothing where there are several."""
+        return self.keywords[0] if len(self.keywords) == 1 else ""
+
 
 def _cells(lines: str) -> list[list[str]]:
     rows = (x.split(" | ") for x in lines.replace("\\\\", "\\").strip().splitlines())
@@ -188,15 +197,29 @@ def signature_rules() -> list[Rule]:
     matches, so that they win over the family's general name."""
     number = count()
     rules = []
-    for label, keyword, name in _cells(NAMES):
-        for rank, confidence, way in WAYS:
+    for label, words, name in _cells(NAMES):
+        keywords = tuple(words.split(","))
+        for rank, confidence, context, way in WAYS:
             pattern = way.replace("{name}", name)
-            rules.append(Rule(next(number), label, keyword, rank, confidence, pattern))
-    for label, keyword, rank, confidence, pattern in _cells(TEXTS):
-        rules.append(Rule(next(number), label, keyword, int(rank), float(confidence), pattern))
+            rules.append(Rule(next(number), label, keywords, context, rank, confidence, pattern))
+    for label, words, rank, confidence, pattern in _cells(TEXTS):
+        keywords = tuple(words.split(","))
+        rules.append(
+            Rule(next(number), label, keywords, keywords, int(rank), float(confidence), pattern)
+        )
     return rules
 
 
+def stems(rules: list[Rule]) -> tuple[str, ...]:
+    """The contexts of the rules without those that hold another: every match holds one."""
+    words = {w for r in rules for w in r.context}
+    return tuple(sorted(w for w in words if not any(x != w and x in w for x in words)))
+
+
+#: Every text that a rule can match holds one of these, lower-cased with single spaces.
+STEMS = stems(signature_rules())
+
+
 def _words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(LETTER + "+")).cast("long")
 
@@ -223,18 +246,31 @@ def _phrase_places(text: Column, phrase: str) -> Column:
     )
 
 
+def _texts(words: tuple[str, ...]) -> Column:
+    return F.array(*[F.lit(w) for w in words])
+
+
 def _detections(text: Column, rules: list[Rule]) -> Column:
-    """Every match of every rule whose keyword the text holds: start, end, rank, rule number,
-    label, confidence. The text is lower-cased, its white space single spaces."""
+    """Every match of every rule of which the text holds a keyword and a context: start, end, rank,
+    rule number, label, confidence. The text is lower-cased, its white space single spaces."""
+    groups = groupby(rules, lambda r: r.keywords)
     listed = F.array(
         *[
             F.struct(
-                F.lit(r.number).alias("number"), F.lit(r.label).alias("label"),
-                F.lit(r.keyword).alias("keyword"), F.lit(r.rank).alias("rank"),
-                F.lit(r.confidence).alias("confidence"),
-                F.lit(rf"(?<![a-z0-9])(?:{r.pattern})(?![a-z0-9])").alias("pattern"),
+                _texts(keywords).alias("keywords"),
+                F.array(
+                    *[
+                        F.struct(
+                            F.lit(r.number).alias("number"), F.lit(r.label).alias("label"),
+                            _texts(r.context).alias("context"), F.lit(r.rank).alias("rank"),
+                            F.lit(r.confidence).alias("confidence"),
+                            F.lit(rf"(?<![a-z0-9])(?:{r.pattern})(?![a-z0-9])").alias("pattern"),
+                        )
+                        for r in group
+                    ]
+                ).alias("rules"),
             )
-            for r in rules
+            for keywords, group in groups
         ]
     )
 
@@ -269,7 +305,14 @@ def _detections(text: Column, rules: list[Rule]) -> Column:
             lambda done: done["spans"],
         )
 
-    held = F.filter(listed, lambda rule: F.contains(text, rule["keyword"]))
+    def holds(words: Column) -> Column:
+        return F.exists(words, lambda w: F.contains(text, w))
+
+    named = F.filter(listed, lambda group: holds(group["keywords"]))
+    held = F.filter(
+        F.flatten(F.transform(named, lambda group: group["rules"])),
+        lambda rule: holds(rule["context"]),
+    )
     return F.flatten(
         F.transform(
             held,
@@ -314,12 +357,13 @@ def scan(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     rules = signature_rules() if rules is None else rules
     text = F.coalesce(F.col("text"), F.lit(""))
     read = docs.select("doc_id", text.alias("text"))
-    low = F.lower("text")
+    # Single spaces stay as they are, so most of a text is only read.
+    low = F.regexp_replace(F.lower("text"), r"[\t-\r]\s*| \s+", " ")
     marked = let(
         low,
         lambda x: F.struct(
             (F.contains(x, F.lit("license")) | F.contains(x, F.lit("cc"))).alias("base"),
-            F.array(*[F.contains(x, F.lit(s)) for s in STEMS]).alias("stems"),
+            F.when(reduce(or_, [F.contains(x, F.lit(s)) for s in stems(rules)]), x).alias("low"),
         ),
     )
     gated = read.withColumn("_gate", marked)
@@ -333,11 +377,8 @@ def scan(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
         ),
     )
     found = F.when(
-        F.exists("_gate.stems", lambda s: s),
-        let(
-            F.regexp_replace(low, r"\s+", " "),
-            lambda x: let(_detections(x, rules), _surviving),
-        ),
+        F.col("_gate.low").isNotNull(),
+        let(F.col("_gate.low"), lambda x: let(_detections(x, rules), _surviving)),
     )
     none = F.array().cast(
         "array<struct<start:int,end:int,rank:int,number:int,label:string,confidence:double>>"

@@ -165,6 +165,71 @@ def test_licenses(spark, documents):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+def written(pattern):
+    """All texts that a pattern of alternatives, options and classes matches, digits as 2 only."""
+
+    def of(nodes):
+        texts = [""]
+        for op, value in nodes:
+            op = str(op)
+            if op == "LITERAL":
+                parts = [chr(value)]
+            elif op == "IN":
+                parts = [chr(v) if str(o) == "LITERAL" else "2" for o, v in value]
+            elif op == "MAX_REPEAT":
+                assert value[:2] == (0, 1)
+                parts = ["", *of(value[2])]
+            elif op == "SUBPATTERN":
+                parts = of(value[3])
+            else:
+                assert op == "BRANCH", op
+                parts = [x for branch in value[1] for x in of(branch)]
+            texts = [a + b for a in texts for b in parts]
+        return texts
+
+    return of(re._parser.parse(pattern))
+
+
+def test_every_way_to_write_a_rule_holds_its_keywords():
+    for rule in licenses.signature_rules():
+        texts = written(rule.pattern)
+        assert texts and all(re.fullmatch(rule.pattern, t) for t in texts[:50])
+        for words in (rule.keywords, rule.context, licenses.STEMS, (rule.keyword,)):
+            assert all(any(w in t for w in words) for t in texts), (rule, words)
+
+
+GATED = [
+    "this dataset is released under CC BY 4.0", "distributed under the MPL 2.0", "see the EPL 1.0",
+    "available under the terms of the BSD", "proprietary and\n confidential", "http://mozilla.org/MPL/2.0/",
+    "eclipse.org/legal/epl-2.0 https://eclipse.org/legal/epl-2.0", "https://scripts.sil.org/OFL",
+    "permission to use, copy, modify, and/or distribute this software for any purpose",
+    "released under ODbL-1.0", "license: odc-by", "MS-PL license", "subject to the ms-rl",
+    "all\trights\n\nreserved", "released into the public\r\ndomain", "provided under the terms of the expat",
+    "you may not use this file except in compliance with the licence", "zero-clause bsd license",
+    "you can redistribute it and/or modify it under the terms of the GNU\x0b\fGeneral Public License",
+    "you can redistribute it and/or modify it under the terms of the\tGNU Lesser General Public License",
+]
+
+
+def test_licenses_equal_all_rules_without_gates(spark):
+    texts = list(enumerate([*GATED, *[t for _, t in LICENSED], " ".join(GATED)]))
+    every = [(r, re.compile(rf"(?<![a-z0-9])(?:{r.pattern})(?![a-z0-9])")) for r in licenses.signature_rules()]
+    found = {r["doc_id"]: r for r in licenses.scan(frame(spark, texts)).collect()}
+    for i, text in texts:
+        low = re.sub(r"[ \t\n\x0b\f\r]+", " ", text.lower())
+        matches = [(r.rank, *m.span(), r.number, r.label) for r, p in every for m in p.finditer(low)]
+        assert matches, text
+
+        def inside(x, y):
+            (rank, start, end, number, _), (above, first, last, other, _) = x, y
+            longer = (end - start, -number) < (last - first, -other)
+            return first <= start and last >= end and (above, longer) > (rank, False)
+
+        kept = {x[1:] for x in matches if not any(inside(x, y) for y in matches)}
+        assert {(d["start"], d["end"], d["number"], d["label"]) for d in found[i]["detections"]} == kept, text
+        assert {label for *_, label in kept} <= set(found[i]["labels"].split(","))
+
+
 # --- secrets --------------------------------------------------------------------------------
 
 
