@@ -3,7 +3,8 @@
 For each kind of credential, a prefix tree of labelled examples is folded into a small
 probabilistic automaton: states whose next-character and end frequencies agree within the
 Hoeffding bound are merged, tree by tree, until none agree. Any candidate token is scored by its
-likelihood under each automaton against a model of ordinary tokens.
+likelihood under each automaton against a model of ordinary tokens, as a whole and, where that
+says no, by its best stretches.
 """
 
 import hashlib
@@ -11,8 +12,10 @@ import math
 import random
 import re
 import string
+from bisect import bisect_right
 from collections import Counter
 from functools import lru_cache, partial
+from os.path import commonprefix
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,8 +34,14 @@ ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 BASE_KINDS = ("assign", "access", "hex")
 
-#: What automata score: whole runs of token characters with a letter and a digit.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: What automata score: runs of token characters, and what base spans leave of them.
+LEAST_RUN = 16
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_RUN)
+#: Where a credential without a fixed start can begin inside a run: behind these.
+BEGINS = "/="
+#: A stretch ends where its gain has fallen by so many natural logs below its best; as long as
+#: it is shorter than any labelled example, below nothing.
+DROP = 8.0
 #: Natural logs per character by which a format must beat ordinary tokens.
 LEAST_GAIN = 0.6
 #: Strictness of the merge test, and the weight of characters never seen in a state.
@@ -77,7 +86,8 @@ def labelled_credentials(seed: int = 11) -> list[tuple[str, str]]:
 
 
 def ordinary_tokens(seed: int = 12) -> list[str]:
-    """Labelled as no credentials: words run together, paths, versions, dates, numbered names."""
+    """Labelled as no credentials: words run together, paths, versions, dates, numbered names; and
+    long words, names and paths without digits, rules and numbers."""
     pick = random.Random(seed)
     consonants, vowels = "bcdfghlmnprstvw", "aeiou"
 
@@ -101,7 +111,30 @@ def ordinary_tokens(seed: int = 12) -> list[str]:
         lambda: word() + "=" + word() + number() + "/" + word() + "=" + number(),
         lambda: "".join(pick.choices(string.digits, k=pick.randint(16, 24))) + word(),
     ]
-    return [pick.choice(shapes)() for _ in range(4 * EXAMPLES)]
+    onsets = "b c d f g h j k l m n p qu r s t v w x y z br ch cl cr dr fr gr ph pl pr sch sh sp st str th tr".split()
+    middles = "a e i o u a e i o u ai au ea ee ei ie io oo ou y".split()
+    codas = ["", "", "", *"b ck ct d ft g ght k l ld ll m mm n nd ng ns nt p r rs rt s ss st t tt".split()]
+
+    def long_word(parts):
+        return "".join(pick.choice(x) for _ in range(parts) for x in (onsets, middles, codas))
+
+    def names(mark, change):
+        return mark.join(change(long_word(pick.randint(1, 3))) for _ in range(pick.randint(3, 6)))
+
+    plain_shapes = [
+        lambda: long_word(pick.randint(5, 9)),
+        lambda: long_word(pick.randint(5, 9)).title(),
+        lambda: long_word(pick.randint(5, 9)).upper(),
+        lambda: names("", str.title),
+        lambda: names("_", str.upper),
+        lambda: names("_", str.lower),
+        lambda: names("-", str.lower),
+        lambda: names("/", str.lower),
+        lambda: pick.choice("-=_/+") * LEAST_RUN,
+        lambda: "".join(pick.choices(string.digits, k=pick.randint(16, 24))),
+    ]
+    rows = [pick.choice(shapes)() for _ in range(4 * EXAMPLES)]
+    return rows + [pick.choice(plain_shapes)() for _ in range(4 * EXAMPLES)]
 
 
 # --- grammar inference ----------------------------------------------------------------------
@@ -232,6 +265,8 @@ class Scanner:
             by_kind.setdefault(kind, []).append(token)
         self.formats = {kind: Automaton(tokens) for kind, tokens in by_kind.items()}
         self.ordinary = pair_model(ordinary)
+        self.begin = {kind: commonprefix(tokens) for kind, tokens in by_kind.items()}
+        self.least = {kind: min(map(len, tokens)) for kind, tokens in by_kind.items()}
 
     def kind_of(self, token: str) -> str | None:
         """The most likely format, where it beats ordinary tokens clearly; ties: first by name."""
@@ -243,6 +278,99 @@ class Scanner:
         )
         return kind if best - plain >= LEAST_GAIN else None
 
+    def _stretches_of(self, kind: str, run: str, plain: list[float]) -> list:
+        """(gain, start, end, kind) of the stretches that one format explains better than ordinary
+        tokens by the least gain a character, as long as the shortest labelled example and more.
+        They begin at the format's fixed start, or where it has none, at the run's and behind
+        BEGINS."""
+        model, fixed, least = self.formats[kind], self.begin[kind], self.least[kind]
+        if len(run) < least or fixed not in run:
+            return []
+        found, totals = [], []
+        i, start, at, best = 0, -1, 0, 0.0  # no open stretch
+        while i < len(run) or start >= 0:
+            total = totals[-1] if totals else 0.0
+            floor = best - DROP if len(totals) >= least else -DROP
+            if start >= 0 and (i == len(run) or total < floor):
+                end = self._end_of(run, start, totals, least)
+                if end:
+                    found.append((totals[end - start - 1], start, end, kind))
+                    i = end
+                start, totals = -1, []
+                continue
+            begins = run.startswith(fixed, i) if fixed else i == 0 or run[i - 1] in BEGINS
+            if begins and (start < 0 or fixed and total <= 0):
+                start, totals, total, at, best = i, [], 0.0, 0, 0.0
+            if start >= 0:
+                c = run[i]
+                totals.append(total + model.log[at].get(c, model.rare) - plain[i] - LEAST_GAIN)
+                best = max(best, totals[-1])
+                at = model.next[at].get(c, at)
+            i += 1
+        return found
+
+    @staticmethod
+    def _end_of(run: str, start: int, totals: list[float], least: int) -> int:
+        """The end of greatest gain, or that of the word it stands in where the stretch got there;
+        0 without a gain."""
+        n = max(range(least, len(totals) + 1), key=lambda n: totals[n - 1], default=0)
+        if not n or totals[n - 1] < 0:
+            return 0
+        word = n
+        while word < len(totals) and run[start + word] not in BEGINS:
+            word += 1
+        there = start + word == len(run) or run[start + word] in BEGINS
+        return start + (word if there and totals[word - 1] >= 0 else n)
+
+    def stretches(self, run: str) -> list:
+        """(start, end, kind) of the parts of a run that look like credentials, greatest gain
+        first, without overlaps."""
+        plain = [self.ordinary[a, b] for a, b in zip("^" + run, run, strict=False)]
+        found = [x for kind in self.formats for x in self._stretches_of(kind, run, plain)]
+        kept, used = [], bytearray(len(run))
+        for _, start, end, kind in sorted(found, key=lambda x: (-x[0], x[1:])):
+            if not any(used[start:end]):
+                used[start:end] = b"\1" * (end - start)
+                kept.append((start, end, kind))
+        return kept
+
+    def _parts(self, run: str) -> list:
+        kind = self.kind_of(run)
+        return [(0, len(run), kind)] if kind else self.stretches(run)
+
+    def _inferred(self, text: str, base: list) -> list:
+        """Spans of inferred kinds beside the base spans. Where base spans cut a run, what they
+        leave is scored by itself, and a credential found in the whole run gives its rest."""
+        taken: list[list[int]] = []
+        for start, end in sorted((s, e) for s, _, _, e in base):
+            if taken and start <= taken[-1][1]:
+                taken[-1][1] = max(taken[-1][1], end)
+            else:
+                taken.append([start, end])
+        ends = [e for _, e in taken]
+        found = []
+        for m in CANDIDATE.finditer(text):
+            low, high = m.span()
+            free, at, cut = [], low, False
+            for start, end in taken[bisect_right(ends, low):]:
+                if start >= high:
+                    break
+                cut = True
+                free.append((at, start))
+                at = end
+            free = [(a, b) for a, b in [*free, (at, high)] if a < b]
+            if not cut:
+                found += [(low + s, 3, k, low + e) for s, e, k in self._parts(m.group())]
+                continue
+            whole = [(low + s, low + e, k) for s, e, k in self.stretches(m.group())] if free else []
+            for a, b in free:
+                own = self._parts(text[a:b]) if b - a >= LEAST_RUN else []
+                own = [(a + s, a + e, k) for s, e, k in own]
+                rest = [(max(a, s), min(b, e), k) for s, e, k in whole if s < b and a < e]
+                own = [x for x in own if not any(s <= x[0] and x[1] <= e for s, e, _ in rest)] + rest
+                found += [(s, 3, k, e) for s, e, k in own]
+        return found
+
     def spans(self, text: str) -> tuple[list, list]:
         """Base spans and all spans as (start, kind order, kind, end), each list in order."""
         base = []
@@ -261,17 +389,7 @@ class Scanner:
             ]
         base += [(m.start(), 2, "hex", m.end()) for m in HEX.finditer(text)]
         base.sort()
-        taken = sorted((s, e) for s, _, _, e in base)
-        every = list(base)
-        for m in CANDIDATE.finditer(text):
-            token = m.group()
-            if token.isalpha() or not re.search(r"\d", token) or not re.search("[A-Za-z]", token):
-                continue
-            if any(s < m.end() and m.start() < e for s, e in taken):
-                continue
-            kind = self.kind_of(token)
-            if kind:
-                every.append((m.start(), 3, kind, m.end()))
+        every = base + self._inferred(text, base)
         every.sort()
         return base, every
 
