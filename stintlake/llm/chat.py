@@ -2,7 +2,8 @@
 
 A line's quote level is the number of > marks before its text. Successive lines of one level form
 a quoted passage. Passages are hashed after lower-casing and joining white space, and joined to
-the first message of the conversation that holds the same passage in its own words.
+the first message of the conversation that holds the same passage in its own words. A passage that
+is found nowhere as a whole goes to the message that holds most of its lines and runs of words.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,8 @@ MARKS = r"^(?:[ \t]*>)+"
 QUOTED = r"(?m)^[ \t]*>"
 #: A line that only announces a quote.
 ANNOUNCED = r"(?i)^\s*on .{1,200} wrote:\s*$"
+#: Words of a run by which trimmed quotes are found.
+RUN = 4
 
 
 def normalised(text: Column) -> Column:
@@ -24,6 +27,22 @@ def passage_key(text: Column) -> Column:
     return F.md5(normalised(text))
 
 
+def _units(text: Column) -> Column:
+    """Hashes of a text's lines and of all its runs of RUN words, also across lines."""
+    lines = F.filter(F.transform(F.split(text, "\n", -1), normalised), lambda x: x != "")
+    runs = let(
+        F.split(normalised(text), " "),
+        lambda words: F.when(
+            F.size(words) >= RUN,
+            F.transform(
+                F.sequence(F.lit(1), F.size(words) - (RUN - 1)),
+                lambda i: F.array_join(F.slice(words, i, RUN), " "),
+            ),
+        ).otherwise(F.array().cast("array<string>")),
+    )
+    return F.array_distinct(F.transform(F.concat(lines, runs), lambda x: F.xxhash64(x)))
+
+
 def _levels(text: Column) -> Column:
     """The lines of a text as (level, words), marks taken off."""
     return F.transform(
@@ -69,15 +88,18 @@ def _own_words(text: Column) -> Column:
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """Adds own_text and `passages` (level, key) to messages."""
+    """Adds own_text and `passages` (level, key, units) to messages."""
     text = F.coalesce(F.col("text"), F.lit(""))
     found = F.when(
         F.rlike(text, F.lit(QUOTED)),
         F.transform(
             let(_levels(text), _passages),
-            lambda p: F.struct(p["level"].alias("level"), passage_key(p["words"]).alias("key")),
+            lambda p: F.struct(
+                p["level"].alias("level"), passage_key(p["words"]).alias("key"),
+                _units(p["words"]).alias("units"),
+            ),
         ),
-    ).otherwise(F.array().cast("array<struct<level:int,key:string>>"))
+    ).otherwise(F.array().cast("array<struct<level:int,key:string,units:array<bigint>>>"))
     return messages.withColumn("own_text", _own_words(text)).withColumn("passages", found)
 
 
@@ -94,10 +116,13 @@ def reply_links(messages: DataFrame) -> DataFrame:
 
     The first message with a passage counts as its origin: a minimum by partial aggregation, so a
     passage that stands in a third of all messages is no load. Only keys that are quoted somewhere
-    are gathered."""
+    are gathered. Passages without an origin are looked for by their units."""
+    keyed = F.transform(
+        "passages", lambda p: F.struct(p["level"].alias("level"), p["key"].alias("key"))
+    )
     quotes = (
         messages.where(F.size("passages") > 0)
-        .select("conv_id", "turn", F.explode(F.array_distinct("passages")).alias("p"))
+        .select("conv_id", "turn", F.explode(F.array_distinct(keyed)).alias("p"))
         .select("conv_id", "turn", "p.level", "p.key")
     )
     held = messages.select("conv_id", "turn", F.explode(_passage_keys(F.col("own_text"))).alias("key"))
@@ -107,13 +132,53 @@ def reply_links(messages: DataFrame) -> DataFrame:
         .groupBy("conv_id", "key")
         .agg(F.min("turn").alias("origin"))
     )
-    found = quotes.join(origins, ["conv_id", "key"]).where("origin < turn")
+    whole = stored(
+        quotes.join(origins, ["conv_id", "key"]).where("origin < turn"), "whole-quotes"
+    )
+    found = whole.unionByName(_trimmed_links(messages, whole))
     return found.groupBy("conv_id", "turn").agg(
         F.min(F.struct("level", (-F.col("origin")).alias("back"))).alias("best"),
         F.count("*").alias("n_linked"),
     ).select("conv_id", "turn", (-F.col("best.back")).alias("reply_to"), "n_linked")
 
 
+def _trimmed_links(messages: DataFrame, whole: DataFrame) -> DataFrame:
+    """(conv_id, key, turn, level, origin) of the passages that are not in `whole`: the earlier
+    message that is the first with most of their units, with half of them at least; the first of
+    equal ones. Only messages of conversations with such passages are cut into units."""
+    names = ["conv_id", "turn", "level", "key"]
+    missing = stored(
+        messages.where(F.size("passages") > 0)
+        .select("conv_id", "turn", F.explode("passages").alias("p"))
+        .select("conv_id", "turn", "p.level", "p.key", "p.units")
+        .join(whole, names, "left_anti")
+        .select(*names, F.explode("units").alias("unit"))
+        .distinct(),
+        "trimmed-quotes",
+    )
+    origins = (
+        messages.join(missing.select("conv_id").distinct(), "conv_id", "left_semi")
+        .select("conv_id", "turn", F.explode(_units(F.col("own_text"))).alias("unit"))
+        .join(missing.select("conv_id", "unit").distinct(), ["conv_id", "unit"], "left_semi")
+        .groupBy("conv_id", "unit")
+        .agg(F.min("turn").alias("origin"))
+    )
+    agreed = (
+        missing.join(origins, ["conv_id", "unit"])
+        .where("origin < turn")
+        .groupBy(*names, "origin")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy(*names)
+        .agg(F.max(F.struct("n", (-F.col("origin")).alias("back"))).alias("most"))
+    )
+    all_units = missing.groupBy(*names).agg(F.count(F.lit(1)).alias("n_units"))
+    return (
+        agreed.join(all_units, names)
+        .where("2 * most.n >= n_units")
+        .select("conv_id", "key", "turn", "level", (-F.col("most.back")).alias("origin"))
+    )
+
+
 def _threads(links: DataFrame, most_rounds: int = 64) -> DataFrame:
     """(conv_id, turn, thread, depth): the first turn of the chain of replies and its length.
     Chains are followed in doubling steps, a stored table each; replies point to earlier turns, so

@@ -515,6 +515,28 @@ def test_chats(spark):
     assert chat.reply_ordered(df.where("false")).count() == 0
 
 
+TRIMMED = [
+    (1, 0, "first line of it\nsecond line\nthird line\n\nanother paragraph\n\nand one more"), (1, 1, "something else"),
+    (1, 2, "> first line of it\n> second line\nyes"), (1, 3, "> another paragraph\n> and one more\nno"),
+    (1, 4, "a long line with many words of which only some are quoted later on"),
+    (1, 5, "> many words of which only some\nwhich?"), (1, 6, "> words that nobody wrote at all\n> nor these here\nwell"),
+    (1, 7, "> second line\n> a long line with many words of which\nhm"), (2, 0, "> first line of it\n> second line"),
+    (2, 1, "l1\nl2\nl3"), (2, 2, "> l1\n> l2\nmine"), (2, 3, "> mine\n>> l2\n>> l3"),
+]
+
+
+def test_trimmed_quotes_are_linked(spark):
+    rows = [(c, t, "user", x) for c, t, x in TRIMMED]
+    found = chat.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    links = {(r["conv_id"], r["turn"]): (r["reply_to"], r["n_linked"], r["thread"], r["depth"]) for r in found.collect()}
+    linked = {k: v for k, v in links.items() if v[1]}
+    assert linked == {
+        (1, 2): (0, 1, 0, 1), (1, 3): (0, 1, 0, 1), (1, 5): (4, 1, 4, 1), (1, 7): (4, 1, 4, 1), (2, 2): (1, 1, 1, 1),
+        (2, 3): (2, 2, 1, 2),
+    }
+    assert len(links) == len(TRIMMED)
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLE))
 def test_queries_equal_their_sql(spark, name):
     connection = duckdb.connect()
