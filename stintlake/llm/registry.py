@@ -1,13 +1,16 @@
 """Queries of this folder and, where SQL can express them, the SQL they must equal."""
 
 from stintlake.llm import (
+    alignment,
     chat,
     fingerprints,
     html,
     licenses,
     mixing,
     packing,
+    pivots,
     quality,
+    repair,
     repeats,
     secrets,
     simhash,
@@ -24,6 +27,9 @@ QUERIES = {
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_mixing": mixing.op9_mixing,
+    "op11_embedding_near_dedup": pivots.op11_embedding_near_dedup,
+    "op12_cross_tokenizer_alignment": alignment.op12_cross_tokenizer_alignment,
+    "op13_conversation_structure_repair": repair.op13_conversation_structure_repair,
 }
 
 ORACLE = {"op9_mixing": mixing.OP9_SQL, "op10_chat_formatting": chat.OP10_SQL}
