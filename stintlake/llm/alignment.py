@@ -32,11 +32,11 @@ from stintlake.llm.common import stored, table
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 #: Words whose ids a Python worker keeps; beyond that it starts anew.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 600_000
 #: New words that are encoded in one go.
 TOGETHER = 5_000
 #: Characters of text that are aligned at a time; a longer text is a slice of its own.
-SLICE = 2_000_000
+SLICE = 1_000_000
 #: Counts of at most so many id pairs (24 bytes each) are sent to all tasks; more are joined by key.
 SENT_PAIRS = 1_000_000
 
