@@ -252,7 +252,10 @@ def repairs(found: DataFrame) -> DataFrame:
     ways_out = (
         f"conv_id {kind}, piece long, count long, begin int, exit int, cost long, audit string, rank int"
     )
-    solved = stored(counted.mapInArrow(_solved, ways_out), "repair-ways")
+    # A search takes long for its few bytes, so pieces are dealt to as many tasks as there may be.
+    tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = counted.repartition(tasks, "conv_id", "piece")
+    solved = stored(dealt.mapInArrow(_solved, ways_out), "repair-ways")
     wanted = ["conv_id", "piece", "begin", "cost", "audit"]
     whole = solved.where("count = 1").select(*wanted)
     several = solved.where("count > 1")
