@@ -1,31 +1,20 @@
-"""The tyre-wear model: training rows, holdout, boosted trees and their error."""
+"""The tyre-wear model: eras, training rows, holdout, boosted trees and their error.
 
-from dataclasses import dataclass
+Rows carry the column `era`, and every step works on all eras at once: the pace rules compare the
+laps of an era, each era keeps a circuit of its own for validation and has trees of its own.
+"""
 
-from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stintlake import constants as K
 from stintlake.functions import columns as C
-from stintlake.operators import pace, strategy
+from stintlake.operators import boosting, pace, strategy
 
 NUMERIC = ["TyreLife", "LapNumber", "Stint"]
+ERA = ["era"]
 
-
-@dataclass(frozen=True)
-class WearParams:
-    """Fixed values of the production model; the prototype uses 200 trees."""
-
-    trees: int = 300
-    rate: float = 0.05
-    depth: int = 5
-    row_share: float = 0.8
-    column_share: float = 0.8
-    seed: int = 42
+WearParams = boosting.TreeParams
 
 
 def era_name(years: list[int]) -> str:
@@ -36,10 +25,21 @@ def select_era(laps: DataFrame, years: list[int]) -> DataFrame:
     return laps.where(F.col("Year").isin(*years))
 
 
+def with_era(laps: DataFrame, eras: list[list[int]]) -> DataFrame:
+    """Adds `era`, the name of the seasons that a lap's season is listed with; laps of seasons in
+    no list belong to no model and are left out."""
+    name = F.lit(None).cast("string")
+    for years in eras:
+        name = F.when(F.col("Year").isin(*years), era_name(years)).otherwise(name)
+    return laps.withColumn("era", name).where(F.col("era").isNotNull())
+
+
 def training_laps(laps: DataFrame) -> DataFrame:
-    """Timed dry laps within 107% of their circuit, with the wear target."""
+    """Timed dry laps within 107% of their circuit, with the wear target. With a column `era`, laps
+    are compared with those of their era."""
+    by = [name for name in ERA if name in laps.columns] + ["GrandPrix"]
     timed = laps.where(F.col("LapTime").isNotNull())
-    return pace.pace_delta(pace.rule_107(pace.dry_only(timed), ["GrandPrix"]), ["GrandPrix"])
+    return pace.pace_delta(pace.rule_107(pace.dry_only(timed), by), by)
 
 
 def compound_columns(compounds: list[str]) -> list[str]:
@@ -56,21 +56,21 @@ def features(laps: DataFrame, compounds: list[str] = K.DRY_COMPOUNDS) -> DataFra
 
 
 def holdout_circuit(df: DataFrame, name: str | None = None) -> DataFrame:
-    """The circuit kept for validation: the named one, else the one with most rows (ties: the
-    first name). One row."""
-    counts = df.groupBy("GrandPrix").agg(F.count(F.lit(1)).alias("laps"))
+    """The circuit of each era kept for validation: the named one, else the one with most rows
+    (ties: the first name)."""
+    counts = df.groupBy(*ERA, "GrandPrix").agg(F.count(F.lit(1)).alias("laps"))
     if name is not None:
         return counts.where(F.col("GrandPrix") == name)
     largest = F.min(F.struct((-F.col("laps")).alias("rank"), "GrandPrix", "laps")).alias("_top")
-    return counts.agg(largest).select("_top.GrandPrix", "_top.laps")
+    return counts.groupBy(*ERA).agg(largest).select(*ERA, "_top.GrandPrix", "_top.laps")
 
 
 def holdout_split(df: DataFrame, name: str | None = None) -> DataFrame:
-    """Adds `validation`: true for the rows of the holdout circuit."""
-    chosen = F.lit(name) if name is not None else (
-        holdout_circuit(df).select("GrandPrix").scalar()
-    )
-    return df.withColumn("validation", F.col("GrandPrix") == chosen)
+    """Adds `validation`: true for the rows of the holdout circuit of their era."""
+    if name is not None:
+        return df.withColumn("validation", F.col("GrandPrix") == name)
+    chosen = holdout_circuit(df).select(*ERA, F.col("GrandPrix").alias("_kept"))
+    return df.join(chosen, ERA).withColumn("validation", F.col("GrandPrix") == F.col("_kept")).drop("_kept")
 
 
 def random_holdout(df: DataFrame, seed: int = 42, share: float = 0.2) -> DataFrame:
@@ -81,50 +81,32 @@ def random_holdout(df: DataFrame, seed: int = 42, share: float = 0.2) -> DataFra
     return df.withColumn("validation", place < int(share * 10_000))
 
 
-def train_wear(
-    df: DataFrame, params: WearParams = WearParams(), target: str = K.MODEL_TARGET
-) -> PipelineModel:
-    """Fits the boosted trees on rows made by `features`.
-
-    The trees pass over the rows many times, so these are cached for the time of the fit. On
-    a cluster the long lineage of the boosting is cut in the folder of spark.checkpoint.dir.
-    """
-    inputs = NUMERIC + [name for name in df.columns if name.startswith("Compound_")]
-    inputs = [name for name in inputs if name in df.columns]
-    trees = GBTRegressor(
-        labelCol=target,
-        maxIter=params.trees,
-        stepSize=params.rate,
-        maxDepth=params.depth,
-        subsamplingRate=params.row_share,
-        featureSubsetStrategy=str(params.column_share),
-        lossType="squared",
-        seed=params.seed,
-    )
-    stages = [VectorAssembler(inputCols=inputs, outputCol="features"), trees]
-    rows = df.select(*inputs, target).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return Pipeline(stages=stages).fit(rows)
-    finally:
-        rows.unpersist()
+def inputs_of(df: DataFrame) -> list[str]:
+    """The model's features among the columns."""
+    named = NUMERIC + [name for name in df.columns if name.startswith("Compound_")]
+    return [name for name in named if name in df.columns]
 
 
-def importances(model: PipelineModel) -> list[tuple[str, float]]:
-    """Feature importances, largest first, with four decimals."""
-    names = model.stages[0].getInputCols()
-    weights = model.stages[-1].featureImportances.toArray()
-    pairs = [(name, round(float(w), 4)) for name, w in zip(names, weights)]
-    return sorted(pairs, key=lambda pair: -pair[1])
+def wear_cells(df: DataFrame, params: WearParams = WearParams(), target: str = K.MODEL_TARGET) -> DataFrame:
+    """What the trees are grown from: number and sum of targets of the rows that agree in era,
+    features and sampling share."""
+    return boosting.cells(df, inputs_of(df), target, ERA, K.LAP, params.seed)
 
 
-def importances_table(spark, model: PipelineModel) -> DataFrame:
-    return spark.createDataFrame(importances(model), "feature string, importance double")
+def train_wear(
+    df: DataFrame, params: WearParams = WearParams(), target: str = K.MODEL_TARGET
+) -> boosting.BoostedTrees:
+    """Boosted trees for each era of the rows made by `features`: one pass over the rows."""
+    grown = boosting.fit(wear_cells(df, params, target), inputs_of(df), ERA, params)
+    return boosting.BoostedTrees(grown, ERA)
 
 
-def prediction_grid(spark, model: PipelineModel) -> DataFrame:
-    """Scores every (compound, stint, tyre, lap) of the grid once."""
+def prediction_grid(spark, model: boosting.BoostedTrees) -> DataFrame:
+    """Scores every (compound, stint, tyre, lap) of the grid once for each era of the model."""
+    eras = F.explode(F.array(*[F.lit(root.era) for root in model.roots()]))
     cells = strategy.grid_cells(spark).withColumns(
         {
+            "era": eras,
             "TyreLife": F.col("tyre"),
             "LapNumber": F.col("lap"),
             "Stint": F.col("stint"),
@@ -135,49 +117,39 @@ def prediction_grid(spark, model: PipelineModel) -> DataFrame:
         }
     )
     return model.transform(cells).select(
-        "compound", "stint", "tyre", "lap", F.col("prediction").alias("pred")
+        "era", "compound", "stint", "tyre", "lap", F.col("prediction").alias("pred")
     )
 
 
-def _training_stats(split: DataFrame, target: str):
-    """Mean target and number of the training rows, as a struct column."""
-    training = ~F.col("validation")
-    return split.agg(
-        F.struct(
-            F.avg(F.when(training, F.col(target))).alias("mean"),
-            F.count_if(training).alias("laps"),
-        )
-    ).scalar()
-
-
 def baseline_mae(split: DataFrame, target: str = K.MODEL_TARGET) -> DataFrame:
-    """Error on the validation rows of always predicting the training mean."""
-    return evaluate(None, split, target).select("baseline", "validation_laps", "training_laps")
+    """Error on each era's validation rows of always predicting its training mean."""
+    return evaluate(None, split, target).select("era", "baseline", "validation_laps", "training_laps")
 
 
 def evaluate(
-    model: PipelineModel | None, split: DataFrame, target: str = K.MODEL_TARGET
+    model: boosting.BoostedTrees | None, split: DataFrame, target: str = K.MODEL_TARGET
 ) -> DataFrame:
     """Error of the model on the validation rows against the training mean, gain in percent,
-    and whether the model is of use at all. One row, from one pass over the validation rows."""
-    stats = _training_stats(split, target)
+    and whether the model is of use at all. One row per era."""
+    training = ~F.col("validation")
+    stats = split.groupBy(*ERA).agg(
+        F.avg(F.when(training, F.col(target))).alias("_mean"),
+        F.count_if(training).alias("training_laps"),
+    )
     scored = split.where(F.col("validation"))
-    if model is None:
-        scored = scored.withColumn("prediction", stats["mean"])
-    else:
+    if model is not None:
         scored = model.transform(scored)
-    errors = scored.agg(
-        F.avg(F.abs(F.col(target) - stats["mean"])).alias("baseline"),
-        F.avg(F.abs(F.col(target) - F.col("prediction"))).alias("mae"),
+    scored = scored.join(stats.select(*ERA, "_mean"), ERA)
+    predicted = F.col("_mean") if model is None else F.col("prediction")
+    errors = scored.groupBy(*ERA).agg(
+        F.avg(F.abs(F.col(target) - F.col("_mean"))).alias("baseline"),
+        F.avg(F.abs(F.col(target) - predicted)).alias("mae"),
         F.count(F.lit(1)).alias("validation_laps"),
     )
     gain = (F.lit(1.0) - F.col("mae") / F.nullif(F.col("baseline"), F.lit(0.0))) * F.lit(100.0)
-    return errors.withColumns(
-        {
-            "training_laps": F.coalesce(stats["laps"], F.lit(0)),
-            "gain_pct": gain,
-            "better": F.col("mae") < F.col("baseline"),
-        }
+    return stats.drop("_mean").join(errors, ERA, "left").select(
+        "era", "baseline", "mae", F.coalesce("validation_laps", F.lit(0)).alias("validation_laps"),
+        "training_laps", gain.alias("gain_pct"), (F.col("mae") < F.col("baseline")).alias("better"),
     )
 
 
@@ -212,29 +184,32 @@ def metrics_dry(df: DataFrame, y: str, yhat: str) -> DataFrame:
 def metrics_record(
     evaluation: DataFrame,
     laps: DataFrame,
-    model: PipelineModel,
-    years: list[int],
+    model: boosting.BoostedTrees,
     holdout: str | None,
 ) -> DataFrame:
-    """The metrics record of an era: one row, ready to be written as JSON.
+    """The metrics record of each era, ready to be written as JSON.
 
-    The list of circuits has one entry per circuit of the calendar, not per lap.
+    The lists of circuits and seasons have one entry per circuit and season, not per lap.
     """
-    names = model.stages[0].getInputCols()
-    weights = [F.lit(x) for pair in importances(model) for x in pair]
-    circuits = laps.select("GrandPrix").distinct().agg(
-        F.array_sort(F.collect_list("GrandPrix"))
-    ).scalar()
-    return evaluation.select(
-        F.lit(era_name(years)).alias("era"),
-        F.array(*[F.lit(year) for year in years]).alias("years"),
+    calendar = laps.groupBy(*ERA).agg(
+        F.array_sort(F.collect_set("Year")).alias("years"),
+        F.array_sort(F.collect_set("GrandPrix")).alias("circuitos"),
+    )
+    ranked = F.array_sort(
+        F.collect_list(F.struct((-F.col("importance")).alias("rank"), "feature", "importance"))
+    )
+    entries = F.transform(ranked, lambda x: F.struct(x["feature"], x["importance"]))
+    weights = model.importances().groupBy(*ERA).agg(F.map_from_entries(entries).alias("importancias"))
+    return evaluation.join(calendar, ERA).join(weights, ERA).select(
+        "era",
+        "years",
         F.lit(K.TARGET_LABEL).alias("target"),
         C.half_up("mae", 3).alias("mae_segundos"),
         C.half_up("baseline", 3).alias("baseline_segundos"),
         F.col("training_laps").alias("vueltas_entrenamiento"),
         F.col("validation_laps").alias("vueltas_validacion"),
-        circuits.alias("circuitos"),
+        "circuitos",
         F.lit(holdout).cast("string").alias("holdout"),
-        F.array(*[F.lit(name) for name in names]).alias("features"),
-        F.create_map(*weights).alias("importancias"),
+        F.array(*[F.lit(name) for name in model.features]).alias("features"),
+        "importancias",
     )

@@ -60,7 +60,7 @@ def train_era(
 
     A whole circuit is kept for validation; with a single circuit, a random fifth of the laps.
     """
-    laps = wear_model.select_era(readers.read_silver(spark, silver, "laps"), years)
+    laps = wear_model.with_era(readers.read_silver(spark, silver, "laps"), [years])
     rows = wear_model.features(wear_model.training_laps(laps)).persist(
         StorageLevel.MEMORY_AND_DISK
     )
@@ -73,11 +73,11 @@ def train_era(
         else:
             holdout = None
             split = wear_model.random_holdout(rows)
-        model = wear_model.train_wear(split.where(~F.col("validation")), params)
-        record = wear_model.metrics_record(
-            wear_model.evaluate(model, split), laps, model, years, holdout
-        )
-        writers.save_model(model, record, models, wear_model.era_name(years))
+        era = wear_model.era_name(years)
+        writers.save_trees(wear_model.train_wear(split.where(~F.col("validation")), params), models, era)
+        model = writers.load_model(spark, models, era)
+        record = wear_model.metrics_record(wear_model.evaluate(model, split), laps, model, holdout)
+        writers.save_metrics(record, models, era)
     finally:
         rows.unpersist()
 
@@ -88,8 +88,8 @@ def build_predictions(
     """Predicts the stops of the seasons of an era; seasons in `previous` are kept. `path` must
     not be the folder `previous` is read from."""
     laps = wear_model.select_era(readers.read_silver(spark, silver, "laps"), years)
-    model = writers.load_model(models, wear_model.era_name(years))
-    rows = strategy.predict_stops(laps, wear_model.prediction_grid(spark, model))
+    model = writers.load_model(spark, models, wear_model.era_name(years))
+    rows = strategy.predict_stops(laps, wear_model.prediction_grid(spark, model).drop("era"))
     if previous is not None:
         kept = readers.read_gold(spark, previous, "predicciones")
         rows = strategy.merge_predictions(kept, rows, years)

@@ -3,6 +3,7 @@
 import re
 
 from stintlake import constants as K
+from stintlake.operators import boosting
 from stintlake.plans import fixtures
 from stintlake.plans import queries as Q
 
@@ -204,10 +205,11 @@ TABLES["paced_circuit"] = _paced(
     f"(SELECT * FROM timed WHERE Compound IN {DRY})", "GrandPrix", "LapTimeDelta"
 )
 TABLES["paced_race"] = _paced("timed", "Year, GrandPrix", "DeltaRitmo")
+ERA = "CASE " + " ".join(
+    f"WHEN Year IN ({', '.join(map(str, years))}) THEN '{'-'.join(map(str, years))}'" for years in Q.ERAS
+) + " END"
 TABLES["era"] = _paced(
-    f"(SELECT * FROM timed WHERE Year IN ({', '.join(map(str, Q.ERA_YEARS))}) AND Compound IN {DRY})",
-    "GrandPrix",
-    "LapTimeDelta",
+    f"(SELECT *, {ERA} AS era FROM timed WHERE Compound IN {DRY})", "era, GrandPrix", "LapTimeDelta"
 )
 TABLES["warehouse"] = f"""
 SELECT Year, CAST(Year AS STRING) AS Temporada, GrandPrix, coalesce(nombre, GrandPrix) AS Circuito, Driver, Team,
@@ -217,8 +219,45 @@ SELECT Year, CAST(Year AS STRING) AS Temporada, GrandPrix, coalesce(nombre, Gran
 FROM paced_race LEFT JOIN names ON slug = GrandPrix
 """
 TABLES["held_out"] = (
-    "SELECT GrandPrix, count(*) AS laps FROM era GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1"
+    "SELECT era, GrandPrix, count(*) AS laps FROM era GROUP BY 1, 2"
+    " QUALIFY row_number() OVER (PARTITION BY era ORDER BY count(*) DESC, GrandPrix) = 1"
 )
+TABLES["split"] = (
+    "SELECT e.*, e.GrandPrix = h.GrandPrix AS validation FROM era e JOIN held_out h USING (era)"
+)
+_FLAGS = ", ".join(
+    f"CASE WHEN Compound = '{name}' THEN 1 ELSE 0 END AS Compound_{name}" for name in K.DRY_COMPOUNDS
+)
+
+
+def _clipped(name: str) -> str:
+    return f"CAST(greatest(0, least({boosting.VALUES[name] - 1}, {name})) AS INT) AS {name}"
+
+
+TABLES["tree_cells"] = f"""
+SELECT era, {', '.join(map(_clipped, ('TyreLife', 'LapNumber', 'Stint')))}, {_FLAGS},
+ CAST(CAST('0x' || substr(md5(concat_ws('|', 'share', 42, {LAP})), 1, 8) AS BIGINT) % {boosting.SHARES} AS INT) AS share,
+ count(*) AS rows, CAST(sum(CAST(round(LapTimeDelta * 1e6) AS BIGINT)) AS BIGINT) AS total
+FROM split WHERE NOT validation GROUP BY ALL
+"""
+_FEATURES = ["TyreLife", "LapNumber", "Stint", *[f"Compound_{name}" for name in K.DRY_COMPOUNDS]]
+TABLES["first_split"] = f"""
+SELECT era, feature, threshold, gain, left_n, n - left_n AS right_n, n,
+ -left_g / (left_n + 1) AS left_value, (left_g - g) / (n - left_n + 1) AS right_value, mean
+FROM (SELECT *, left_g * left_g / (left_n + 1) + (g - left_g) * (g - left_g) / (n - left_n + 1)
+   - g * g / (n + 1) AS gain FROM
+ (SELECT era, place, feature, v AS threshold, any_value(mean) AS mean, any_value(n) AS n, 0e0 AS g,
+   sum(sum(rows)) OVER w AS left_n,
+   sum(sum(rows)) OVER w * any_value(mean) - sum(sum(total)) OVER w / 1e6 AS left_g
+  FROM (SELECT era, rows, total, unnest([{', '.join(_FEATURES)}]) AS v,
+    unnest([{', '.join(f"'{name}'" for name in _FEATURES)}]) AS feature,
+    unnest([{', '.join(map(str, range(len(_FEATURES))))}]) AS place,
+    sum(rows) OVER (PARTITION BY era) AS n,
+    sum(total) OVER (PARTITION BY era) / 1e6 / sum(rows) OVER (PARTITION BY era) AS mean FROM tree_cells)
+  GROUP BY era, place, feature, v WINDOW w AS (PARTITION BY era, place ORDER BY v))
+ WHERE left_n < n)
+QUALIFY row_number() OVER (PARTITION BY era ORDER BY round(gain, 6) DESC, place, threshold) = 1
+"""
 TABLES["predicted"] = (
     "SELECT *, median(LapTime) OVER (PARTITION BY GrandPrix, Compound) AS hat FROM timed"
 )
@@ -551,20 +590,25 @@ BODIES = {
  {up('avg(pit_window - pit_real)', 4)} AS mean_bias, CAST(grouping(gp) AS INT) AS total FROM predictions
  WHERE pit_window IS NOT NULL AND pit_real IS NOT NULL GROUP BY ROLLUP (gp)""",
     "wear_points": f"SELECT TyreLife, LapTime, Compound FROM laps WHERE LapTime > 85 AND LapTime < 105 AND Compound IN {DRY}",
-    "era_laps": f"""SELECT '{"-".join(map(str, Q.ERA_YEARS))}' AS era, {LAP} FROM timed
- WHERE Year IN ({", ".join(map(str, Q.ERA_YEARS))})""",
-    "model_features": f"""SELECT {LAP}, TyreLife, Stint, CASE WHEN Compound = 'SOFT' THEN 1 ELSE 0 END AS Compound_SOFT,
- CASE WHEN Compound = 'MEDIUM' THEN 1 ELSE 0 END AS Compound_MEDIUM,
- CASE WHEN Compound = 'HARD' THEN 1 ELSE 0 END AS Compound_HARD, {up('LapTimeDelta', 3)} AS LapTimeDelta FROM era""",
+    "era_laps": f"SELECT {ERA} AS era, {LAP} FROM timed",
+    "era_selected": f"""SELECT '{"-".join(map(str, Q.ERAS[1]))}' AS era, {LAP} FROM timed
+ WHERE Year IN ({", ".join(map(str, Q.ERAS[1]))})""",
+    "model_features": f"SELECT era, {LAP}, TyreLife, Stint, {_FLAGS}, {up('LapTimeDelta', 3)} AS LapTimeDelta FROM era",
     "holdout_circuit": "SELECT * FROM held_out",
-    "holdout_split": f"SELECT {LAP}, GrandPrix = (SELECT GrandPrix FROM held_out) AS validation FROM era",
-    "random_holdout": f"""SELECT {LAP}, CAST('0x' || substr(md5(concat_ws('|', 42, {LAP})), 1, 8) AS BIGINT) % 10000 < 2000 AS validation
+    "holdout_split": f"SELECT era, {LAP}, validation FROM split",
+    "random_holdout": f"""SELECT era, {LAP}, CAST('0x' || substr(md5(concat_ws('|', 42, {LAP})), 1, 8) AS BIGINT) % 10000 < 2000 AS validation
  FROM era""",
-    "grid_shape": """SELECT compound, stint, count(*) AS cells, min(tyre) AS first_tyre, max(tyre) AS last_tyre,
- min(lap) AS first_lap, max(lap) AS last_lap FROM grid GROUP BY 1, 2""",
-    "baseline_mae": f"""WITH t AS (SELECT avg(LapTimeDelta) AS m, count(*) AS n FROM era WHERE GrandPrix <> (SELECT GrandPrix FROM held_out))
- SELECT {mean('avg(abs(LapTimeDelta - (SELECT m FROM t)))', 4)} AS baseline, count(*) AS validation_laps,
- (SELECT n FROM t) AS training_laps FROM era WHERE GrandPrix = (SELECT GrandPrix FROM held_out)""",
+    "grid_shape": f"""SELECT era, compound, stint, count(*) AS cells, min(tyre) AS first_tyre, max(tyre) AS last_tyre,
+ min(lap) AS first_lap, max(lap) AS last_lap FROM grid, (SELECT DISTINCT era FROM era) GROUP BY 1, 2, 3""",
+    "baseline_mae": f"""SELECT era, {mean('avg(abs(LapTimeDelta - m)) FILTER (validation)', 4)} AS baseline,
+ count(*) FILTER (validation) AS validation_laps, count(*) FILTER (NOT validation) AS training_laps
+ FROM (SELECT *, avg(LapTimeDelta) FILTER (NOT validation) OVER (PARTITION BY era) AS m FROM split) GROUP BY era""",
+    "wear_cells": "SELECT * FROM tree_cells",
+    "wear_first_split": f"""SELECT era, 0 AS node, CAST(NULL AS STRING) AS feature, CAST(NULL AS INT) AS threshold, 0e0 AS gain,
+ CAST(n AS BIGINT) AS rows, {up('mean', 6)} AS value FROM first_split
+ UNION ALL SELECT era, 1, feature, threshold, {up('gain', 4)}, CAST(n AS BIGINT), 0e0 FROM first_split
+ UNION ALL SELECT era, 2, NULL, NULL, 0e0, CAST(left_n AS BIGINT), {up('left_value', 6)} FROM first_split
+ UNION ALL SELECT era, 3, NULL, NULL, 0e0, CAST(right_n AS BIGINT), {up('right_value', 6)} FROM first_split""",
     "regression_metrics": _METRICS,
     "metrics_dry": _METRICS + " WHERE Compound <> 'INTERMEDIATE'",
     "stop_requests": "SELECT * FROM requests",

@@ -2,7 +2,6 @@
 
 from datetime import date
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,20 +11,19 @@ from stintlake.operators import (
     catalogue, cleaning, gaps, laps as lap_ops, pace, physics, preparation, quality, strategy,
     track, wear_model,
 )
+from stintlake.operators.boosting import BoostedTrees
 from stintlake.plans import fixtures as X
-from stintlake.plans.stored import keep_checkpoints, scratch, stored, stored_path
+from stintlake.plans.stored import scratch, stored
 from stintlake.sources import readers, writers
 
 AS_OF = date(2001, 7, 1)
-ERA_YEARS = [1996, 1997, 1998]
+#: Every season belongs to an era; each has a model of its own.
+ERAS = [[1995, 1996, 1997, 1998], [1999, 2000, 2001]]
 MERGE_YEARS = [1995, 1996]
 DAY_S = 86400.0
 GAP_BUCKET_S = 21600.0
 
 
-_trained: dict[str, PipelineModel] = {}
-
-
 def rounded(df: DataFrame, **digits: int) -> DataFrame:
     return df.withColumns({name: C.half_up(name, n) for name, n in digits.items()})
 
@@ -276,8 +274,13 @@ def wear_points(spark, sf):
 # Wear model -----------------------------------------------------------------------------------------
 
 
+FIRST_SPLIT = wear_model.WearParams(
+    trees=1, depth=1, rate=1.0, row_share=1.0, column_share=1.0, least_rows=1
+)
+
+
 def _training(spark, sf):
-    laps = wear_model.select_era(X.laps(spark, sf), ERA_YEARS)
+    laps = wear_model.with_era(X.laps(spark, sf), ERAS)
     return wear_model.features(wear_model.training_laps(laps))
 
 
@@ -285,25 +288,31 @@ def _training_rows(spark, sf):
     return stored(spark, sf, "training", lambda: _training(spark, sf))
 
 
+def _split(spark, sf):
+    return wear_model.holdout_split(_training_rows(spark, sf))
+
+
 def _model(spark, sf):
-    """The published model, trained on the stored rows once in a session, and the split rows."""
-    split = wear_model.holdout_split(_training_rows(spark, sf))
-    keep_checkpoints(spark)
-    path = stored_path(spark, sf, "wear-model")
-    if path not in _trained:
-        model = wear_model.train_wear(split.where(~F.col("validation")))
-        model.write().overwrite().save(path)
-        _trained[path] = PipelineModel.load(path)
-    return _trained[path], split
+    """The published model of every era, trained once in a session."""
+    trees = stored(
+        spark, sf, "wear-trees",
+        lambda: wear_model.train_wear(_split(spark, sf).where(~F.col("validation"))).trees,
+    )
+    return BoostedTrees(trees, wear_model.ERA)
 
 
 def era_laps(spark, sf):
-    laps = wear_model.select_era(X.silver_laps(spark, sf), ERA_YEARS)
-    return laps.select(F.lit(wear_model.era_name(ERA_YEARS)).alias("era"), *K.LAP)
+    return wear_model.with_era(X.silver_laps(spark, sf), ERAS).select("era", *K.LAP)
+
+
+def era_selected(spark, sf):
+    """The laps of one era, picked by its seasons."""
+    laps = wear_model.select_era(X.silver_laps(spark, sf), ERAS[1])
+    return laps.select(F.lit(wear_model.era_name(ERAS[1])).alias("era"), *K.LAP)
 
 
 def model_features(spark, sf):
-    columns = [*K.LAP, "TyreLife", "Stint", *wear_model.compound_columns(K.DRY_COMPOUNDS)]
+    columns = ["era", *K.LAP, "TyreLife", "Stint", *wear_model.compound_columns(K.DRY_COMPOUNDS)]
     return rounded(_training(spark, sf).select(*columns, "LapTimeDelta"), LapTimeDelta=3)
 
 
@@ -312,56 +321,65 @@ def holdout_circuit(spark, sf):
 
 
 def holdout_split(spark, sf):
-    return wear_model.holdout_split(_training_rows(spark, sf)).select(*K.LAP, "validation")
+    return _split(spark, sf).select("era", *K.LAP, "validation")
 
 
 def random_holdout(spark, sf):
-    return wear_model.random_holdout(_training_rows(spark, sf)).select(*K.LAP, "validation")
+    return wear_model.random_holdout(_training_rows(spark, sf)).select("era", *K.LAP, "validation")
 
 
 def baseline_mae(spark, sf):
-    return averaged(
-        wear_model.baseline_mae(wear_model.holdout_split(_training_rows(spark, sf))), baseline=4
+    return averaged(wear_model.baseline_mae(_split(spark, sf)), baseline=4)
+
+
+def wear_cells(spark, sf):
+    """What the trees are grown from."""
+    return wear_model.wear_cells(_split(spark, sf).where(~F.col("validation")))
+
+
+def wear_first_split(spark, sf):
+    """The first split of a tree over all training rows: node 1 with its feature, its children with
+    their values, and the mean (node 0)."""
+    rows = _split(spark, sf).where(~F.col("validation"))
+    trees = wear_model.train_wear(rows, FIRST_SPLIT).trees
+    node = F.when(F.col("tree") == 0, 0).otherwise(F.col("node")).cast("int").alias("node")
+    return rounded(
+        trees.select("era", node, "feature", "threshold", "gain", "rows", "value"), gain=4, value=6
     )
 
 
 def wear_model_predictions(spark, sf):
-    model, split = _model(spark, sf)
-    scored = model.transform(split.where(F.col("validation")))
-    return scored.select(*K.LAP, "LapTimeDelta", F.col("prediction").alias("LapTimeDeltaHat"))
+    scored = _model(spark, sf).transform(_split(spark, sf).where(F.col("validation")))
+    return scored.select("era", *K.LAP, "LapTimeDelta", F.col("prediction").alias("LapTimeDeltaHat"))
 
 
 def wear_metrics(spark, sf):
-    model, split = _model(spark, sf)
-    return wear_model.evaluate(model, split)
+    return wear_model.evaluate(_model(spark, sf), _split(spark, sf))
 
 
 def metrics_record(spark, sf):
-    model, split = _model(spark, sf)
-    record = wear_model.metrics_record(
-        wear_model.evaluate(model, split), split, model, ERA_YEARS, None
-    )
+    model, split = _model(spark, sf), _split(spark, sf)
+    record = wear_model.metrics_record(wear_model.evaluate(model, split), split, model, None)
     return record.select(
-        "era", "target", "mae_segundos", "baseline_segundos", "vueltas_entrenamiento",
-        "vueltas_validacion", F.array_join("circuitos", ",").alias("circuitos"),
+        "era", F.array_join(F.col("years").cast("array<string>"), ",").alias("years"), "target",
+        "mae_segundos", "baseline_segundos", "vueltas_entrenamiento", "vueltas_validacion",
+        F.array_join("circuitos", ",").alias("circuitos"),
         F.array_join("features", ",").alias("features"),
     )
 
 
 def wear_importances(spark, sf):
-    model, _ = _model(spark, sf)
-    return wear_model.importances_table(spark, model)
+    return _model(spark, sf).importances()
 
 
 def wear_grid(spark, sf):
-    model, _ = _model(spark, sf)
-    return wear_model.prediction_grid(spark, model)
+    return wear_model.prediction_grid(spark, _model(spark, sf))
 
 
 def grid_shape(spark, sf):
-    """How many cells the grid of the trained model has of each compound and stint."""
+    """How many cells the grids of the trained models have of each compound and stint."""
     cells = wear_grid(spark, sf).where(F.col("pred").isNotNull())
-    return cells.groupBy("compound", "stint").agg(
+    return cells.groupBy("era", "compound", "stint").agg(
         F.count(F.lit(1)).alias("cells"), F.min("tyre").alias("first_tyre"),
         F.max("tyre").alias("last_tyre"), F.min("lap").alias("first_lap"),
         F.max("lap").alias("last_lap"),
@@ -707,7 +725,8 @@ QUERIES = {
         rule_107_circuit, rule_107_race, dry_laps, fuel_adjusted, pace_delta, race_names,
         warehouse_laps, warehouse_predictions, warehouse_summary, bi_lap_curve, bi_wear_curve,
         bi_stop_error, wear_points,
-        era_laps, model_features, holdout_circuit, holdout_split, random_holdout, baseline_mae,
+        era_laps, era_selected, model_features, holdout_circuit, holdout_split, random_holdout, baseline_mae,
+        wear_cells, wear_first_split,
         wear_model_predictions, wear_metrics, metrics_record, wear_importances, wear_grid, grid_shape,
         regression_metrics, metrics_dry,
         stop_requests, stint_cost, best_stop, pit_loss, wear_slope, stop_predictions,

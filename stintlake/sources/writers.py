@@ -2,11 +2,11 @@
 
 import logging
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from stintlake import schemas
+from stintlake.operators.boosting import BoostedTrees
 from stintlake.sources import folders
 
 log = logging.getLogger(__name__)
@@ -94,14 +94,23 @@ def load_table(df: DataFrame, name: str) -> bool:
     return True
 
 
-def save_model(model: PipelineModel, metrics: DataFrame, root: str, era: str) -> None:
-    """Stores a model and its metrics under the name of its era."""
-    model.write().overwrite().save(f"{root}/wear_{era}")
+def save_trees(model: BoostedTrees, root: str, era: str) -> None:
+    """Stores a model, a table of tree nodes, under the name of its era."""
+    model.trees.coalesce(1).write.mode("overwrite").parquet(f"{root}/wear_{era}")
+
+
+def save_metrics(metrics: DataFrame, root: str, era: str) -> None:
     write_rows(metrics.coalesce(1), f"{root}/metrics_{era}")
 
 
-def load_model(root: str, era: str) -> PipelineModel:
-    return PipelineModel.load(f"{root}/wear_{era}")
+def save_model(model: BoostedTrees, metrics: DataFrame, root: str, era: str) -> None:
+    """Stores a model and its metrics under the name of its era."""
+    save_trees(model, root, era)
+    save_metrics(metrics, root, era)
+
+
+def load_model(spark: SparkSession, root: str, era: str) -> BoostedTrees:
+    return BoostedTrees(spark.read.parquet(f"{root}/wear_{era}"), ["era"])
 
 
 def read_metrics(spark: SparkSession, root: str) -> DataFrame:

@@ -214,8 +214,12 @@ def test_team_ties_and_fallbacks(spark):
 
 
 def test_holdout_ties_take_the_first_name(spark):
-    df = spark.createDataFrame([("b",), ("a",), ("b",), ("a",), ("c",)], "GrandPrix string")
-    assert wear_model.holdout_circuit(df).first()["GrandPrix"] == "a"
+    rows = [("x", gp) for gp in "babac"] + [("y", "b")]
+    df = spark.createDataFrame(rows, "era string, GrandPrix string")
+    found = {tuple(r) for r in wear_model.holdout_circuit(df).collect()}
+    assert found == {("x", "a", 2), ("y", "b", 1)}
+    split = wear_model.holdout_split(df).where("validation").collect()
+    assert sorted(map(tuple, split)) == [("x", "a", True), ("x", "a", True), ("y", "b", True)]
     assert wear_model.holdout_circuit(df, "c").first()["laps"] == 1
 
 

@@ -234,7 +234,7 @@ def test_model_is_stored_with_its_metrics(spark, tmp_path):
     assert metrics["holdout"] in metrics["circuitos"]
     assert metrics["mae_segundos"] < metrics["baseline_segundos"]
     assert list(metrics["importancias"])[0] in metrics["features"]
-    grid = wear_model.prediction_grid(spark, writers.load_model(models, "1996-1997-1998"))
+    grid = wear_model.prediction_grid(spark, writers.load_model(spark, models, "1996-1997-1998"))
     assert grid.count() == 28800
     path = str(tmp_path / "pred")
     builds.build_predictions(spark, silver, models, years, path, None)
