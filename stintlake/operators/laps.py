@@ -115,6 +115,60 @@ def head_to_head(laps: DataFrame, telemetry: DataFrame, first: str, second: str)
     )
 
 
+def on_grid(samples: DataFrame, step: float) -> DataFrame:
+    """The samples of each lap resampled every `step` metres: speed and throttle in between the
+    samples on either side, the brake as it last was. No points before the first or behind the
+    last sample; of samples at one distance the least (speed, throttle, brake) counts."""
+    one = samples.where(F.col("Distance").isNotNull()).groupBy(*K.LAP, "Distance").agg(
+        F.min(F.struct("Speed", "Throttle", F.col("Brake").cast("int").alias("Brake"))).alias("_at")
+    )
+    placed = ordered.cut(one, ordered.bucket("Distance", PIECE_M))
+    follow = ordered.previous(placed, K.LAP, ["Distance"], ["Distance", "_at"], "_from")
+    here = F.col("Distance")
+    first = F.when(F.col("_from").isNull(), F.ceil(here / step)).otherwise(
+        F.floor(F.col("_from.Distance") / step) + 1
+    )
+    last = F.floor(here / step)
+    points = F.when(first <= last, F.sequence(first, last))
+    metres = F.col("point") * F.lit(step)
+    share = (metres - F.col("_from.Distance")) / (here - F.col("_from.Distance"))
+
+    def between(name):
+        low, high = F.col(f"_from._at.{name}"), F.col(f"_at.{name}")
+        return F.when(metres == here, high).otherwise(low + (high - low) * share).alias(name)
+
+    brake = F.when(metres == here, F.col("_at.Brake")).otherwise(F.col("_from._at.Brake"))
+    return follow.withColumn("point", F.explode(points)).select(
+        *K.LAP, "point", metres.alias("Distance"), between("Speed"), between("Throttle"),
+        brake.alias("Brake"),
+    )
+
+
+def head_to_head_aligned(
+    laps: DataFrame, telemetry: DataFrame, first: str, second: str, step: float = 10.0
+) -> DataFrame:
+    """The fastest laps of two drivers side by side, every `step` metres: what either did there
+    and how much faster the first was. Where only one of the laps has points, the other is null."""
+    pair = F.col("Driver").isin(first, second)
+    chosen = fastest_lap(laps.where(pair), telemetry.where(pair)).select(
+        *K.LAP, "Distance", "Speed", "Throttle", "Brake"
+    )
+    grid = on_grid(chosen, step)
+
+    def side(driver, suffix):
+        return grid.where(F.col("Driver") == driver).select(
+            *K.RACE, "point",
+            *[F.col(c).alias(f"{c.lower()}_{suffix}") for c in ("LapNumber", "Speed", "Throttle", "Brake")],
+        )
+
+    both = side(first, "a").join(side(second, "b"), [*K.RACE, "point"], "full")
+    return both.select(
+        *K.RACE, (F.col("point") * F.lit(step)).alias("Distance"),
+        *[f"{c}_{suffix}" for suffix in "ab" for c in ("lapnumber", "speed", "throttle", "brake")],
+        (F.col("speed_a") - F.col("speed_b")).alias("speed_gap"),
+    )
+
+
 def lap_progress(points: DataFrame) -> DataFrame:
     """Progress of each point of a lap in percent, by index and as a share of the distance."""
     placed = ordered.cut(points, ordered.bucket("distance", PIECE_M))

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stintlake import constants as K
+from stintlake.functions import asof, ordered
 from stintlake.functions import columns as C
-from stintlake.functions import ordered
 
 PIECE_S = 10.0
 UNORDERED = {*K.LAP, "SessionTime", "Speed"}
@@ -129,6 +129,16 @@ def events_summary(df: DataFrame) -> DataFrame:
     )
 
 
+def race_status(rows: DataFrame, messages: DataFrame, at: str, width: float) -> DataFrame:
+    """Adds to rows of a race the state that race control had called when they began: `race_status`
+    (the flag, or SC for the safety car) and `status_since`. Messages that call no state don't count;
+    before the first, both are null. Of states called at one instant, the greatest name counts."""
+    flag = F.when(F.col("Category") == "SafetyCar", "SC").when(F.col("Flag") != "", F.col("Flag"))
+    called = messages.select(*K.RACE, at, flag.alias("race_status")).where("race_status IS NOT NULL")
+    joined = asof.last_before(rows, called, K.RACE, at, ["race_status"], width)
+    return joined.withColumnRenamed("_since", "status_since")
+
+
 def missing_drivers(results: DataFrame, laps: DataFrame) -> DataFrame:
     """Drivers in the results of a race who have no lap in it, one row each."""
     expected = results.where(F.col("Abbreviation").isNotNull()).select(

@@ -314,6 +314,35 @@ def race_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _day(date) -> F.Column:
+    return F.datediff(F.to_date(date), F.lit("1970-01-01")).cast("double")
+
+
+def status_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Race-control messages with their day as the clock."""
+    return race_events(spark, sf_dir).withColumn("Day", _day("Time"))
+
+
+def dated_laps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Laps of the timing table with the day that they were driven on; every 50th has none."""
+    lines = table(spark, sf_dir, "lineitem").join(
+        _supplier_nations(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey")
+    )
+    return lines.select(
+        F.year("l_shipdate").alias("Year"), _race(), _code("S", "l_suppkey").alias("Driver"),
+        "l_orderkey", "l_linenumber",
+        F.when(F.col("l_orderkey") % 50 != 0, _day("l_shipdate")).alias("Day"),
+    )
+
+
+def live_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Telemetry as it arrives: with its time, and `part`, which of three files it comes in."""
+    return telemetry_rows(spark, sf_dir).select(
+        *K.LAP, "ts", "Speed", "Throttle", "Brake", "Distance",
+        (F.col("event_id") % 3).cast("int").alias("part"),
+    )
+
+
 def catalogue_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Telemetry relabelled to seasons, races and drivers of the calendar."""
     return telemetry(spark, sf_dir).withColumns(

@@ -106,6 +106,13 @@ SELECT CAST(year(o_orderdate) AS INT) AS Year, lower(replace(n_name,' ','_')) AS
 FROM orders JOIN customer ON o_custkey=c_custkey JOIN nation ON c_nationkey=n_nationkey
 """
 
+TABLES["called"] = """
+SELECT Year, GrandPrix, Day, max(race_status) AS race_status FROM
+ (SELECT Year, GrandPrix, CAST(date_diff('day', DATE '1970-01-01', CAST(Time AS DATE)) AS DOUBLE) AS Day,
+   CASE WHEN Category = 'SafetyCar' THEN 'SC' ELSE Flag END AS race_status FROM race_events)
+WHERE race_status IS NOT NULL GROUP BY 1, 2, 3
+"""
+
 TABLES["timed"] = "SELECT * FROM laps WHERE LapTime IS NOT NULL"
 
 TABLES["grid"] = """
@@ -372,6 +379,18 @@ LEFT JOIN season_teams st ON st.Year = t.Year AND st.Driver = t.Driver
 LEFT JOIN full_names n ON n.Year = t.Year AND n.Driver = t.Driver
 """
 
+_GRID = f"""
+WITH s AS (SELECT {LAP}, Distance, Speed, Throttle, Brake, lag(Distance) OVER w AS d0, lag(Speed) OVER w AS s0,
+  lag(Throttle) OVER w AS t0, lag(Brake) OVER w AS b0 FROM telemetry WINDOW w AS (PARTITION BY {LAP} ORDER BY Distance)),
+p AS (SELECT *, unnest(generate_series(CAST(coalesce(floor(d0 / $step) + 1, ceil(Distance / $step)) AS BIGINT),
+  CAST(floor(Distance / $step) AS BIGINT))) AS point FROM s)
+SELECT {LAP}, point, point * $step AS Distance,
+ CASE WHEN point * $step = Distance THEN Speed ELSE s0 + (Speed - s0) * ((point * $step - d0) / (Distance - d0)) END AS Speed,
+ CASE WHEN point * $step = Distance THEN Throttle ELSE t0 + (Throttle - t0) * ((point * $step - d0) / (Distance - d0)) END AS Throttle,
+ CASE WHEN point * $step = Distance THEN Brake ELSE b0 END AS Brake FROM p
+"""
+TABLES["grid_25"] = _GRID.replace("$step", "25e0")
+TABLES["grid_10"] = _GRID.replace("$step", "10e0")
 TABLES["placed"] = "SELECT * FROM telemetry WHERE X <> 0 OR Y <> 0"
 TABLES["available"] = f"""
 SELECT {LAP}, CAST(row_number() OVER (PARTITION BY {DRIVER} ORDER BY LapNumber) - 1 AS INT) AS place,
@@ -534,6 +553,16 @@ BODIES = {
  FROM bronze WHERE LapNumber IS NOT NULL""",
     "laps_durations": """SELECT Year, GrandPrix, Driver, Team, LapNumber, Stint, Compound, TyreLife, LapTime,
  CAST(Year AS STRING) || '-01-02' AS LapStartDate FROM laps""",
+    "race_status": """SELECT l.*, c.race_status, c.Day AS status_since FROM
+ (SELECT CAST(year(l_shipdate) AS INT) AS Year, lower(replace(n_name,' ','_')) AS GrandPrix, 'S' || lpad(CAST(l_suppkey AS STRING),4,'0') AS Driver,
+   l_orderkey, l_linenumber, CASE WHEN l_orderkey % 50 <> 0 THEN CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS DOUBLE) END AS Day
+  FROM lineitem JOIN supplier ON l_suppkey=s_suppkey JOIN nation ON s_nationkey=n_nationkey) l
+ ASOF LEFT JOIN called c ON l.Year = c.Year AND l.GrandPrix = c.GrandPrix AND l.Day >= c.Day""",
+    "live_laps": f"""SELECT {LAP}, count(*) AS samples, min(epoch_us(ts)) AS first_us, max(epoch_us(ts)) AS last_us, max(Speed) AS top_speed,
+ {up('(max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6', 3)} AS seconds,
+ {up('CAST(sum(CAST(round(Speed * 10) AS BIGINT)) AS BIGINT) / count(*) / 10e0', 4)} AS mean_speed,
+ {up('count(*) FILTER (Throttle >= 99) / count(*)', 4)} AS throttle_share, {up('count(*) FILTER (Brake > 0) / count(*)', 4)} AS braking_share,
+ max(Distance) AS metres FROM (SELECT feed.*, ts FROM feed JOIN events USING (event_id)) GROUP BY ALL""",
     "events_clean": """SELECT Year, GrandPrix, Category, coalesce(Flag, '') AS Flag, o_orderkey,
  CAST(coalesce(try_cast(LapText AS SMALLINT), 0) AS SMALLINT) AS Lap,
  CASE WHEN o_orderkey%3=0 THEN 'DEPLOYED' ELSE '' END AS Status FROM race_events""",
@@ -662,6 +691,16 @@ BODIES = {
     "head_to_head": f"""SELECT {LAP}, Distance, Speed, Throttle, Brake FROM telemetry SEMI JOIN
  (SELECT {DRIVER}, arg_min(LapNumber, (LapTime, LapNumber)) AS LapNumber FROM tel_laps
   WHERE LapTime IS NOT NULL AND Driver IN ('D0024', 'D0048') GROUP BY {DRIVER}) f USING ({LAP})""",
+    "resampled_laps": f"""SELECT {LAP}, point, Distance, {up('Speed', 4)} AS Speed, {up('Throttle', 4)} AS Throttle, Brake
+ FROM grid_25""",
+    "head_to_head_aligned": f"""WITH f AS (SELECT {DRIVER}, arg_min(LapNumber, (LapTime, LapNumber)) AS LapNumber FROM tel_laps
+  WHERE LapTime IS NOT NULL GROUP BY {DRIVER}),
+ a AS (SELECT * FROM grid_10 SEMI JOIN f USING ({LAP}) WHERE Driver = 'D0024'),
+ b AS (SELECT * FROM grid_10 SEMI JOIN f USING ({LAP}) WHERE Driver = 'D0048')
+ SELECT Year, GrandPrix, point * 10e0 AS Distance, a.LapNumber AS lapnumber_a, {up('a.Speed', 4)} AS speed_a,
+  {up('a.Throttle', 4)} AS throttle_a, a.Brake AS brake_a, b.LapNumber AS lapnumber_b, {up('b.Speed', 4)} AS speed_b,
+  {up('b.Throttle', 4)} AS throttle_b, b.Brake AS brake_b, {up('a.Speed - b.Speed', 4)} AS speed_gap
+ FROM a FULL JOIN b USING (Year, GrandPrix, point)""",
     "lap_progress": f"""SELECT {LAP}, distance,
  CASE WHEN n > 1 THEN {up('(place - 1) / (n - 1) * 100e0', 4)} ELSE 0e0 END AS progress_pct,
  CASE WHEN max(distance) OVER w = min(distance) OVER w THEN 0e0

@@ -15,6 +15,7 @@ from stintlake.operators.boosting import BoostedTrees
 from stintlake.plans import fixtures as X
 from stintlake.plans.stored import scratch, stored
 from stintlake.sources import readers, writers
+from stintlake.streaming import live
 
 AS_OF = date(2001, 7, 1)
 #: Every season belongs to an era; each has a model of its own.
@@ -114,6 +115,11 @@ def events_flags(spark, sf):
     return preparation.events_summary(preparation.clean_events(_feed_messages(spark, sf)))
 
 
+def race_status(spark, sf):
+    """The state race control had called when each lap was driven."""
+    return preparation.race_status(X.dated_laps(spark, sf), X.status_messages(spark, sf), "Day", 90.0)
+
+
 def missing_drivers(spark, sf):
     return preparation.missing_drivers(X.roster(spark, sf), X.laps(spark, sf))
 
@@ -607,6 +613,19 @@ def head_to_head(spark, sf):
     )
 
 
+def head_to_head_aligned(spark, sf):
+    side_by_side = lap_ops.head_to_head_aligned(
+        X.timed_telemetry_laps(spark, sf), X.telemetry(spark, sf), "D0024", "D0048"
+    )
+    shown = {f"{c}_{s}": 4 for c in ("speed", "throttle") for s in "ab"}
+    return rounded(side_by_side, **shown, speed_gap=4)
+
+
+def resampled_laps(spark, sf):
+    """All laps on one grid of distances."""
+    return rounded(lap_ops.on_grid(X.telemetry(spark, sf), 25.0), Speed=4, Throttle=4)
+
+
 def lap_progress(spark, sf):
     progress = lap_ops.lap_progress(points(spark, sf))
     return rounded(
@@ -707,6 +726,26 @@ def nearest_sample(spark, sf):
 # Gaps -------------------------------------------------------------------------------------------------------
 
 
+def live_laps(spark, sf):
+    """Laps as a stream of shuffled sample files leaves them. The files come in three runs; each
+    holds samples of all laps, most of them late for laps that the run before has closed."""
+    root = scratch(spark, "live")
+    arriving = X.live_samples(spark, sf)
+    for part in range(3):
+        now = arriving.where(F.col("part") == part).drop("part")
+        now.write.mode("append").parquet(f"{root}/samples")
+        # No sample is too late here: the test tables' clock spans months.
+        live.follow(
+            spark, f"{root}/samples", f"{root}/laps", f"{root}/seen", horizon_s=10**9
+        ).awaitTermination()
+    known = live.shown(live.read_laps(spark, f"{root}/laps"))
+    return rounded(
+        known.select(*K.LAP, "samples", "first_us", "last_us", "top_speed", "seconds", "mean_speed",
+                     "throttle_share", "braking_share", "metres"),
+        seconds=3, mean_speed=4, throttle_share=4, braking_share=4,
+    )
+
+
 def gap_ahead(spark, sf):
     gap = gaps.gap_ahead(X.clock_telemetry(spark, sf), GAP_BUCKET_S)
     return rounded(gap, covered_m=1, gap_m=1)
@@ -717,7 +756,7 @@ QUERIES = {
     for f in [
         source_schema, pending_races, predictions_merge,
         race_slug, telemetry_lap_join, lap_distance, lap_distance_ties, channels_normalised, laps_durations,
-        events_clean, events_flags, missing_drivers, ingest_report, calendar_raced,
+        events_clean, events_flags, race_status, missing_drivers, ingest_report, calendar_raced,
         silver_laps, silver_telemetry,
         sample_deltas, sample_deltas_edges, lap_position_quality, race_position_quality, incoherent_samples,
         sample_spacing, sampling_density, position_presence, distance_reset, lake_profile,
@@ -735,10 +774,10 @@ QUERIES = {
         catalogue_drivers, teams, catalogue_summary, default_race, drivers_by_team,
         silver_roundtrip, silver_telemetry_roundtrip, partition_file_counts, catalogue_roundtrip, predictions_roundtrip,
         laps_available, middle_lap, selected_lap, unknown_lap, lap_points, lap_bounds,
-        fastest_lap, head_to_head, lap_progress,
+        fastest_lap, head_to_head, head_to_head_aligned, resampled_laps, lap_progress,
         neighbours, lateral_g_raw, longitudinal_g_raw, g_smoothed, lap_enriched, g_diagnostic,
         g_top5, gauges,
         track_projected, track_segments, braking_zones, nearest_sample,
-        gap_ahead,
+        live_laps, gap_ahead,
     ]
 }

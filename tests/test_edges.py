@@ -1,5 +1,6 @@
 """Hand-made frames for the edges the generated tables do not reach."""
 
+import random
 from datetime import date, timedelta
 
 import pytest
@@ -282,3 +283,44 @@ def test_gap_in_a_crowded_instant_is_the_same(spark, monkeypatch):
     assert len(whole) > 100
     monkeypatch.setattr(gaps, "PIECE_M", 3.0)
     assert found() == whole
+
+
+def test_as_of_join_of_a_hot_group(spark):
+    """One race with all rows, cut into many stretches; ties, nulls and instants before any state."""
+    from stintlake.functions import asof
+
+    pick = random.Random(2)
+    left = [("x", pick.choice([None, float(pick.randint(-50, 400))]), i) for i in range(400)]
+    left += [(None, 5.0, 1000), ("y", 5.0, 1001)]
+    right = [("x", float(pick.randint(0, 380)), pick.choice("abc")) for _ in range(60)]
+    right += [(None, 4.0, "n"), ("x", None, "never"), ("z", 1.0, "other"), ("x", 100.0, "a"), ("x", 100.0, "z")]
+    a = spark.createDataFrame(left, "GrandPrix string, t double, n int")
+    b = spark.createDataFrame(right, "GrandPrix string, t double, state string")
+    for width in (1.0, 30.0, 1e6):
+        found = asof.last_before(a, b, ["GrandPrix"], "t", ["state"], width).collect()
+        assert len(found) == len(left)
+        for r in found:
+            known = [
+                (t, s) for gp, t, s in right
+                if gp == r["GrandPrix"] and t is not None and r["t"] is not None and t <= r["t"]
+            ]
+            assert (r["_since"], r["state"]) == max(known, default=(None, None))
+    assert asof.last_before(a, b.limit(0), ["GrandPrix"], "t", ["state"], 9.0).where("state IS NOT NULL").isEmpty()
+    assert asof.last_before(a.limit(0), b, ["GrandPrix"], "t", ["state"], 9.0).isEmpty()
+
+
+def test_grid_points(spark):
+    rows = [
+        (2024, "m", "A", 1, d, s, 50.0, b) for d, s, b in
+        [(3.0, 100.0, 0), (10.0, 110.0, 1), (10.0, 90.0, 0), (37.0, 120.0, 1), (40.0, 126.0, 0), (None, 1.0, 1)]
+    ] + [(2024, "m", "B", 1, 20.0, None, 1.0, 1), (2024, "m", "C", 1, 21.0, 5.0, 1.0, 1)]
+    df = spark.createDataFrame(
+        rows, "Year int, GrandPrix string, Driver string, LapNumber int, Distance double, "
+        "Speed double, Throttle double, Brake int",
+    )
+    found = sorted((r.Driver, r.Distance, r.Speed, r.Brake) for r in lap_ops.on_grid(df, 10.0).collect())
+    assert found[:4] == [
+        ("A", 10.0, 90.0, 0), ("A", 20.0, pytest.approx(90 + 30 * 10 / 27), 0),
+        ("A", 30.0, pytest.approx(90 + 30 * 20 / 27), 0), ("A", 40.0, 126.0, 0),
+    ]
+    assert found[4:] == [("B", 20.0, None, 1)]
