@@ -15,6 +15,11 @@ WAREHOUSE_LAP_COLUMNS = [
 ]
 
 
+#: What the dashboards filter by, and the axes of their curves.
+BI_FILTERS = ["Compound", "Temporada", "Circuito"]
+BI_AXES = ["LapNumber", "TyreLife"]
+
+
 def rule_107(laps: DataFrame, by: list[str]) -> DataFrame:
     """Keeps the laps within 107% of the median lap time of their group.
 
@@ -157,6 +162,50 @@ def bi_wear_curve(laps: DataFrame, **filters) -> DataFrame:
     )
 
 
+def bi_partials(laps: DataFrame) -> DataFrame:
+    """What all dashboard curves are sums of: a row for every combination of the filters, lap number
+    and tyre life, with sums in whole milliseconds, which merge in any order."""
+    return laps.groupBy(*BI_FILTERS, *BI_AXES).agg(
+        F.count(F.lit(1)).alias("laps"),
+        F.count("LapTime").alias("timed"), F.sum(F.round(F.col("LapTime") * 1000).cast("long")).alias("time_ms"),
+        F.count("DeltaRitmo").alias("paced"), F.sum(F.round(F.col("DeltaRitmo") * 1000).cast("long")).alias("delta_ms"),
+    )
+
+
+def bi_cube(partials: DataFrame) -> DataFrame:
+    """The curves for every choice of filters at once, from the partials: a row per axis, its value
+    and grouping set. `all_<filter>` is 1 where that filter is left open."""
+    axes = F.explode(
+        F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).cast("long").alias("value")) for a in BI_AXES])
+    )
+    placed = partials.select("*", axes.alias("_axis")).select("*", "_axis.*")
+    on = ["axis", "value"]
+    sets = [
+        [*on, *[name for k, name in enumerate(BI_FILTERS) if chosen >> k & 1]]
+        for chosen in range(1 << len(BI_FILTERS))
+    ]
+    return placed.groupingSets(sets, *on, *BI_FILTERS).agg(
+        *[F.grouping(name).cast("int").alias(f"all_{name}") for name in BI_FILTERS],
+        *[F.sum(name).alias(name) for name in ("laps", "timed", "time_ms", "paced", "delta_ms")],
+    )
+
+
+def bi_answer(cube: DataFrame, axis: str, **filters) -> DataFrame:
+    """A curve out of the stored cube: mean lap time and mean pace delta along an axis, for filters
+    as in `bi_lap_curve`. Several values of a filter add up their sums."""
+    rows = cube.where(F.col("axis") == axis)
+    for name in BI_FILTERS:
+        rows = rows.where(F.col(f"all_{name}") == (0 if name in filters else 1))
+    summed = _filtered(rows, filters).groupBy(F.col("value").cast("int").alias(axis)).agg(
+        *[F.sum(name).alias(name) for name in ("laps", "timed", "time_ms", "paced", "delta_ms")]
+    )
+    return summed.select(
+        axis, "laps",
+        (F.col("time_ms") / F.nullif(F.col("timed"), F.lit(0)) / F.lit(1000.0)).alias("mean_lap_time"),
+        (F.col("delta_ms") / F.nullif(F.col("paced"), F.lit(0)) / F.lit(1000.0)).alias("mean_delta"),
+    )
+
+
 def bi_stop_error(predictions: DataFrame) -> DataFrame:
     """Mean absolute and mean signed stop error by circuit, and over all (`total` 1)."""
     both = predictions.where(F.col("pit_window").isNotNull() & F.col("pit_real").isNotNull())

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from stintlake import constants as K
 from stintlake.functions import columns as C
 from stintlake.operators import (
-    catalogue, cleaning, gaps, laps as lap_ops, pace, physics, preparation, quality, strategy,
-    track, wear_model,
+    catalogue, cleaning, gaps, laps as lap_ops, pace, physics, preparation, quality, statistics,
+    strategy, track, wear_model,
 )
 from stintlake.operators.boosting import BoostedTrees
 from stintlake.plans import fixtures as X
@@ -269,6 +269,61 @@ def bi_wear_curve(spark, sf):
     return averaged(curve, mean_delta=4)
 
 
+def _bi_cube(spark, sf):
+    return stored(
+        spark, sf, "bi-cube", lambda: pace.bi_cube(pace.bi_partials(_warehouse_laps(spark, sf)))
+    )
+
+
+def bi_cube(spark, sf):
+    return _bi_cube(spark, sf)
+
+
+def bi_wear_from_cube(spark, sf):
+    """The wear curve of dry tyres, answered by the stored cube."""
+    curve = pace.bi_answer(_bi_cube(spark, sf), "TyreLife", Compound=K.DRY_COMPOUNDS)
+    return averaged(curve.select("TyreLife", "mean_delta", "laps"), mean_delta=4)
+
+
+def bi_race_from_cube(spark, sf):
+    """Lap by lap on soft tyres in two seasons."""
+    chosen = {"Temporada": ["1996", "1999"], "Compound": "SOFT"}
+    curve = pace.bi_answer(_bi_cube(spark, sf), "LapNumber", **chosen)
+    return averaged(curve.select("LapNumber", "mean_lap_time", "laps"), mean_lap_time=4)
+
+
+def season_statistics(spark, sf):
+    """Seasons from the sketches of their races, and whether each figure is as near to the exact
+    one as stated."""
+    laps = X.silver_laps(spark, sf)
+    root = scratch(spark, "sketches")
+    statistics.store_sketches(statistics.race_sketches(laps), root)
+    found = statistics.figures(
+        statistics.merged(statistics.read_sketches(spark, root), ["Year"]), ["Year"]
+    )
+    names = list(statistics.QUANTILES)
+    ranks = laps.join(found.select("Year", *names), "Year").groupBy("Year").agg(
+        F.count("LapTime").alias("_n"), F.count_distinct("Driver").alias("_drivers"),
+        *[F.count_if(F.col("LapTime") < F.col(name)).alias(f"_{name}_below") for name in names],
+        *[F.count_if(F.col("LapTime") <= F.col(name)).alias(f"_{name}_upto") for name in names],
+    )
+    room = F.lit(statistics.RANK_ERROR) + F.lit(1.0) / F.col("_n")
+
+    def near(name, share):
+        low = F.col(f"_{name}_below") / F.col("_n") - room
+        return F.lit(share).between(low, F.col(f"_{name}_upto") / F.col("_n") + room).alias(f"{name}_near")
+
+    drivers = F.abs(F.col("drivers") - F.col("_drivers")) <= 1 + statistics.DISTINCT_ERROR * F.col("_drivers")
+    return averaged(
+        found.join(ranks, "Year").select(
+            "Year", "laps", "mean_time", "fastest", "slowest",
+            *[near(name, share) for name, share in statistics.QUANTILES.items()],
+            drivers.alias("drivers_near"),
+        ),
+        mean_time=4,
+    )
+
+
 def bi_stop_error(spark, sf):
     return rounded(pace.bi_stop_error(stop_predictions(spark, sf)), mean_error=4, mean_bias=4)
 
@@ -763,6 +818,7 @@ QUERIES = {
         telemetry_only_drivers, missing_position,
         rule_107_circuit, rule_107_race, dry_laps, fuel_adjusted, pace_delta, race_names,
         warehouse_laps, warehouse_predictions, warehouse_summary, bi_lap_curve, bi_wear_curve,
+        bi_cube, bi_wear_from_cube, bi_race_from_cube, season_statistics,
         bi_stop_error, wear_points,
         era_laps, era_selected, model_features, holdout_circuit, holdout_split, random_holdout, baseline_mae,
         wear_cells, wear_first_split,

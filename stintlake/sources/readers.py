@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from stintlake import constants as K
 from stintlake import schemas
-from stintlake.sources import folders
+from stintlake.sources import folders, snapshots
 
 
 def bronze_glob(root: str, year, gps: list[str] | None, kind: str, session: str = "R") -> str:
@@ -77,19 +77,22 @@ def read_reports(spark: SparkSession, root: str, year) -> DataFrame:
     return spark.read.schema(schemas.INGEST_REPORT).json(path, multiLine=True)
 
 
-def read_silver(spark: SparkSession, root: str, kind: str) -> DataFrame:
-    """A silver table; the partition columns come from the folder names, typed by schema."""
-    schema = schemas.SILVER[kind]
-    return spark.read.schema(schema).parquet(f"{root}/{kind}").select(*schema.fieldNames())
+def read_silver(
+    spark: SparkSession, root: str, kind: str, version: int | None = None
+) -> DataFrame:
+    """A silver table as last published, or an older state of it; the partition columns come from
+    the folder names, typed by schema."""
+    return snapshots.read(spark, root, kind, version)
 
 
 def read_driver(spark: SparkSession, root: str, year: int, gp: str, driver: str) -> DataFrame:
     """One driver's race: only its folder is listed and only the serving columns are read."""
-    wanted = (
-        (F.col("Year") == year) & (F.col("GrandPrix") == gp) & (F.col("Driver") == driver.upper())
-    )
+    only = {"Year": year, "GrandPrix": gp, "Driver": driver.upper()}
+    wanted = F.lit(True)
+    for name, value in only.items():
+        wanted = wanted & (F.col(name) == value)
     return (
-        read_silver(spark, root, "telemetry")
+        snapshots.read(spark, root, "telemetry", only=only)
         .where(wanted)
         .select("Year", "GrandPrix", "Driver", *K.LAP_COLUMNS)
     )
@@ -97,10 +100,12 @@ def read_driver(spark: SparkSession, root: str, year: int, gp: str, driver: str)
 
 def driver_state(spark: SparkSession, root: str, year: int, gp: str, driver: str) -> str:
     """"missing" without a folder, "empty" with a folder but no rows, else "data"."""
-    folder = f"{root}/telemetry/Year={year}/GrandPrix={gp}/Driver={driver.upper()}"
+    partition = f"Year={year}/GrandPrix={gp}/Driver={driver.upper()}"
+    state = snapshots.manifest(spark, root, "telemetry")
+    folder = state["folders"].get(partition, partition) if state else partition
     inner = schemas.SILVER_TELEMETRY
     try:
-        rows = spark.read.schema(inner).parquet(folder)
+        rows = spark.read.schema(inner).parquet(f"{root}/telemetry/{folder}")
         return "empty" if rows.isEmpty() else "data"
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":

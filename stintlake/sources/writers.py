@@ -1,34 +1,24 @@
 """Writing the lake: partitioned silver tables, gold documents, warehouse tables, models."""
 
 import logging
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from stintlake import schemas
 from stintlake.operators.boosting import BoostedTrees
-from stintlake.sources import folders
+from stintlake.sources import snapshots
 
 log = logging.getLogger(__name__)
 
 
-def _race_files(spark: SparkSession, root: str, kind: str, races) -> dict[str, list[str]]:
-    """The data files of each partition folder of some races. A race has a folder, or one per
-    driver, so the list is short."""
-    deeper = "/*" * (len(schemas.SILVER_PARTITIONS[kind]) - 2)
-    found: dict[str, list[str]] = {}
-    for year in sorted({year for year, _ in races}):
-        for folder in folders.listed(spark, f"{root}/{kind}/Year={year}/GrandPrix=*{deeper}"):
-            if folders.race_of(folder) in races:
-                found[folder] = folders.listed(spark, f"{folder}/*.parquet")
-    return found
-
-
 def write_silver(
     df: DataFrame, root: str, kind: str, races: set[tuple[int, str]] | None = None
 ) -> Observation:
-    """Writes a silver table, replacing the partitions present in `df`; and with `races`, (year,
-    race) pairs that `df` holds as a whole, dropping those partitions of theirs that got no rows.
+    """Writes a silver table and publishes it in one step (see `snapshots`), replacing the
+    partitions present in `df`; and with `races`, (year, race) pairs that `df` holds as a whole,
+    dropping those partitions of theirs that got no rows.
 
     Rows are dealt to tasks by folder, so a folder gets one file; Spark splits folders above its
     advisory partition size, and those get several. Telemetry is sorted by lap and distance
@@ -37,21 +27,16 @@ def write_silver(
     """
     partition = schemas.SILVER_PARTITIONS[kind]
     inside = ["LapNumber", "Distance"] if kind == "telemetry" else []
-    written = Observation(f"silver_{kind}")
-    before = _race_files(df.sparkSession, root, kind, races) if races else {}
+    written, commit = Observation(f"silver_{kind}"), uuid4().hex
     (
         df.hint("rebalance", *partition)
         .sortWithinPartitions(*partition, *inside)
         .observe(written, F.count(F.lit(1)).alias("rows"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*partition)
-        .parquet(f"{root}/{kind}")
+        .write.partitionBy(*partition)
+        .parquet(f"{root}/{kind}/commit={commit}")
     )
-    for folder, files in before.items():
-        if folders.listed(df.sparkSession, f"{folder}/*.parquet") == files:  # not rewritten
-            log.info("%s got no rows, dropped", folder)
-            folders.delete(df.sparkSession, folder)
+    version = snapshots.publish(df.sparkSession, root, kind, commit, races)
+    log.info("%s: state %d published", kind, version)
     return written
 
 
@@ -81,19 +66,39 @@ def write_rows(df: DataFrame, path: str) -> None:
 def load_table(df: DataFrame, name: str) -> bool:
     """Replaces a warehouse table; an empty frame is skipped with a warning.
 
-    The rows are counted while they are written to a staging table, which then takes the name."""
-    spark, staging, rows = df.sparkSession, f"{name}_staging", Observation(name)
+    The rows are counted while they are written to a table of their own; then the view `name` is
+    pointed at it, in one step of the catalogue, so there is always an old or a new table to read.
+    The table before stays for readers under way, older ones go. A plain table of that name, from
+    before, is replaced by the view once."""
+    spark, rows = df.sparkSession, Observation(name)
+    version = f"{name}__{uuid4().hex}"
     counted = df.observe(rows, F.count(F.lit(1)).alias("rows"))
-    counted.write.mode("overwrite").saveAsTable(staging)
+    counted.write.saveAsTable(version)
     if not rows.get["rows"]:
-        spark.sql(f"DROP TABLE {staging}")
+        spark.sql(f"DROP TABLE {version}")
         log.warning("%s is empty, skipped", name)
         return False
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.sql(f"ALTER TABLE {staging} RENAME TO {name}")
+    before = _version_of(spark, name)
+    if before is None and spark.catalog.tableExists(name):
+        spark.sql(f"DROP TABLE {name}")
+    spark.sql(f"CREATE OR REPLACE VIEW {name} TBLPROPERTIES ('version' = '{version}') AS SELECT * FROM {version}")
+    database, _, table = name.rpartition(".")
+    inside = f" IN {database}" if database else ""
+    for row in spark.sql(f"SHOW TABLES{inside} LIKE '{table}__*'").collect():
+        other = f"{database}.{row['tableName']}" if database else row["tableName"]
+        if other.lower() not in {version.lower(), (before or "").lower()}:
+            spark.sql(f"DROP TABLE IF EXISTS {other}")
     return True
 
 
+def _version_of(spark: SparkSession, name: str) -> str | None:
+    """The table behind a view that `load_table` made; None for anything else."""
+    if not spark.catalog.tableExists(name) or spark.catalog.getTable(name).tableType != "VIEW":
+        return None
+    shown = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}
+    return shown.get("version")
+
+
 def save_trees(model: BoostedTrees, root: str, era: str) -> None:
     """Stores a model, a table of tree nodes, under the name of its era."""
     model.trees.coalesce(1).write.mode("overwrite").parquet(f"{root}/wear_{era}")
