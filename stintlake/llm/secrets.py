@@ -2,9 +2,10 @@
 
 For each kind of credential, a prefix tree of labelled examples is folded into a small
 probabilistic automaton: states whose next-character and end frequencies agree within the
-Hoeffding bound are merged, tree by tree, until none agree. Any candidate token is scored by its
-likelihood under each automaton against a model of ordinary tokens, as a whole and, where that
-says no, by its best stretches.
+Hoeffding bound are merged, tree by tree, until none agree. Candidates are all stretches of a run of
+token characters that may be a credential of a format: of a length that its labelled examples have,
+in their characters, between fitting ends. They are scored by their likelihood under the
+format's automaton against a model of ordinary tokens, and the best ones that don't overlap count.
 """
 
 import hashlib
@@ -15,6 +16,7 @@ import string
 from bisect import bisect_right
 from collections import Counter
 from functools import lru_cache, partial
+from itertools import accumulate
 from os.path import commonprefix
 
 import pyarrow as pa
@@ -34,14 +36,14 @@ ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 BASE_KINDS = ("assign", "access", "hex")
 
-#: What automata score: runs of token characters, and what base spans leave of them.
-LEAST_RUN = 16
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_RUN)
-#: Where a credential without a fixed start can begin inside a run: behind these.
+#: Runs of token characters. Those shorter than every labelled example hold no candidate.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]+")
+#: Inside a run, a credential without a fixed start stands between these, or its format's other
+#: characters.
 BEGINS = "/="
-#: A stretch ends where its gain has fallen by so many natural logs below its best; as long as
-#: it is shorter than any labelled example, below nothing.
-DROP = 8.0
+#: What stands around such a credential must read like ordinary tokens: at least as likely as the
+#: middle between this quantile of theirs and random characters. So many say nothing either way.
+UNUSUAL, SHORT = 0.01, 3
 #: Natural logs per character by which a format must beat ordinary tokens.
 LEAST_GAIN = 0.6
 #: Strictness of the merge test, and the weight of characters never seen in a state.
@@ -130,7 +132,7 @@ def ordinary_tokens(seed: int = 12) -> list[str]:
         lambda: names("_", str.lower),
         lambda: names("-", str.lower),
         lambda: names("/", str.lower),
-        lambda: pick.choice("-=_/+") * LEAST_RUN,
+        lambda: pick.choice("-=_/+") * 16,
         lambda: "".join(pick.choices(string.digits, k=pick.randint(16, 24))),
     ]
     rows = [pick.choice(shapes)() for _ in range(4 * EXAMPLES)]
@@ -266,7 +268,19 @@ class Scanner:
         self.formats = {kind: Automaton(tokens) for kind, tokens in by_kind.items()}
         self.ordinary = pair_model(ordinary)
         self.begin = {kind: commonprefix(tokens) for kind, tokens in by_kind.items()}
-        self.least = {kind: min(map(len, tokens)) for kind, tokens in by_kind.items()}
+        self.letters = {kind: frozenset("".join(tokens)) for kind, tokens in by_kind.items()}
+        lengths = {kind: sorted(map(len, tokens)) for kind, tokens in by_kind.items()}
+        self.least = {kind: known[0] for kind, known in lengths.items()}
+        #: Formats whose examples are all equally long have that length; others may be longer.
+        self.fixed_length = {kind: known[0] == known[-1] for kind, known in lengths.items()}
+        self.shortest = min(self.least.values())
+        usual = sorted(sum(self._plain(t)) / len(t) for t in ordinary if len(t) > SHORT)
+        blind = [self.ordinary[a, b] for a in LETTERS_DIGITS for b in LETTERS_DIGITS]
+        self.usual = (usual[int(UNUSUAL * len(usual))] + sum(blind) / len(blind)) / 2
+
+    def _plain(self, run: str) -> list[float]:
+        """Log likelihoods of the characters as an ordinary token."""
+        return [self.ordinary[a, b] for a, b in zip("^" + run, run, strict=False)]
 
     def kind_of(self, token: str) -> str | None:
         """The most likely format, where it beats ordinary tokens clearly; ties: first by name."""
@@ -278,55 +292,66 @@ class Scanner:
         )
         return kind if best - plain >= LEAST_GAIN else None
 
-    def _stretches_of(self, kind: str, run: str, plain: list[float]) -> list:
-        """(gain, start, end, kind) of the stretches that one format explains better than ordinary
-        tokens by the least gain a character, as long as the shortest labelled example and more.
-        They begin at the format's fixed start, or where it has none, at the run's and behind
-        BEGINS."""
-        model, fixed, least = self.formats[kind], self.begin[kind], self.least[kind]
-        if len(run) < least or fixed not in run:
-            return []
-        found, totals = [], []
-        i, start, at, best = 0, -1, 0, 0.0  # no open stretch
-        while i < len(run) or start >= 0:
-            total = totals[-1] if totals else 0.0
-            floor = best - DROP if len(totals) >= least else -DROP
-            if start >= 0 and (i == len(run) or total < floor):
-                end = self._end_of(run, start, totals, least)
-                if end:
-                    found.append((totals[end - start - 1], start, end, kind))
-                    i = end
-                start, totals = -1, []
-                continue
-            begins = run.startswith(fixed, i) if fixed else i == 0 or run[i - 1] in BEGINS
-            if begins and (start < 0 or fixed and total <= 0):
-                start, totals, total, at, best = i, [], 0.0, 0, 0.0
-            if start >= 0:
-                c = run[i]
-                totals.append(total + model.log[at].get(c, model.rare) - plain[i] - LEAST_GAIN)
-                best = max(best, totals[-1])
-                at = model.next[at].get(c, at)
-            i += 1
+    def _begins(self, kind: str, run: str, reads) -> list[int]:
+        """Where a credential of a format may begin: at its fixed start behind no letter or digit;
+        without one, at the run's start or behind a character that ends ordinary tokens there."""
+        fixed, letters = self.begin[kind], self.letters[kind]
+        if not fixed:
+            return [0] + [
+                i for i in range(1, len(run))
+                if (run[i - 1] in BEGINS or run[i - 1] not in letters) and run[i] in letters and reads(0, i - 1)
+            ]
+        found, i = [], run.find(fixed)
+        while i >= 0:
+            if not i or not run[i - 1].isalnum():
+                found.append(i)
+            i = run.find(fixed, i + 1)
         return found
 
-    @staticmethod
-    def _end_of(run: str, start: int, totals: list[float], least: int) -> int:
-        """The end of greatest gain, or that of the word it stands in where the stretch got there;
-        0 without a gain."""
-        n = max(range(least, len(totals) + 1), key=lambda n: totals[n - 1], default=0)
-        if not n or totals[n - 1] < 0:
-            return 0
-        word = n
-        while word < len(totals) and run[start + word] not in BEGINS:
-            word += 1
-        there = start + word == len(run) or run[start + word] in BEGINS
-        return start + (word if there and totals[word - 1] >= 0 else n)
+    def _ends(self, kind: str, run: str, start: int, reads, gains) -> list[tuple[float, int]]:
+        """(gain, end) of the candidates from a place, at most one with a fixed start: there, the
+        end of greatest gain, moved to its word's, or of all that fits if a few characters are left."""
+        letters, least = self.letters[kind], self.least[kind]
+        model, at, total, totals = self.formats[kind], 0, 0.0, []
+        longest = start + least if self.fixed_length[kind] else len(run)
+        for i in range(start, min(longest, len(run))):
+            c = run[i]
+            if c not in letters:
+                break
+            total += model.log[at].get(c, model.rare) - gains[i]
+            totals.append(total)
+            at = model.next[at].get(c, at)
+        if len(totals) < least:
+            return []
+        if self.begin[kind]:
+            n = max(range(least, len(totals) + 1), key=lambda n: totals[n - 1])
+            while n < len(totals) and run[start + n].isalnum():  # the end of the word it is in
+                n += 1
+            n = len(totals) if len(totals) - n <= SHORT else n
+            return [(totals[n - 1], start + n)]
+        return [
+            (totals[n - 1], start + n) for n in range(least, len(totals) + 1)
+            if start + n == len(run)
+            or (run[start + n] in BEGINS or run[start + n] not in letters) and reads(start + n + 1, len(run))
+        ]
 
     def stretches(self, run: str) -> list:
-        """(start, end, kind) of the parts of a run that look like credentials, greatest gain
-        first, without overlaps."""
-        plain = [self.ordinary[a, b] for a, b in zip("^" + run, run, strict=False)]
-        found = [x for kind in self.formats for x in self._stretches_of(kind, run, plain)]
+        """(start, end, kind) of the parts of a run that a format explains better than ordinary tokens
+        by the least gain a character: greatest gain first, without overlaps."""
+        if len(run) < self.shortest:
+            return []
+        plain = self._plain(run)
+        sums = [0.0, *accumulate(plain)]
+
+        def reads(start: int, end: int) -> bool:
+            """Whether a part of the run reads like ordinary tokens."""
+            return end - start <= SHORT or sums[end] - sums[start] >= self.usual * (end - start)
+
+        gains = [x + LEAST_GAIN for x in plain]
+        found = []
+        for kind in self.formats:
+            for start in self._begins(kind, run, reads):
+                found += [(gain, start, end, kind) for gain, end in self._ends(kind, run, start, reads, gains) if gain >= 0]
         kept, used = [], bytearray(len(run))
         for _, start, end, kind in sorted(found, key=lambda x: (-x[0], x[1:])):
             if not any(used[start:end]):
@@ -334,10 +359,6 @@ class Scanner:
                 kept.append((start, end, kind))
         return kept
 
-    def _parts(self, run: str) -> list:
-        kind = self.kind_of(run)
-        return [(0, len(run), kind)] if kind else self.stretches(run)
-
     def _inferred(self, text: str, base: list) -> list:
         """Spans of inferred kinds beside the base spans. Where base spans cut a run, what they
         leave is scored by itself, and a credential found in the whole run gives its rest."""
@@ -351,6 +372,8 @@ class Scanner:
         found = []
         for m in CANDIDATE.finditer(text):
             low, high = m.span()
+            if high - low < self.shortest:
+                continue
             free, at, cut = [], low, False
             for start, end in taken[bisect_right(ends, low):]:
                 if start >= high:
@@ -360,11 +383,11 @@ class Scanner:
                 at = end
             free = [(a, b) for a, b in [*free, (at, high)] if a < b]
             if not cut:
-                found += [(low + s, 3, k, low + e) for s, e, k in self._parts(m.group())]
+                found += [(low + s, 3, k, low + e) for s, e, k in self.stretches(m.group())]
                 continue
             whole = [(low + s, low + e, k) for s, e, k in self.stretches(m.group())] if free else []
             for a, b in free:
-                own = self._parts(text[a:b]) if b - a >= LEAST_RUN else []
+                own = self.stretches(text[a:b])
                 own = [(a + s, a + e, k) for s, e, k in own]
                 rest = [(max(a, s), min(b, e), k) for s, e, k in whole if s < b and a < e]
                 own = [x for x in own if not any(s <= x[0] and x[1] <= e for s, e, _ in rest)] + rest
