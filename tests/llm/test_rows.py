@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import string
 import zlib
 from collections import Counter, defaultdict
 
@@ -66,10 +67,8 @@ def brute_kept(text, limits):
     low, high = limits.of(quality.band_of(len(data)))
     if not data or not low <= len(data) / len(compress(data)) <= high:
         return False
-    return all(
-        limits.chunk[0] <= 2048 / len(compress(data[i : i + 2048])) <= limits.chunk[1]
-        for i in range(0, len(data) - 2047, 2048)
-    )
+    pieces = [data[i : i + 2048] for i in range(0, len(data) - 2047, 2048)] + [data[-2048:]] * (len(data) >= 2048)
+    return all(limits.chunk[0] <= 2048 / len(compress(x)) <= limits.chunk[1] for x in pieces)
 
 
 def test_quality(spark, documents):
@@ -88,6 +87,29 @@ def test_quality(spark, documents):
     assert quality.quality(frame(spark, []), limits).count() == 0
 
 
+def test_the_tail_of_a_text_is_judged(spark):
+    """Prose of two pieces and a half whose last bytes repeat or can't be compressed."""
+    pick = random.Random(4)
+    words = ["".join(pick.choices("etaoinshr", k=pick.randint(2, 9))) for _ in range(900)]
+    prose = " ".join(words)[:4096]
+    noise = "".join(pick.choices(string.ascii_letters + string.digits + "+/", k=1000))
+    texts = [(1, prose + " " + " ".join(words)[4096:5000]), (2, prose + "ab " * 333), (3, prose + noise)]
+    rows = quality.measure(frame(spark, texts).select("doc_id", "text")).collect()
+    by_id = {r["doc_id"]: r for r in rows}
+    limits = quality.Limits({}, (by_id[1]["chunk_low"] - 0.05, by_id[1]["chunk_high"] + 0.05))
+    kept = {r["doc_id"] for r in quality.quality(frame(spark, texts), limits).where("bands_ok").collect()}
+    assert kept == {1}
+
+
+def test_bands_without_rows_borrow():
+    found = quality.borrowed({9: (1.2, 1.6), 10: (1.4, 1.8), 13: (1.5, 2.0)})
+    assert found.keys() == set(range(quality.LOW_BAND, quality.HIGH_BAND + 1))
+    assert found[11] == found[12] == (1.4, 2.0)
+    assert found[8] == pytest.approx((1.0, 1.6)) and found[7] == pytest.approx((0.8, 1.6))
+    assert found[14] == pytest.approx((1.5, 2.2)) and found[17] == pytest.approx((1.5, 2.8))
+    assert quality.borrowed({}) == {} and set(quality.borrowed({9: (1, 2)}).values()) == {(1, 2)}
+
+
 def test_quality_limits_keep_good_documents(spark):
     docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
     limits = quality.fit_limits(docs, labels)
