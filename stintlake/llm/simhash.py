@@ -248,7 +248,9 @@ def links(fps: DataFrame) -> DataFrame:
     A key that over BLOCK fingerprints share is cut into blocks, and every pair of blocks is
     compared in a group of its own, so no task holds more than two blocks of one key and each
     gives fewer links than it holds rows."""
-    keyed = fps.mapInArrow(_keyed, "key long, fp long")
+    # A fingerprint has some 90 keys, so few bytes of input are much work: as many tasks as may be.
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = fps.repartition(tasks, "fp").mapInArrow(_keyed, "key long, fp long")
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     # Keys that only one fingerprint has go no further.
     shared = keyed.join(sizes, "key")
