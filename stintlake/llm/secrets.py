@@ -50,6 +50,8 @@ LEAST_GAIN = 0.6
 ALPHA = 0.05
 UNSEEN = 0.02
 ALPHABET = string.ascii_letters + string.digits + "+/_=-."
+#: Texts of a batch that are redacted at a time.
+ROWS = 500
 
 
 # --- labelled credentials -------------------------------------------------------------------
@@ -472,14 +474,15 @@ def scan(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
 
 
 def _redacted(batches, scanner):
-    for batch in batches:
-        texts = []
-        for value in batch.column("text"):
-            text = value.as_py()
-            spans = scanner.spans(text)[1] if text else []
-            texts.append(redact(text, spans) if spans else text)
-        at = batch.schema.get_field_index("text")
-        yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+    for whole in batches:
+        for i in range(0, whole.num_rows, ROWS):  # a few texts at a time as Python strings
+            batch, texts = whole.slice(i, ROWS), []
+            for value in batch.column("text"):
+                text = value.as_py()
+                spans = scanner.spans(text)[1] if text else []
+                texts.append(redact(text, spans) if spans else text)
+            at = batch.schema.get_field_index("text")
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
 
 def redacted_documents(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
