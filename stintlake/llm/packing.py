@@ -23,7 +23,7 @@ SEQUENCE = 4096
 END_ID = 1
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: Words whose ids a Python worker keeps; beyond that it starts anew.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 450_000
 #: Bytes of text that are split into words at a time.
 SLICE_BYTES = 2_000_000
 #: Numbers in one length are given within so many hash groups.
