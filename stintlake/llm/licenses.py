@@ -250,9 +250,45 @@ def _texts(words: tuple[str, ...]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
+def _running(items: Column, start: Column, after, result, kind: str) -> Column:
+    """result(state, item) of every item, where after(state, item) is the state of the next one.
+
+    Items are gone through in blocks, about as many as a block has items. Arrays grow by copying,
+    so results are collected block by block: n items cost n * sqrt(n) small copies, not n * n."""
+    def block(state, part):
+        return F.aggregate(
+            part,
+            F.struct(state.alias("state"), F.array().cast(f"array<{kind}>").alias("out")),
+            lambda done, x: F.struct(
+                after(done["state"], x).alias("state"),
+                F.concat(done["out"], F.array(result(done["state"], x))).alias("out"),
+            ),
+        )
+
+    def blocks(items):
+        size = F.ceil(F.sqrt(F.size(items))).cast("int")
+        return F.when(
+            F.size(items) > 0,
+            F.transform(F.sequence(F.lit(1), F.size(items), size), lambda i: F.slice(items, i, size)),
+        ).otherwise(F.array(items))
+
+    whole = F.aggregate(
+        let(items, blocks),
+        F.struct(start.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out")),
+        lambda done, part: let(
+            block(done["state"], part),
+            lambda b: F.struct(
+                b["state"].alias("state"), F.concat(done["out"], F.array(b["out"])).alias("out")
+            ),
+        ),
+    )
+    return F.flatten(whole["out"])
+
+
 def _detections(text: Column, rules: list[Rule]) -> Column:
     """Every match of every rule of which the text holds a keyword and a context: start, end, rank,
-    rule number, label, confidence. The text is lower-cased, its white space single spaces."""
+    rule number, label, confidence. The text is lower-cased, its white space single spaces, without
+    the characters U+0001 and U+0002."""
     groups = groupby(rules, lambda r: r.keywords)
     listed = F.array(
         *[
@@ -275,34 +311,23 @@ def _detections(text: Column, rules: list[Rule]) -> Column:
     )
 
     def intervals(rule: Column) -> Column:
-        gaps = F.split(text, rule["pattern"], -1)
-        found = F.regexp_extract_all(text, rule["pattern"], F.lit(0))
-        empty = F.array().cast("array<struct<start:int,end:int>>")
-        start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-        pairs = let(
-            gaps,
-            lambda g: F.zip_with(
-                F.slice(g, 1, F.size(g) - 1),
-                found,
-                lambda gap, match: F.struct(F.length(gap).alias("gap"), F.length(match).alias("match")),
+        # One pass of the pattern: matches are set between two marks, which no rule reads.
+        parts = F.split(F.regexp_replace(text, rule["pattern"], F.lit("\x01$0\x02")), "\x01", -1)
+        lengths = let(
+            parts,
+            lambda p: F.transform(
+                p, lambda x: F.struct(F.length(x).alias("all"), F.instr(x, "\x02").alias("mark"))
             ),
         )
-        return F.aggregate(
-            pairs,
-            start,
-            lambda done, x: F.struct(
-                (done["at"] + x["gap"] + x["match"]).alias("at"),
-                F.concat(
-                    done["spans"],
-                    F.array(
-                        F.struct(
-                            (done["at"] + x["gap"]).alias("start"),
-                            (done["at"] + x["gap"] + x["match"]).alias("end"),
-                        )
-                    ),
-                ).alias("spans"),
+        return let(
+            lengths,
+            lambda found: _running(
+                F.slice(found, 2, F.size(found)),
+                found[0]["all"],
+                lambda at, x: at + x["all"] - 1,
+                lambda at, x: F.struct(at.alias("start"), (at + x["mark"] - 1).alias("end")),
+                "struct<start:int,end:int>",
             ),
-            lambda done: done["spans"],
         )
 
     def holds(words: Column) -> Column:
@@ -328,23 +353,61 @@ def _detections(text: Column, rules: list[Rule]) -> Column:
     )
 
 
-def _surviving(found: Column) -> Column:
+def _surviving(found: Column, ranks: list[int]) -> Column:
     """Without the detections that lie inside another: one of higher rank; or of equal rank and
     longer; or, for the same interval and rank, of an earlier rule. A longer one of lower rank
-    suppresses only what is of its own rank or lower."""
-
-    def inside(x: Column) -> Column:
-        def wider(y):
-            contains = (y["start"] <= x["start"]) & (y["end"] >= x["end"])
-            longer = (y["end"] - y["start"]) > (x["end"] - x["start"])
-            tie = (y["start"] == x["start"]) & (y["end"] == x["end"]) & (y["number"] < x["number"])
-            return contains & (
-                (y["rank"] > x["rank"]) | ((y["rank"] == x["rank"]) & (longer | tie))
-            )
+    suppresses only what is of its own rank or lower. In order of rules and places.
+
+    One sweep: sorted by start, then the longest, the highest rank and the earliest rule first,
+    whatever may suppress a detection stands before it. So it lies inside one just if, of those
+    before it with its rank or a higher one, some end reaches its own."""
+    kinds = "struct<start:int,back:int,under:int,number:int,label:string,confidence:double>"
+    ordered = F.array_sort(
+        F.transform(
+            found,
+            lambda x: F.struct(
+                x["start"].alias("start"), (-x["end"]).alias("back"), (-x["rank"]).alias("under"),
+                x["number"].alias("number"), x["label"].alias("label"),
+                x["confidence"].alias("confidence"),
+            ),
+        )
+    )
 
-        return F.exists(found, wider)
+    def reach(ends, x):
+        """The furthest end so far for each rank, of detections with that rank or a higher one."""
+        return F.struct(
+            *[
+                F.when(-x["under"] >= rank, F.greatest(ends[f"r{rank}"], -x["back"]))
+                .otherwise(ends[f"r{rank}"])
+                .alias(f"r{rank}")
+                for rank in ranks
+            ]
+        )
 
-    return F.filter(found, lambda x: ~inside(x))
+    def kept(ends, x):
+        own = F.coalesce(*[F.when(-x["under"] == rank, ends[f"r{rank}"]) for rank in ranks])
+        return F.when(own < -x["back"], x)
+
+    nothing = F.struct(*[F.lit(-1).alias(f"r{rank}") for rank in ranks])
+    swept = F.filter(_running(ordered, nothing, reach, kept, kinds), lambda x: x.isNotNull())
+    by_rule = F.array_sort(
+        F.transform(
+            swept,
+            lambda x: F.struct(
+                x["number"].alias("number"), x["start"].alias("start"), (-x["back"]).alias("end"),
+                (-x["under"]).alias("rank"), x["label"].alias("label"),
+                x["confidence"].alias("confidence"),
+            ),
+        )
+    )
+    return F.transform(
+        by_rule,
+        lambda x: F.struct(
+            x["start"].alias("start"), x["end"].alias("end"), x["rank"].alias("rank"),
+            x["number"].alias("number"), x["label"].alias("label"),
+            x["confidence"].alias("confidence"),
+        ),
+    )
 
 
 def scan(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
@@ -357,7 +420,7 @@ def scan(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     rules = signature_rules() if rules is None else rules
     text = F.coalesce(F.col("text"), F.lit(""))
     read = docs.select("doc_id", text.alias("text"))
-    # Single spaces stay as they are, so most of a text is only read.
+    # Single spaces stay as they are, so most of a text is only read. No rule reads U+0001 to U+0003.
     low = F.regexp_replace(F.lower("text"), r"[\t-\r]\s*| \s+", " ")
     marked = let(
         low,
@@ -378,7 +441,12 @@ def scan(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     )
     found = F.when(
         F.col("_gate.low").isNotNull(),
-        let(F.col("_gate.low"), lambda x: let(_detections(x, rules), _surviving)),
+        let(
+            F.col("_gate.low"),
+            lambda x: let(
+                _detections(F.translate(x, "\x01\x02", "\x03\x03"), rules), lambda d: _surviving(d, sorted({r.rank for r in rules}))
+            ),
+        ),
     )
     none = F.array().cast(
         "array<struct<start:int,end:int,rank:int,number:int,label:string,confidence:double>>"
