@@ -6,6 +6,7 @@ drops a match. Detections are intervals; one that lies inside another of a highe
 suppressed.
 """
 
+import json
 from dataclasses import dataclass
 from functools import reduce
 from itertools import count, groupby
@@ -246,8 +247,10 @@ def _phrase_places(text: Column, phrase: str) -> Column:
     )
 
 
-def _texts(words: tuple[str, ...]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
+RULE_GROUPS = (
+    "array<struct<keywords:array<string>,rules:array<struct<number:int,label:string,"
+    "context:array<string>,rank:int,confidence:double,pattern:string>>>>"
+)
 
 
 def _running(items: Column, start: Column, after, result, kind: str) -> Column:
@@ -289,26 +292,22 @@ def _detections(text: Column, rules: list[Rule]) -> Column:
     """Every match of every rule of which the text holds a keyword and a context: start, end, rank,
     rule number, label, confidence. The text is lower-cased, its white space single spaces, without
     the characters U+0001 and U+0002."""
-    groups = groupby(rules, lambda r: r.keywords)
-    listed = F.array(
-        *[
-            F.struct(
-                _texts(keywords).alias("keywords"),
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(r.number).alias("number"), F.lit(r.label).alias("label"),
-                            _texts(r.context).alias("context"), F.lit(r.rank).alias("rank"),
-                            F.lit(r.confidence).alias("confidence"),
-                            F.lit(rf"(?<![a-z0-9])(?:{r.pattern})(?![a-z0-9])").alias("pattern"),
-                        )
-                        for r in group
-                    ]
-                ).alias("rules"),
-            )
-            for keywords, group in groups
-        ]
-    )
+    groups = [
+        {
+            "keywords": keywords,
+            "rules": [
+                {
+                    "number": r.number, "label": r.label, "context": r.context, "rank": r.rank,
+                    "confidence": r.confidence,
+                    "pattern": rf"(?<![a-z0-9])(?:{r.pattern})(?![a-z0-9])",
+                }
+                for r in group
+            ],
+        }
+        for keywords, group in groupby(rules, lambda r: r.keywords)
+    ]
+    # One constant for all rules, which Spark reads once; a literal each would be thousands.
+    listed = F.from_json(F.lit(json.dumps(groups)), RULE_GROUPS)
 
     def intervals(rule: Column) -> Column:
         # One pass of the pattern: matches are set between two marks, which no rule reads.
@@ -444,7 +443,8 @@ def scan(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
         let(
             F.col("_gate.low"),
             lambda x: let(
-                _detections(F.translate(x, "\x01\x02", "\x03\x03"), rules), lambda d: _surviving(d, sorted({r.rank for r in rules}))
+                _detections(F.translate(x, "\x01\x02", "\x03\x03"), rules),
+                lambda d: _surviving(d, sorted({r.rank for r in rules})),
             ),
         ),
     )
