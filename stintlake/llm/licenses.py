@@ -352,6 +352,12 @@ def _detections(text: Column, rules: list[Rule]) -> Column:
     )
 
 
+def _unmarked(text: Column) -> Column:
+    """The text without the two marks; few texts hold one, the others are only searched."""
+    held = F.contains(text, F.lit("\x01")) | F.contains(text, F.lit("\x02"))
+    return F.when(held, F.translate(text, "\x01\x02", "\x03\x03")).otherwise(text)
+
+
 def _surviving(found: Column, ranks: list[int]) -> Column:
     """Without the detections that lie inside another: one of higher rank; or of equal rank and
     longer; or, for the same interval and rank, of an earlier rule. A longer one of lower rank
@@ -441,10 +447,9 @@ def scan(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     found = F.when(
         F.col("_gate.low").isNotNull(),
         let(
-            F.col("_gate.low"),
+            _unmarked(F.col("_gate.low")),
             lambda x: let(
-                _detections(F.translate(x, "\x01\x02", "\x03\x03"), rules),
-                lambda d: _surviving(d, sorted({r.rank for r in rules})),
+                _detections(x, rules), lambda d: _surviving(d, sorted({r.rank for r in rules}))
             ),
         ),
     )
