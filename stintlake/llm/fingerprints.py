@@ -1,16 +1,20 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-Text is read as words, words of over 12 characters as parts of 12. Every run of K words is
-hashed; of every WINDOW successive hashes the smallest is kept, the rightmost of equal ones, with
-its place. Two texts that share K + WINDOW - 1 successive words therefore share a kept hash.
+Text is read as words, words of over 12 characters as parts of 12. Every run of K words has a
+rolling hash, the polynomial of its words' hashes modulo 2^31 - 1; of every WINDOW successive hashes
+the smallest is kept, the rightmost of equal ones, with its place. Two texts that share
+K + WINDOW - 1 successive words therefore share a kept hash.
 """
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stintlake.llm.common import let, table
 
 WORD_PART = r"[^\x20\x09-\x0D]{1,12}"
+#: A power of two: hashes of 1, 2 and then 4 words.
 K = 4
 #: A power of two: minima over 1, 2, 4 and then 8 hashes.
 WINDOW = 8
@@ -19,6 +23,9 @@ RANGES = 4
 
 HASH_BITS = 31
 PLACE_MASK = (1 << 31) - 1
+#: The prime of the rolling hash; products of two remainders stay under 2^62.
+PRIME = (1 << 31) - 1
+BASE = 1_000_003
 
 
 def _longs(values) -> Column:
@@ -26,14 +33,32 @@ def _longs(values) -> Column:
 
 
 def _gram_hashes(hashes: Column) -> Column:
-    """A hash of every run of K word hashes; of all words where there are fewer."""
+    """The rolling hash of every run of K words, h[0] B^(K-1) + ... + h[K-1] modulo PRIME, and of
+    all words where there are fewer. Neighbouring runs share their parts: the hash of 2n words is
+    that of the first n, shifted by B^n, plus that of the next n, so each doubling is one pass."""
+
+    def doubled(found: Column, n: int) -> Column:
+        if n == K:
+            return found
+        shift, left = pow(BASE, n, PRIME), F.size(found) - n
+        joined = F.zip_with(
+            F.slice(found, F.lit(1), left),
+            F.slice(found, F.lit(1 + n), left),
+            lambda x, y: (x * F.lit(shift).cast("long") + y) % F.lit(PRIME).cast("long"),
+        )
+        return let(joined, lambda x: doubled(x, 2 * n))
+
+    words = F.transform(hashes, lambda h: F.pmod(h, F.lit(PRIME).cast("long")))
     n = F.size(hashes)
-    runs = F.transform(
-        F.sequence(F.lit(0), n - K),
-        lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(K)]),
+    few = F.aggregate(
+        words,
+        F.lit(0).cast("long"),
+        lambda done, h: (done * F.lit(BASE).cast("long") + h) % F.lit(PRIME).cast("long"),
     )
     return (
-        F.when(n >= K, runs).when(n > 0, F.array(F.xxhash64(hashes))).otherwise(_longs(None))
+        F.when(n >= K, let(words, lambda x: doubled(x, 1)))
+        .when(n > 0, F.array(few))
+        .otherwise(_longs(None))
     )
 
 
@@ -111,26 +136,34 @@ def likeness(a: Column, b: Column) -> Column:
 
 def successors(docs: DataFrame) -> tuple[DataFrame, "Window"]:
     """The documents (doc_id, text) and copies of some, with a window in which each document comes
-    right before its successor: falling doc_id, nulls last, equal ids by a hash of the text, and
-    after the last the first. Copies have `_copy` 1 and are to be dropped after use.
-
-    The ids are cut into ranges at approximate quantiles. The first document of each range is
-    copied to the end of the range before it, so windows inside ranges are enough and whole texts
-    are shuffled once. There are RANGES times the shuffle partitions of ranges at most, so their
-    firsts may go through the driver and be broadcast."""
+    right before its successor: falling doc_id, nulls last (as the least id there can be), equal
+    ids by a hash of the text, and after the last the first. Copies have `_copy` 1 and are to be
+    dropped after use.
+
+    The ids are cut into ranges at approximate quantiles; an id (or null) that stands at several
+    of them holds many rows, and its rows are cut into as many ranges by the hash of the text. The
+    first document of each range is copied to the end of the range before it, so windows inside
+    ranges are enough and whole texts are shuffled once. There are RANGES times the shuffle
+    partitions of ranges at most, so their firsts may go through the driver and be broadcast."""
     spark = docs.sparkSession
     ranges = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Rises as the id falls.
+    down = F.coalesce(F.bitwise_not(F.col("doc_id").cast("long")), F.lit((1 << 63) - 1))
     shares = [i / ranges for i in range(1, ranges)]
-    cuts = {~int(c) for c in docs.approxQuantile("doc_id", shares, 0.25 / ranges)}
-    below = F.array(*[F.lit(c).cast("long") for c in sorted(cuts)]).cast("array<bigint>")
-    down = F.bitwise_not(F.col("doc_id").cast("long"))  # rises as the id falls
-    place = F.size(F.filter(below, lambda c: c < down))
+    found = docs.agg(F.percentile_approx(down, shares, 20 * ranges).alias("cuts")).first()["cuts"]
+    cuts = []
+    for value, times in sorted(Counter(found or []).items()):
+        cuts.append((value, -(1 << 63)))
+        cuts += [(value, (k << 64) // times - (1 << 63)) for k in range(1, times)]
+    kind = "array<struct<down:bigint,tie:bigint>>"
+    below = F.array(
+        *[F.struct(F.lit(d).alias("down"), F.lit(t).alias("tie")) for d, t in cuts]
+    ).cast(kind)
+    tie = F.xxhash64("text")
+    here = F.struct(down.alias("down"), tie.alias("tie"))
+    place = F.size(F.filter(below, lambda c: c <= here))
     rows = docs.select(
-        "doc_id",
-        "text",
-        F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(place).alias("_range"),
-        F.coalesce(down, F.lit(0).cast("long")).alias("_down"),
-        F.xxhash64("text").alias("_tie"),
+        "doc_id", "text", place.alias("_range"), down.alias("_down"), tie.alias("_tie")
     )
     heads = (
         rows.groupBy("_range").agg(F.min(F.struct("_down", "_tie")).alias("h")).orderBy("_range")
