@@ -15,8 +15,12 @@ MARKS = r"^(?:[ \t]*>)+"
 QUOTED = r"(?m)^[ \t]*>"
 #: A line that only announces a quote.
 ANNOUNCED = r"(?i)^\s*on .{1,200} wrote:\s*$"
-#: Words of a run by which trimmed quotes are found.
+#: Words of a run by which trimmed quotes are found; shorter quotes are runs of their own.
 RUN = 4
+#: A trimmed quote has one of so many of its units at least in the message it is linked to.
+SHARE = 4
+#: What counts as a word in units: marks and punctuation at a cut don't.
+UNIT_WORD = r"[\p{L}\p{N}\p{M}]+"
 
 
 def normalised(text: Column) -> Column:
@@ -27,20 +31,33 @@ def passage_key(text: Column) -> Column:
     return F.md5(normalised(text))
 
 
-def _units(text: Column) -> Column:
-    """Hashes of a text's lines and of all its runs of RUN words, also across lines."""
-    lines = F.filter(F.transform(F.split(text, "\n", -1), normalised), lambda x: x != "")
-    runs = let(
-        F.split(normalised(text), " "),
-        lambda words: F.when(
-            F.size(words) >= RUN,
-            F.transform(
-                F.sequence(F.lit(1), F.size(words) - (RUN - 1)),
-                lambda i: F.array_join(F.slice(words, i, RUN), " "),
-            ),
-        ).otherwise(F.array().cast("array<string>")),
-    )
-    return F.array_distinct(F.transform(F.concat(lines, runs), lambda x: F.xxhash64(x)))
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(UNIT_WORD), F.lit(0))
+
+
+def _runs(words: Column, length: int) -> Column:
+    return F.when(
+        F.size(words) >= length,
+        F.transform(
+            F.sequence(F.lit(1), F.size(words) - (length - 1)),
+            lambda i: F.array_join(F.slice(words, i, length), " "),
+        ),
+    ).otherwise(F.array().cast("array<string>"))
+
+
+def _units(text: Column, quoted: bool) -> Column:
+    """Hashes of a text's lines and of all its runs of RUN words, also across lines. A quote of
+    fewer words is one run; originals have their shorter runs too, so that it is found."""
+    lines = F.transform(F.split(text, "\n", -1), lambda line: F.array_join(_words(line), " "))
+    if quoted:
+        runs = let(
+            _words(text),
+            lambda w: F.when(F.size(w) < RUN, F.array(F.array_join(w, " "))).otherwise(_runs(w, RUN)),
+        )
+    else:
+        runs = let(_words(text), lambda w: F.concat(*[_runs(w, n) for n in range(1, RUN + 1)]))
+    named = F.filter(F.concat(lines, runs), lambda x: x != "")
+    return F.array_distinct(F.transform(named, lambda x: F.xxhash64(x)))
 
 
 def _levels(text: Column) -> Column:
@@ -60,22 +77,22 @@ def _levels(text: Column) -> Column:
 def _passages(lines: Column) -> Column:
     """Quoted passages (level, words) in their order: runs of lines of one level; empty ones left
     out. A blank quoted line ends a passage, as a blank line ends a paragraph."""
-    none = F.array().cast("array<struct<level:int,words:string>>")
-
-    def add(done: Column, line: Column) -> Column:
-        last = F.element_at(done, -1)
-        goes_on = (F.size(done) > 0) & (last["level"] == line["level"]) & (line["words"] != "")
-        joined = F.struct(
-            line["level"].alias("level"),
-            F.concat_ws("\n", F.nullif(last["words"], F.lit("")), line["words"]).alias("words"),
-        )
-        before = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
-        return F.when(goes_on, F.concat(before, F.array(joined))).otherwise(
-            F.concat(done, F.array(line))
+    n = F.size(lines)
+    above = F.concat(F.array(F.lit(-1)), F.slice(F.transform(lines, lambda x: x["level"]), F.lit(1), n - 1))
+    fresh = F.zip_with(lines, above, lambda x, level: (x["level"] != level) | (x["words"] == ""))
+    begins = F.array_compact(F.transform(fresh, lambda new, i: F.when(new, i)))
+
+    def cut(first: Column, end: Column) -> Column:
+        words = F.transform(F.slice(lines, first + 1, end - first), lambda x: x["words"])
+        return F.struct(
+            F.get(lines, first)["level"].alias("level"),
+            F.array_join(F.filter(words, lambda x: x != ""), "\n").alias("words"),
         )
 
-    runs = F.aggregate(lines, none, lambda done, line: F.when(
-        F.size(done) == 0, F.array(line)).otherwise(add(done, line)))
+    runs = let(
+        begins,
+        lambda b: F.zip_with(b, F.concat(F.slice(b, F.lit(2), F.size(b)), F.array(n)), cut),
+    )
     return F.filter(runs, lambda p: (p["level"] > 0) & (p["words"] != ""))
 
 
@@ -96,7 +113,7 @@ def parsed(messages: DataFrame) -> DataFrame:
             let(_levels(text), _passages),
             lambda p: F.struct(
                 p["level"].alias("level"), passage_key(p["words"]).alias("key"),
-                _units(p["words"]).alias("units"),
+                _units(p["words"], quoted=True).alias("units"),
             ),
         ),
     ).otherwise(F.array().cast("array<struct<level:int,key:string,units:array<bigint>>>"))
@@ -144,7 +161,7 @@ def reply_links(messages: DataFrame) -> DataFrame:
 
 def _trimmed_links(messages: DataFrame, whole: DataFrame) -> DataFrame:
     """(conv_id, key, turn, level, origin) of the passages that are not in `whole`: the earlier
-    message that is the first with most of their units, with half of them at least; the first of
+    message that is the first with most of their units, with one of SHARE at least; the first of
     equal ones. Only messages of conversations with such passages are cut into units."""
     names = ["conv_id", "turn", "level", "key"]
     missing = stored(
@@ -158,7 +175,7 @@ def _trimmed_links(messages: DataFrame, whole: DataFrame) -> DataFrame:
     )
     origins = (
         messages.join(missing.select("conv_id").distinct(), "conv_id", "left_semi")
-        .select("conv_id", "turn", F.explode(_units(F.col("own_text"))).alias("unit"))
+        .select("conv_id", "turn", F.explode(_units(F.col("own_text"), quoted=False)).alias("unit"))
         .join(missing.select("conv_id", "unit").distinct(), ["conv_id", "unit"], "left_semi")
         .groupBy("conv_id", "unit")
         .agg(F.min("turn").alias("origin"))
@@ -174,7 +191,7 @@ def _trimmed_links(messages: DataFrame, whole: DataFrame) -> DataFrame:
     all_units = missing.groupBy(*names).agg(F.count(F.lit(1)).alias("n_units"))
     return (
         agreed.join(all_units, names)
-        .where("2 * most.n >= n_units")
+        .where(f"{SHARE} * most.n >= n_units")
         .select("conv_id", "key", "turn", "level", (-F.col("most.back")).alias("origin"))
     )
 
@@ -263,7 +280,7 @@ WITH RECURSIVE lines AS (
   SELECT id, conv_id, turn, level, run, string_agg(nullif(words, ''), chr(10) ORDER BY n) AS words
   FROM runs GROUP BY ALL HAVING level > 0 AND words IS NOT NULL
 ), quotes AS (
-  SELECT id, conv_id, turn, level, md5(trim(regexp_replace(lower(words), '\s+', ' ', 'g'))) AS key FROM passages
+  SELECT id, conv_id, turn, level, words, md5(trim(regexp_replace(lower(words), '\s+', ' ', 'g'))) AS key FROM passages
 ), own AS (
   SELECT id, conv_id, turn, role, CASE WHEN regexp_matches(text, '(?m)^[ \t]*>') THEN
     trim(array_to_string([x FOR x IN string_split(text, chr(10)) IF NOT regexp_matches(x, '^(?:[ \t]*>)+')
@@ -275,9 +292,44 @@ WITH RECURSIVE lines AS (
   WHERE regexp_matches(unit, '\S')
 ), origins AS (
   SELECT conv_id, key, min(turn) AS origin FROM held GROUP BY ALL
-), found AS (
+), whole AS (
   SELECT DISTINCT q.id, q.conv_id, q.turn, q.level, q.key, o.origin
   FROM quotes q JOIN origins o USING (conv_id, key) WHERE o.origin < q.turn
+), trimmed AS (
+  SELECT q.conv_id, q.turn, q.level, q.key, string_split(q.words, chr(10)) AS ls,
+         regexp_extract_all(lower(q.words), '[\p{L}\p{N}\p{M}]+') AS w
+  FROM quotes q ANTI JOIN whole f ON f.conv_id = q.conv_id AND f.turn = q.turn AND f.level = q.level AND f.key = q.key
+), units AS (
+  SELECT DISTINCT conv_id, turn, level, key, unit FROM (
+    SELECT conv_id, turn, level, key, unnest(list_concat(
+      [array_to_string(regexp_extract_all(lower(x), '[\p{L}\p{N}\p{M}]+'), ' ') FOR x IN ls],
+      CASE WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+           ELSE [array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)] END)) AS unit
+    FROM trimmed) WHERE unit <> ''
+), own_cut AS (
+  SELECT conv_id, turn, string_split(text, chr(10)) AS ls,
+         regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}]+') AS w
+  FROM own
+), own_units AS (
+  SELECT conv_id, turn, unnest(list_concat(
+    [array_to_string(regexp_extract_all(lower(x), '[\p{L}\p{N}\p{M}]+'), ' ') FOR x IN ls],
+    flatten([[array_to_string(w[i:i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)] FOR k IN [1, 2, 3, 4]]))) AS unit
+  FROM own_cut
+), unit_origins AS (
+  SELECT conv_id, unit, min(turn) AS origin FROM own_units WHERE unit <> '' GROUP BY ALL
+), agreed AS (
+  SELECT u.conv_id, u.turn, u.level, u.key, o.origin, count(*) AS n
+  FROM units u JOIN unit_origins o USING (conv_id, unit) WHERE o.origin < u.turn GROUP BY ALL
+), best AS (
+  SELECT conv_id, turn, level, key, origin, n FROM agreed
+  QUALIFY row_number() OVER (PARTITION BY conv_id, turn, level, key ORDER BY n DESC, origin) = 1
+), sizes AS (
+  SELECT conv_id, turn, level, key, count(*) AS n_units FROM units GROUP BY ALL
+), found AS (
+  SELECT conv_id, turn, level, origin FROM whole
+  UNION ALL
+  SELECT b.conv_id, b.turn, b.level, b.origin FROM best b JOIN sizes USING (conv_id, turn, level, key)
+  WHERE 4 * b.n >= n_units
 ), links AS (
   SELECT conv_id, turn, arg_max(origin, -level * 1000000000 + origin) AS reply_to, count(*) AS n_linked
   FROM found GROUP BY ALL
