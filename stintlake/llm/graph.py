@@ -12,7 +12,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     Large-star and small-star rounds: every node's larger neighbours, then every node and its
     smaller neighbours, are linked to the smallest node among them. Minima are partial aggregates,
     so a hub with any number of links never meets in one task as a list, and as they are stored
-    before they are joined back, the join may split a hub's links. Each round is written to the
+    before they are joined back, the join may split a hub's links. They grow with the input, so the
+    joins are named and broadcast nothing. Each round is written to the
     shared folder; the rounds end when a round changes nothing, about the logarithm of the
     longest path. Links to itself and repeated links may occur. No links: no rows."""
     now = stored(links.select("a", "b").where("a <> b").distinct(), "links")
@@ -23,13 +24,13 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
             both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least")), "least"
         )
         large = (
-            both.where("b > a").join(near, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
+            both.where("b > a").join(near.hint("merge"), "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
         )
         down = stored(large.where("a <> b").distinct(), "links")
         # Every link now goes from the larger node to the smaller.
         lowest = stored(down.groupBy("a").agg(F.min("b").alias("least")), "lowest")
         small = (
-            down.join(lowest, "a")
+            down.join(lowest.hint("merge"), "a")
             .select(F.explode(F.array("a", "b")).alias("a"), F.col("least").alias("b"))
             .where("a <> b")
             .distinct()

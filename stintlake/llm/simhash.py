@@ -252,8 +252,9 @@ def links(fps: DataFrame) -> DataFrame:
     tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = fps.repartition(tasks, "fp").mapInArrow(_keyed, "key long, fp long")
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    # Keys that only one fingerprint has go no further.
-    shared = keyed.join(sizes, "key")
+    # Keys that only one fingerprint has go no further. There are more keys than fingerprints, which
+    # Spark's size of the frame doesn't tell, so the join is named: no broadcast.
+    shared = keyed.join(sizes.hint("merge"), "key")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
     pairs = F.transform(
@@ -274,13 +275,13 @@ def _classed(docs: DataFrame, *own: str) -> DataFrame:
     whatever the number of their documents; root names the component also where ids are null."""
     rows = stored(fingerprinted(docs.select(*own, "text")), "fingerprints")
     nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    found = components(links(nodes.select("fp")))
+    found = components(links(nodes.select("fp"))).hint("merge")  # as many rows as there are texts
     rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = stored(rooted.join(ids, "root").select("fp", "root", "component_id"), "classes")
-    return rows.join(classes, "fp")
+    classes = rooted.join(ids.hint("merge"), "root").select("fp", "root", "component_id")
+    return rows.join(stored(classes, "classes").hint("merge"), "fp")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -303,7 +304,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best")
     )
     winners = best.select(F.col("best.key").alias("key"))
-    kept = keyed.join(winners, "key", "left_semi").dropDuplicates(["key"])
+    kept = keyed.join(winners.hint("merge"), "key", "left_semi").dropDuplicates(["key"])
     return kept.select(*plain.columns).toDF(*docs.columns)
 
 

@@ -194,6 +194,16 @@ def near_texts():
     return [*texts, (1000, None), (1001, ""), (1002, " \n"), (1003, "One two"), (1003, "One two")]
 
 
+def test_no_join_that_grows_with_the_input_is_broadcast(spark, capsys):
+    """However small Spark takes the fingerprints to be: each has some 90 keys."""
+    docs = spark.createDataFrame([(i, f"a {i % 7}") for i in range(30)], "doc_id long, text string")
+    fps = simhash.fingerprinted(docs)
+    for plan in (simhash.links(fps.select("fp").distinct()), simhash.near_duplicates(docs), simhash.one_of_each(docs)):
+        plan.explain()
+        shown = capsys.readouterr().out
+        assert "SortMergeJoin" in shown and "Broadcast" not in shown
+
+
 def test_near_duplicates(spark):
     texts = near_texts()
     fps = [brute_fingerprint(t) for _, t in texts]
