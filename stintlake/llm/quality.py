@@ -14,7 +14,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stintlake.llm.common import numbered, table
+from stintlake.functions.groups import exact_quantiles
+from stintlake.llm.common import numbered, stored, table
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -23,8 +24,8 @@ CHUNK = 2048
 LEVEL = 3
 #: Bands of length: powers of two of the bytes, 2 ** 7 and less to 2 ** 17 and more.
 LOW_BAND, HIGH_BAND = 7, 17
-#: At most so many labelled rows, those with the smallest hash, set the limits.
-LABELLED_ROWS = 20_000
+#: Ratios are counted in bins of this width before those of a bin are sorted.
+RATIO_BIN = 0.001
 #: The share of good rows that each limit leaves inside, and room beyond it as a share of the
 #: distance from their median.
 INSIDE = 0.999
@@ -159,45 +160,49 @@ def measure(docs: DataFrame, column: str = "text") -> DataFrame:
     return docs.mapInArrow(partial(_measured, column=column), f"{fields}, {MEASURES}")
 
 
-def fit_limits(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Limits:
-    """Limits from at most `rows` documents labelled good (quality 1), the smallest hashes first.
+def fit_limits(docs: DataFrame, labels: DataFrame) -> Limits:
+    """Limits from all documents labelled good (quality 1)."""
+    return limits_of(stored_measures(docs), labels)
 
-    The sample is bounded by `rows`, so it may be broadcast and its quantiles come to the driver,
-    a few per band. Without labelled rows the generous limits hold."""
-    good = (
-        labels.where("quality = 1")
-        .groupBy("doc_id")
-        .agg(F.first("quality").alias("_good"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(rows)
-        .select("doc_id")
-    )
-    chosen = docs.select("doc_id", "text").join(F.broadcast(good), "doc_id", "left_semi")
-    clean = measure(chosen).where(~_base_failed())
+
+def stored_measures(docs: DataFrame) -> DataFrame:
+    """doc_id and the measures of every document, kept, as they are read several times."""
+    return stored(measure(docs.select("doc_id", "text")).drop("text"), "measures")
+
+
+def limits_of(measured: DataFrame, labels: DataFrame) -> Limits:
+    """Limits from measured documents, all that are labelled good. Their quantiles are exact and no
+    task holds a band; three for each band come to the driver. Without labelled rows the generous
+    limits hold."""
+    # Labels grow with the documents: no broadcast.
+    good = labels.where("quality = 1").select("doc_id").distinct().hint("merge")
+    clean = measured.join(good, "doc_id", "left_semi").where(~_base_failed())
     band = F.greatest(
         F.lit(LOW_BAND), F.least(F.lit(HIGH_BAND), F.length(F.bin("n_bytes")) - 1)
     )
-    ends = F.array(F.lit(1 - INSIDE), F.lit(0.5), F.lit(INSIDE))
     chunks = F.col("n_bytes") >= CHUNK
-    found = (
-        clean.withColumn("band", band.cast("int"))
-        .rollup("band")
-        .agg(
-            F.grouping("band").alias("all"),
-            F.count(F.lit(1)).alias("n"),
-            F.percentile("ratio", ends).alias("whole"),
-            F.count(F.when(chunks, 1)).alias("n_chunk"),
-            F.percentile(F.when(chunks, F.col("chunk_low")), ends).alias("low"),
-            F.percentile(F.when(chunks, F.col("chunk_high")), ends).alias("high"),
+
+    def value(kind, at, name, there):
+        return F.when(there, F.struct(F.lit(kind).alias("kind"), at.alias("band"), F.col(name).alias("value")))
+
+    values = F.array_compact(
+        F.array(
+            value("whole", band.cast("int"), "ratio", F.lit(True)),
+            value("low", F.lit(0), "chunk_low", chunks),
+            value("high", F.lit(0), "chunk_high", chunks),
         )
-        .collect()
     )
-    whole = {r["band"]: roomy(*r["whole"]) for r in found if not r["all"] and r["n"] >= FEWEST}
-    chunk = next(
-        ((roomy(*r["low"])[0], roomy(*r["high"])[1]) for r in found
-         if r["all"] and r["n_chunk"] >= FEWEST),
-        GENEROUS,
-    )
+    rows = stored(clean.select(F.inline(values)), "ratios")
+    by = ["kind", "band"]
+    ends = {"least": 1 - INSIDE, "middle": 0.5, "most": INSIDE}
+    found = exact_quantiles(rows, by, "value", ends, RATIO_BIN)
+    counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    known = {
+        (r["kind"], r["band"]): roomy(r["least"], r["middle"], r["most"])
+        for r in found.join(counts, by).where(F.col("n") >= FEWEST).collect()
+    }
+    whole = {at: ends for (kind, at), ends in known.items() if kind == "whole"}
+    chunk = (known["low", 0][0], known["high", 0][1]) if ("low", 0) in known else GENEROUS
     return Limits(borrowed(whole), chunk)
 
 
@@ -243,8 +248,8 @@ def kept_documents(docs: DataFrame, limits: Limits) -> DataFrame:
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    limits = fit_limits(docs, table(spark, sf_dir, "labels"))
-    return quality(docs, limits).select(
+    measured = stored_measures(table(spark, sf_dir, "documents"))
+    limits = limits_of(measured, table(spark, sf_dir, "labels"))
+    return judge(measured, limits).select(
         "doc_id", *COUNTS, "base_failed", "kept", "ratio", "chunk_low", "chunk_high"
     )

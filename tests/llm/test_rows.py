@@ -123,6 +123,21 @@ def test_quality_limits_keep_good_documents(spark):
 # --- licenses -------------------------------------------------------------------------------
 
 
+def test_limits_come_from_all_labelled_rows(spark):
+    """The quantiles of 24,000 good ones in one band, whichever are hashed first; bad ones don't count."""
+    rows = [(i, 100, 0, 300, 1 + (i * 7919 % 24000) / 10000, 1.0, 1.0) for i in range(25000)]
+    measured = spark.createDataFrame(
+        rows, "doc_id long, n_words long, n_repeat_words long, n_bytes long, ratio double, "
+        "chunk_low double, chunk_high double",
+    )
+    labels = measured.selectExpr("doc_id", "int(doc_id < 24000) AS quality")
+    limits = quality.limits_of(measured, labels.union(labels))
+    ratios = sorted(r[4] for r in rows if r[0] < 24000)
+    wanted = quality.roomy(*np.quantile(ratios, [1 - quality.INSIDE, 0.5, quality.INSIDE]))
+    assert limits.whole[8] == pytest.approx(wanted, abs=1e-9)
+    assert limits.chunk == quality.GENEROUS
+
+
 def brute_base(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
