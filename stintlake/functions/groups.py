@@ -3,15 +3,18 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stintlake.functions import ordered
 
-
-def number_rows(df: DataFrame, keys: list[str], piece: str, order: list, name: str) -> DataFrame:
+def number_rows(
+    df: DataFrame, keys: list[str], piece: str, order: list, name: str, known: DataFrame | None = None
+) -> DataFrame:
     """1-based position of each row in its group, ordered by `piece` and then `order`.
 
     A group is numbered piece by piece, in as many tasks; the start of each piece comes from the
-    row counts of the earlier ones. `piece` must not be null and must rise with the wanted order.
-    """
+    row counts of the earlier ones. `piece` must rise with the wanted order. The starts are dealt
+    and sorted with the rows, so these move once and are joined with nothing.
+
+    `known` has one row for some of the values of key columns that it shares: its other columns are
+    added, and rows without a match are left out. It meets the starts, not the rows."""
     earlier = Window.partitionBy(*keys).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         df.groupBy(*keys, piece)
@@ -19,12 +22,23 @@ def number_rows(df: DataFrame, keys: list[str], piece: str, order: list, name: s
         .withColumn("_start", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
         .drop("_rows")
     )
-    within = Window.partitionBy(*keys, piece).orderBy(*order)
-    numbered = df.withColumn("_in_piece", F.row_number().over(within))
+    added = []
+    if known is not None:
+        shared = [key for key in keys if key in known.columns]
+        added = [column for column in known.columns if column not in shared]
+        starts = starts.join(known, shared)
+    begins = F.struct("_start", *added)
+    rows = df.withColumn("_begins", F.lit(None).cast(starts.select(begins).schema[0].dataType))
+    firsts = starts.select(*keys, piece, begins.alias("_begins"))
+    within = Window.partitionBy(*keys, piece).orderBy(F.col("_begins").isNull(), *order)
+    sofar = within.rowsBetween(Window.unboundedPreceding, 0)
     return (
-        ordered.joined(numbered, starts, [*keys, piece])
-        .withColumn(name, (F.col("_start") + F.col("_in_piece")).cast("int"))
-        .drop("_in_piece", "_start")
+        rows.unionByName(firsts, allowMissingColumns=True)
+        .withColumn("_place", F.row_number().over(within))
+        .withColumn("_known", F.first("_begins").over(sofar))
+        .where(F.col("_begins").isNull() & F.col("_known").isNotNull())
+        .withColumn(name, (F.col("_known._start") + F.col("_place") - 1).cast("int"))
+        .select(*df.columns, name, *[F.col(f"_known.{column}").alias(column) for column in added])
     )
 
 

@@ -65,6 +65,27 @@ def test_building_a_plan_starts_no_job(spark):
     spark.sparkContext.setJobGroup("", "")
 
 
+def test_rows_to_number_are_joined_with_nothing(spark, skewed, capsys):
+    number_rows(skewed[0], ["g"], "bucket", ["v", "id"], "n").explain()
+    assert "Join" not in capsys.readouterr().out
+
+
+def test_numbered_rows_get_what_is_known_of_their_group(spark):
+    """Null keys and pieces are groups of their own; rows that nothing is known of are left out."""
+    rows = [("a", 1, 5), ("a", 1, 4), ("a", 2, 3), ("b", 1, 2), (None, 1, 1), ("a", None, 9)]
+    df = spark.createDataFrame(rows, "g string, piece int, v int")
+    plain = number_rows(df, ["g"], "piece", ["v"], "n").collect()
+    assert {(r.g, r.v): r.n for r in plain} == {
+        ("a", 9): 1, ("a", 4): 2, ("a", 5): 3, ("a", 3): 4, ("b", 2): 1, (None, 1): 1
+    }
+    known = spark.createDataFrame([("a", [7, 8]), ("c", [1]), (None, [2])], "g string, x array<int>")
+    found = number_rows(df, ["g"], "piece", ["v"], "n", known)
+    assert found.columns == [*df.columns, "n", "x"]
+    assert {(r.g, r.v): (r.n, tuple(r.x)) for r in found.collect()} == {
+        ("a", v): (n, (7, 8)) for n, v in enumerate([9, 4, 5, 3], 1)
+    }
+
+
 @pytest.mark.parametrize("width", [0.5, 1000.0, 1e9])
 def test_quantiles_are_exact(spark, skewed, width):
     df, rows = skewed
