@@ -24,11 +24,12 @@ def rule_107(laps: DataFrame, by: list[str]) -> DataFrame:
     """Keeps the laps within 107% of the median lap time of their group.
 
     Lap times come in whole milliseconds, so a group has some 100,000 different ones at most:
-    they are counted first, and the median is taken from the counts."""
+    they are counted first, and the median is taken from the counts. A group is a circuit or a race,
+    so the medians are broadcast and no lap moves."""
     times = laps.groupBy(*by, "LapTime").agg(F.count(F.lit(1)).alias("_laps"))
     medians = times.groupBy(*by).agg(F.percentile("LapTime", 0.5, F.col("_laps")).alias("_median"))
     return (
-        laps.join(medians, by)
+        laps.join(F.broadcast(medians), by)
         .where(F.col("LapTime") <= F.col("_median") * F.lit(K.PACE_LIMIT))
         .drop("_median")
     )
@@ -78,7 +79,7 @@ def fuel_adjust(laps: DataFrame, by: list[str]) -> DataFrame:
     totals = laps.groupBy(*by).agg(F.max("LapNumber").alias("_total"))
     fuel = F.lit(K.FUEL_SECONDS_PER_LAP)
     return (
-        laps.join(totals, by)
+        laps.join(F.broadcast(totals), by)
         .withColumn(
             "LapTimeFuelAdj", F.col("LapTime") - fuel * (F.col("_total") - F.col("LapNumber"))
         )
@@ -104,7 +105,7 @@ def warehouse_laps(laps: DataFrame, names: DataFrame, compat: bool = False) -> D
     timed = laps.where(F.col("LapTime").isNotNull())
     paced = pace_delta(rule_107(timed, K.RACE), K.RACE, "DeltaRitmo")
     named = paced.join(
-        names.select(F.col("slug").alias("GrandPrix"), F.col("nombre").alias("_name")),
+        F.broadcast(names.select(F.col("slug").alias("GrandPrix"), F.col("nombre").alias("_name"))),
         "GrandPrix",
         "left",
     )

@@ -70,7 +70,8 @@ def holdout_split(df: DataFrame, name: str | None = None) -> DataFrame:
     if name is not None:
         return df.withColumn("validation", F.col("GrandPrix") == name)
     chosen = holdout_circuit(df).select(*ERA, F.col("GrandPrix").alias("_kept"))
-    return df.join(chosen, ERA).withColumn("validation", F.col("GrandPrix") == F.col("_kept")).drop("_kept")
+    # A row per era: broadcast, as joined by era all rows of one would meet in a task.
+    return df.join(F.broadcast(chosen), ERA).withColumn("validation", F.col("GrandPrix") == F.col("_kept")).drop("_kept")
 
 
 def random_holdout(df: DataFrame, seed: int = 42, share: float = 0.2) -> DataFrame:
@@ -139,7 +140,7 @@ def evaluate(
     scored = split.where(F.col("validation"))
     if model is not None:
         scored = model.transform(scored)
-    scored = scored.join(stats.select(*ERA, "_mean"), ERA)
+    scored = scored.join(F.broadcast(stats.select(*ERA, "_mean")), ERA)
     predicted = F.col("_mean") if model is None else F.col("prediction")
     errors = scored.groupBy(*ERA).agg(
         F.avg(F.abs(F.col(target) - F.col("_mean"))).alias("baseline"),

@@ -346,7 +346,9 @@ def _training(spark, sf):
 
 
 def _training_rows(spark, sf):
-    return stored(spark, sf, "training", lambda: _training(spark, sf))
+    """What splits, models and their error use of the rows."""
+    used = ["era", *K.LAP, "TyreLife", "Stint", *wear_model.compound_columns(K.DRY_COMPOUNDS), K.MODEL_TARGET]
+    return stored(spark, sf, "training", lambda: _training(spark, sf).select(*used))
 
 
 def _split(spark, sf):

@@ -152,3 +152,27 @@ def test_lower_error_than_the_mean(spark):
     r = wear_model.evaluate(model, df, "y").first()
     assert r["better"] and r["gain_pct"] > 50 and r["training_laps"] == 1600
     assert 0.2 < r["mae"] < 0.3  # the noise is uniform on 0 to 1: 0.25
+
+
+def test_laps_do_not_meet_by_race_or_era(spark, capsys):
+    """Medians, the names of races, the held-out circuit and the means of eras are a few rows: joined with
+    a shuffle, all laps of an era or race would be one task's."""
+    from stintlake.operators import pace, wear_model
+
+    laps = spark.range(50).selectExpr(
+        "string(id % 2) AS era", "int(2000 + id % 4) AS Year", "string(id % 3) AS GrandPrix", "string(id % 5) AS Driver",
+        "int(id) AS LapNumber", "1 AS TyreLife", "1 AS Stint", "80.0D + id AS LapTime",
+        "double(id) AS LapTimeDelta",
+    )
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        split = wear_model.holdout_split(laps)
+        for found in (
+            pace.rule_107(laps, ["Year", "GrandPrix"]), pace.fuel_adjust(laps, ["Year", "GrandPrix"]), split,
+        ):
+            found.explain()
+            shown = capsys.readouterr().out
+            assert "BroadcastHashJoin" in shown and "SortMergeJoin" not in shown
+        assert {(r.era, r.GrandPrix) for r in split.where("validation").collect()} == {("0", "0"), ("1", "1")}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
