@@ -140,3 +140,17 @@ def test_warehouse_tables_change_in_one_step(spark, monkeypatch):
         assert len(kept) == 2
     finally:
         spark.sql("DROP DATABASE check_steps CASCADE")
+
+
+def test_folders_are_listed_in_one_call(spark, tmp_path, monkeypatch):
+    """Not with calls for each, of which a lake with a folder per driver would need thousands."""
+    names = sorted(["Driver=a, b", "Driver=c%2Fd", "Driver=ñ", *[f"Driver=D{n}" for n in range(500)]])
+    for name in names:
+        (tmp_path / name).mkdir()
+    client, calls = type(spark.sparkContext._gateway._gateway_client), []
+    plain = client.send_command
+    monkeypatch.setattr(client, "send_command", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    found = folders.listed(spark, f"{tmp_path}/Driver=*")
+    assert len(calls) < 200
+    assert sorted(path.rsplit("/", 1)[1] for path in found) == names and found == sorted(found)
+    assert folders.listed(spark, f"{tmp_path}/Team=*") == folders.listed(spark, f"{tmp_path}/none") == []
