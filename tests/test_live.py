@@ -77,3 +77,59 @@ def test_silent_cars_are_closed_and_too_late_samples_left_out(spark, tmp_path):
     laps = {(r.Driver, r.LapNumber): r for r in live.read_laps(spark, f"{tmp_path}/laps").collect()}
     assert (laps["AAA", 1].status, laps["AAA", 1].samples) == ("closed", 2)
     assert laps["BBB", 1].samples == 2
+
+
+def test_states_do_not_grow_with_the_cars(spark, tmp_path):
+    cars = [f"C{number:04d}" for number in range(3000)]
+    samples = [made(car, lap, 10 * lap, 50.0 + lap) for car in cars for lap in (1, 2)]
+    spark.createDataFrame(samples, live.SAMPLES).coalesce(2).write.parquet(f"{tmp_path}/samples")
+    query = live.follow(spark, f"{tmp_path}/samples", f"{tmp_path}/laps", f"{tmp_path}/seen")
+    query.awaitTermination()
+    states = [state.numRowsTotal for progress in query.recentProgress for state in progress.stateOperators]
+    assert 0 < max(states) <= 1024
+    laps = live.read_laps(spark, f"{tmp_path}/laps").collect()
+    statuses = {(r.Driver, r.LapNumber): (r.status, r.version, r.samples) for r in laps}
+    assert statuses == {
+        (car, lap): ("closed" if lap == 1 else "open", 1, 1) for car in cars for lap in (1, 2)
+    }
+
+
+def test_cars_of_a_share_are_closed_and_forgotten_one_by_one(spark, tmp_path):
+    hour = 3600
+    groups = [
+        [made("AAA", 1, 0), made("AAA", 1, 5), made("AAA", 2, 7, None), made("BBB", 1, hour // 2, None)],
+        [made("BBB", 1, 3 * hour)], [made("BBB", 2, 3 * hour + 1)], [made("AAA", 1, 6)],
+        [made("AAA", 1, 3 * hour + 2), made("BBB", 2, 3 * hour + 30)],
+        [made("CCC", 1, 9 * hour)],
+    ]
+    run(spark, str(tmp_path), groups, horizon_s=hour, shares=1)
+    history = live.read_history(spark, f"{tmp_path}/laps").collect()
+    rows = {}
+    for r in sorted(history, key=lambda r: (r.batch, r.version)):
+        rows.setdefault((r.Driver, r.LapNumber), []).append((r.version, r.status, r.samples, r.top_speed))
+    # AAA is forgotten and comes back as a new car; BBB, in the same state, goes on meanwhile.
+    assert rows == {
+        ("AAA", 1): [(1, "open", 2, 100.0), (2, "closed", 2, 100.0), (1, "open", 1, 100.0), (2, "closed", 1, 100.0)],
+        ("AAA", 2): [(1, "open", 1, None), (2, "closed", 1, None)],
+        ("BBB", 1): [(1, "open", 1, None), (2, "open", 2, 100.0), (3, "closed", 2, 100.0)],
+        ("BBB", 2): [(1, "open", 1, 100.0), (2, "open", 2, 100.0), (3, "closed", 2, 100.0)],
+        ("CCC", 1): [(1, "open", 1, 100.0)],
+    }
+
+
+def test_shares_give_the_same_history(spark, tmp_path):
+    """Cars fall silent, come back and get samples that are late or too late."""
+    rng = random.Random(5)
+    groups = [
+        [
+            made(f"C{rng.randrange(12):02d}", rng.randrange(1, 5), 900 * batch + rng.randrange(-2700, 900), rng.choice([None, 80.0, 120.5]))
+            for _ in range(40)
+        ]
+        for batch in range(6)
+    ]
+    seen = []
+    for shares in (1, 1000):
+        run(spark, f"{tmp_path}/{shares}", groups, horizon_s=1800, grace_s=60.0, shares=shares)
+        seen.append(sorted(map(str, live.read_history(spark, f"{tmp_path}/{shares}/laps").collect())))
+    assert seen[0] == seen[1]
+    assert {r.status for r in live.read_history(spark, f"{tmp_path}/1/laps").collect()} == set(live.STATUS)
